@@ -1,0 +1,11 @@
+"""The registered queries of the engine's own operators and the SQL they are held against."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
