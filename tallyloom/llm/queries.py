@@ -2,16 +2,33 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import rule_list, shards
+from tallyloom.llm import bpe, packing, rule_list, shards, token_store
 from tallyloom.llm.common import read_table
 
 
+def _json_vocabulary() -> str:
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.read(token_store.write(read_table(spark, sf_dir, "documents"), token_store.new_folder(spark), _json_vocabulary()))
+
+
 def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(read_table(spark, sf_dir, "documents"), 8)
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), _json_vocabulary())
+
+
 def op10_rule_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     rules = rule_list.fit(docs, read_table(spark, sf_dir, "labels"))
@@ -19,7 +36,7 @@ def op10_rule_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op4_feistel_shards": op4_feistel_shards, "op10_rule_list": op10_rule_list}
+    return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -121,9 +122,9 @@ def learn(stats: DataFrame, *, bins: int = BINS, max_conditions: int = MAX_CONDI
     ``stats`` is read once for each condition that is tried, so pass a checkpointed frame. Only
     counts by (feature, bin) come to the driver: at most 4 * bins * len(FEATURES) rows a step.
     """
-    shares = [(i + 1) / (bins + 1) for i in range(bins)]
+    shares = [i / (bins + 1) for i in range(bins + 2)]
     cuts = stats.agg(*(F.percentile_approx(f, shares, 2000).alias(f) for f in FEATURES)).first()
-    at = {f: sorted(set(cuts[f] or [])) for f in FEATURES}
+    at = {f: [(a + b) / 2 for a, b in pairwise(sorted(set(cuts[f] or [])))] for f in FEATURES}
     binned = stats.select(
         (F.col("y") != 1).cast("int").alias("bad"),
         (F.pmod(F.xxhash64("doc_id", F.lit("grow")), F.lit(3)) < 2).alias("grow"),
