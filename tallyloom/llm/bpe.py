@@ -19,6 +19,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom.llm import chunks
 
@@ -155,7 +156,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 def decode(path: str, pattern: str) -> Column:
     """A function of an ``ids`` column that gives the bytes they stand for."""
 
-    @F.pandas_udf("binary")
+    @F.pandas_udf(T.BinaryType())
     def run(ids):
         bpe = load(path, pattern)
         return ids.map(lambda x: None if x is None else bpe.decode(x))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import bpe, packing, rule_list, shards, token_store
+from tallyloom.llm import bpe, ngram_join, packing, quality_gbt, rule_list, shards, token_store
 from tallyloom.llm.common import read_table
 
 
@@ -13,6 +13,11 @@ def _json_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality_gbt.score_documents(docs, quality_gbt.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(token_store.write(read_table(spark, sf_dir, "documents"), token_store.new_folder(spark), _json_vocabulary()))
 
@@ -21,6 +26,10 @@ def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(read_table(spark, sf_dir, "documents"), 8)
 
 
+def op6_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 

@@ -28,10 +28,10 @@ SYMBOLS = "#*$%&|<>"
 FEATURES = (
     "f_words", "f_word_len", "f_symbols", "f_dup_lines", "f_repeats", "f_upper", "f_digits", "f_marks", "f_distinct", "f_words_a_line",
 )
-#: Thresholds tried for a feature, conditions in a rule, rules in a list, and rows a rule must catch in the growing part.
+#: Quantiles (of all rows, and of the bad ones) between which a feature's thresholds lie, conditions in a rule, rules in a list, and rows a rule must catch in the growing part.
 BINS, MAX_CONDITIONS, MAX_RULES, MIN_CAUGHT = 24, 4, 12, 5
 #: Share of a rule's pruning rows that must be bad.
-MIN_PRECISION = 0.8
+MIN_PRECISION = 0.75
 
 
 def _without(text: Column, chars: str) -> Column:
@@ -120,11 +120,12 @@ def learn(stats: DataFrame, *, bins: int = BINS, max_conditions: int = MAX_CONDI
     """A rule list from rows of (doc_id, features, y); y = 1 is good, anything else bad.
 
     ``stats`` is read once for each condition that is tried, so pass a checkpointed frame. Only
-    counts by (feature, bin) come to the driver: at most 4 * bins * len(FEATURES) rows a step.
+    counts by (feature, bin) come to the driver: at most 8 * bins * len(FEATURES) rows a step.
     """
     shares = [i / (bins + 1) for i in range(bins + 2)]
-    cuts = stats.agg(*(F.percentile_approx(f, shares, 2000).alias(f) for f in FEATURES)).first()
-    at = {f: [(a + b) / 2 for a, b in pairwise(sorted(set(cuts[f] or [])))] for f in FEATURES}
+    of_bad = F.when(F.col("y") != 1, F.lit(True))
+    cuts = stats.agg(*(F.percentile_approx(x, shares, 2000).alias(f"{f}{k}") for f in FEATURES for k, x in ((0, F.col(f)), (1, F.when(of_bad, F.col(f)))))).first()
+    at = {f: [(a + b) / 2 for a, b in pairwise(sorted({*(cuts[f"{f}0"] or []), *(cuts[f"{f}1"] or [])}))] for f in FEATURES}
     binned = stats.select(
         (F.col("y") != 1).cast("int").alias("bad"),
         (F.pmod(F.xxhash64("doc_id", F.lit("grow")), F.lit(3)) < 2).alias("grow"),
