@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import bpe, ngram_join, packing, quality_gbt, rule_list, shards, token_store
+from tallyloom.llm import bpe, ngram_join, packing, pii_crf, quality_gbt, rule_list, shards, token_store
 from tallyloom.llm.common import read_table
 
 
@@ -18,6 +18,11 @@ def op1_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gbt.score_documents(docs, quality_gbt.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op2_skip_chain_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return pii_crf.find(docs, pii_crf.fit(docs))
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(token_store.write(read_table(spark, sf_dir, "documents"), token_store.new_folder(spark), _json_vocabulary()))
 
