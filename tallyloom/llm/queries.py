@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import bpe, ngram_join, packing, pii_crf, quality_gbt, rule_list, shards, token_store
+from tallyloom.llm import bpe, common, media, ngram_join, packing, pii_crf, quality_gbt, rule_list, secrets_forest, shards, token_store
 from tallyloom.llm.common import read_table
 
 
@@ -31,6 +31,10 @@ def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(read_table(spark, sf_dir, "documents"), 8)
 
 
+def op5_secrets_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_forest.scan(read_table(spark, sf_dir, "documents"), secrets_forest.fit(secrets_forest.labelled_findings()))
+
+
 def op6_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_local_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.copies(common.stage(media.render(read_table(spark, sf_dir, "embeddings")), "pictures"))
+
+
 def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), _json_vocabulary())
 
