@@ -218,7 +218,8 @@ def read(manifest: DataFrame) -> DataFrame:
                     keys = pa.array(docs[own], pa.int64(), mask=own < nulls)
                     yield pa.RecordBatch.from_arrays([keys, pa.array(shard.starts[own] + first_id, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())], names=names)
 
-    own = manifest.select("file", "first_id").repartition("file")
+    files = max(1, manifest.count())  # an explicit number, so that small manifest rows aren't put into one task
+    own = manifest.select("file", "first_id").repartition(files, "file")
     return own.mapInArrow(read_shards, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
