@@ -59,10 +59,12 @@ class Feistel:
 
     def walks(self) -> int:
         """Passes that the longest walk needs: found from the fewer than 2*sqrt(n)+1 numbers outside."""
-        longest, outside = 0, {y: self._once(y) for y in range(self.n, self.side**2)}
-        for y in outside:
+        outside = {y: self._once(y) for y in range(self.n, self.side**2)}
+        entered = set(outside) - set(outside.values())  # from below n; the rest follow these, or go round outside for ever
+        longest = 0
+        for y in entered:
             k = 1
-            while (y := outside.get(y, -1)) >= self.n:
+            while (y := outside[y]) >= self.n:
                 k += 1
             longest = max(longest, k)
         return 1 + longest
