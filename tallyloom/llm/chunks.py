@@ -19,7 +19,7 @@ WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _BREAK = re.compile(f" (?=[^{WHITE}])")
 _ODD = re.compile(f" (?:[{WHITE}]|\\Z)")
 #: Chunks and pieces that the memos hold at most, new chunks after which a full memo starts anew, and the longest one taken.
-CHUNKS, PIECES, STALE, LONGEST = 1_200_000, 500_000, 8_000_000, 48
+CHUNKS, PIECES, STALE, LONGEST = 600_000, 250_000, 8_000_000, 48
 #: How the byte-level vocabularies split a text before merging. Fixed value.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 

@@ -35,7 +35,7 @@ WORDS, BAND, SKETCH_LONGS = 5, 4, 16
 #: One of SAMPLE documents is counted for the order of cells; slots seen more often than RARE there are ranked, the COUNTED most frequent at most.
 SAMPLE, RARE, SLOTS, COUNTED = 16, 4, 1 << 26, 1 << 18
 _U = np.uint64
-_MEMO = 400_000
+_MEMO = 150_000
 
 
 class _WordHashes(dict):
@@ -119,6 +119,7 @@ def _texts(batches):
     for batch in batches:
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
             yield doc, shingles(text.as_py())
+    _words.clear()  # the worker may go on to something else
 
 
 def _rows(rows, schema, size: int = 20_000):
@@ -251,10 +252,13 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(4 * small >= 3 * large).where(7 * apart <= F.col("n_a") + F.col("n_b"))
     near = common.cut(near.select("a", "b").distinct())
-    ids = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-    own = docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "id long, hashes binary")
-    left, right = (own.select(F.col("id").alias(x), F.col("hashes").alias(f"h_{x}")) for x in ("a", "b"))
-    return near.join(left, "a").join(right, "b").where(_jaccard("h_a", "h_b")).select("a", "b").distinct()
+
+    def side_sets(x: str) -> DataFrame:
+        # A table on disk, so that Spark knows its size and sends the few ids to the texts and not the texts to them.
+        ids = common.stage(near.select(F.col(x).alias("doc_id")).distinct(), "ids")
+        return docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, f"{x} long, h_{x} binary")
+
+    return near.join(side_sets("b"), "b").join(side_sets("a"), "a").where(_jaccard("h_a", "h_b")).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -272,9 +276,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     meetings = common.stage(cell_keys(docs).repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_stars, "key long, hub long, doc_id long"), "meetings")
     met = common.cut(meetings.select("hub", "doc_id").distinct())
     pairs = common.cut(_as_reps(met, reps))
-    copies = of.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a != b")
-    links = common.cut(verified(pairs, docs, sets))
-    label = components.components(links.union(copies))
+    copies = of.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).union(own.select("doc_id", "leader")).where("a != b")
+    # Each document's smallest partner first; of the other pairs only those that are still apart.
+    first = common.cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    links = common.cut(verified(first, docs, sets).union(copies))
+    label = components.components(links)
+    rest = pairs.join(first, ["a", "b"], "left_anti")
+    ends = [label.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}")) for x in ("a", "b")]
+    rest = rest.join(ends[0], "a", "left").join(ends[1], "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+    more = common.cut(verified(rest, docs, sets))
+    if not more.isEmpty():
+        links = common.cut(links.union(more))
+        label = components.components(links)
 
     # Documents that share a cell but not a component: every pair of different components is tried.
     place = lambda x: label.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}"))
@@ -288,7 +301,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     crossing = one.join(two, "key").where(F.col("c_hub") < F.col("c_doc_id")).select("hub", "doc_id").distinct()
     more = common.cut(verified(_as_reps(crossing, reps).join(pairs, ["a", "b"], "left_anti"), docs, sets))
     if not more.isEmpty():
-        label = components.components(links.union(copies).union(more))
+        label = components.components(links.union(more))
 
     out = every.join(label.select(F.col("id").alias("leader"), "component"), "leader", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "leader").alias("component_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import bpe, common, media, ngram_join, packing, pii_crf, quality_gbt, rule_list, secrets_forest, shards, token_store
+from tallyloom.llm import bpe, media, ngram_join, packing, pii_crf, quality_gbt, rule_list, secrets_forest, shards, token_store
 from tallyloom.llm.common import read_table
 
 
@@ -44,7 +44,8 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_local_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.copies(common.stage(media.render(read_table(spark, sf_dir, "embeddings")), "pictures"))
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return media.copies(media.render(vectors), vectors.withColumnRenamed("vec_id", "media_id"))
 
 
 def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,264 @@
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tallyloom.llm import components, media, ngram_join, pii_crf, quality_gbt, rule_list, secrets_forest, shards, text_stats
+
+W = r"[^\x20\x09-\x0D]+"
+
+
+# Sharding
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 100, 1000, 4097])
+def test_feistel_permutes_and_columns_agree(spark, n):
+    f = shards.Feistel(n, 99)
+    own = [f(x) for x in range(n)]
+    assert sorted(own) == list(range(n))
+    if n:
+        got = [r[0] for r in spark.range(n).coalesce(1).select(f.column(F.col("id"))).collect()]
+        assert got == own
+
+
+def test_shards_are_even_and_reproducible(spark, odd, nothing):
+    a, b = (sorted(map(tuple, shards.shard_documents(df, 3).collect()), key=str) for df in (odd, odd.repartition(5)))
+    assert a == b and len(a) == odd.count()
+    sizes = Counter(r[4] for r in a)
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+    for s, n in sizes.items():
+        assert sorted(r[5] for r in a if r[4] == s) == list(range(n))
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in odd.collect()}
+    assert all(r[1] == len(texts[r[0]]) + 1 and r[2] == zlib.crc32(texts[r[0]]) for r in a)
+    assert shards.shard_documents(nothing).count() == 0
+    hot = spark.range(500).selectExpr("cast(null as long) as doc_id", "'same' as text")
+    assert shards.shard_documents(hot, 8).select("shard", "slot").distinct().count() == 500
+
+
+def test_written_shards_hold_whole_rows(spark, odd, tmp_path):
+    shards.write_shards(odd.drop("shard"), str(tmp_path / "s"), 2)
+    assert spark.read.parquet(str(tmp_path / "s")).groupBy("shard").count().count() == 2
+
+
+# Quality rules
+
+
+def brute_statistics(text):
+    words = re.findall(W, text or "")
+    n = len(words)
+    windows = [tuple(words[i : i + 3]) for i in range(n - 2)]
+    count = Counter(windows)
+    covered = {j for i, w in enumerate(windows) if count[w] > 1 for j in (i, i + 1, i + 2)}
+    lines = [x for x in (text or "").split("\n") if re.search(W, x)]
+    return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def test_rule_statistics_against_brute_force(spark, odd):
+    rng = random.Random(4)
+    made = ["".join(rng.choice(["a ", "b ", "c\n", "a b c ", "é\t", "# ", "\n\n", "\x1cx ", "\xa0"]) for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    own = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").unionByName(odd.select("doc_id", "text"))
+    got = rule_list.with_statistics(own).collect()
+    for r in got:
+        want = brute_statistics(r["text"])
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want, r["text"]
+        assert r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+
+
+def labelled(spark, n=600):
+    rng = random.Random(6)
+    words = [f"word{i}" for i in range(400)]
+    rows = []
+    for i in range(n):
+        bad = i % 5 == 0
+        own = [rng.choice(words) + (rng.choice("#*$") if bad and rng.random() < 0.8 else "") for _ in range(rng.randint(60, 120))]
+        rows.append((i, " ".join(own), 0 if bad else 1))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    return docs, spark.createDataFrame([(r[0], r[2], 0) for r in rows], "doc_id long, quality int, toxic int"), {r[0]: r[2] for r in rows}
+
+
+def test_rules_and_trees_learn_what_the_labels_mark(spark, odd, nothing):
+    docs, labels, truth = labelled(spark)
+    rules = rule_list.fit(docs, labels)
+    got = rule_list.judge(docs, rules).select("doc_id", "kept").collect()
+    assert sum(r["kept"] == (truth[r["doc_id"]] == 1) for r in got) >= 0.98 * len(truth)
+    kept = rule_list.judge(docs, rules).where("kept").count()  # a filter above must give the same rows
+    assert kept == sum(r["kept"] for r in got)
+    model = quality_gbt.fit(docs, labels)
+    scored = quality_gbt.score_documents(docs, model).where("held_out").collect()
+    assert scored and sum((r["score"] >= 0.5) == (truth[r["doc_id"]] == 1) for r in scored) >= 0.98 * len(scored)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in scored)
+    assert quality_gbt.score_documents(odd, model).count() == odd.count() and quality_gbt.score_documents(nothing, model).count() == 0
+    none = quality_gbt.fit(docs, labels.where("false"))
+    assert {r["score"] for r in quality_gbt.score_documents(odd, none).collect()} == {0.5}
+    assert rule_list.fit(docs, labels.where("false")).rules == ()
+    assert rule_list.judge(odd, rules).count() == odd.count()
+
+
+def test_trees_split_where_the_classes_part():
+    rng = np.random.default_rng(0)
+    x = rng.random((2000, 4))
+    y = ((x[:, 1] > 0.5) ^ (x[:, 3] > 0.3)).astype(float)
+    model = quality_gbt.train(x[:1500], y[:1500])
+    assert ((model.scores(x[1500:]) > 0.5) == y[1500:]).mean() > 0.95
+    assert len(text_stats.statistics("a b")) == len(text_stats.NAMES) == len(text_stats.statistics(""))
+
+
+# Near duplicates
+
+
+def brute_components(rows):
+    sets = {}
+    for doc, text in rows:
+        words = re.findall(W, re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+        own = {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else ({tuple(words)} if words else set())
+        sets.setdefault(doc, []).append(own)
+    up = {d: d for d in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    docs = sorted(sets)
+    for i, a in enumerate(docs):
+        for b in docs[i + 1 :]:
+            if any(s and t and 100 * len(s & t) >= 75 * len(s | t) for s in sets[a] for t in sets[b]):
+                x, y = find(a), find(b)
+                up[max(x, y)] = min(x, y)
+    return {d: find(d) for d in docs}, sets
+
+
+def edited(rng, words, edits):
+    out = list(words)
+    for _ in range(edits):
+        i = rng.randrange(len(out))
+        out[i : i + rng.choice([0, 1])] = [f"new{rng.randrange(10**6)}"]
+    return out
+
+
+def test_near_duplicates_against_brute_force(spark, odd, nothing):
+    rng = random.Random(12)
+    rows, passage = [], [f"shared{i}" for i in range(60)]
+    for k in range(60):
+        size = rng.choice([1, 3, 5, 6, 7, 9, 20, 40, 63, 64, 90, 255, 300])
+        base = [f"t{k}w{rng.randrange(10**6)}" for _ in range(size)]
+        if k % 3 == 0:
+            base = base + passage
+        for c in range(rng.choice([1, 2, 4])):
+            rows.append((len(rows) * 7 % 1009, " ".join(edited(rng, base, rng.choice([0, 0, 1, len(base) // 60, len(base) // 33]) if c else 0))))
+    chain = [f"c{i}" for i in range(200)]  # each is near the next, the ends are far apart
+    for k in range(12):
+        rows.append((2000 - k, " ".join(chain)))
+        chain = edited(rng, chain, 4)
+    rows += [(r["doc_id"] + 5000, r["text"]) for r in odd.collect()]
+    want, sets = brute_components(rows)
+    own = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = ngram_join.near_duplicates(own).collect()
+    assert len(got) == len(rows)
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert all(r["n_shingles"] in [len(s) for s in sets[r["doc_id"]]] for r in got)
+    assert ngram_join.near_duplicates(nothing).count() == 0
+    left = ngram_join.keep_one(own)
+    assert sorted({r["doc_id"] for r in left.collect()}) == sorted(set(want.values())) and left.columns == own.columns
+    nulls = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f")], "doc_id long, text string")
+    assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in ngram_join.near_duplicates(nulls).collect()) == [("4", "4"), ("None", "None")]
+
+
+def test_cells_of_near_sets_always_meet():
+    rng = np.random.default_rng(3)
+    none = np.zeros(0, np.int64)
+    for _ in range(300):
+        n = int(rng.integers(1, 400))
+        base = rng.integers(0, 2**63, n).astype(np.uint64)
+        m = int(rng.integers(0, n // 7 + 1))
+        a = np.unique(np.concatenate([base, rng.integers(0, 2**63, m).astype(np.uint64)]))
+        b = np.unique(base[int(rng.integers(0, n // 8 + 1)) :])
+        both = np.intersect1d(a, b).size
+        if 4 * both >= 3 * (a.size + b.size - both) and b.size:
+            x, y = (np.concatenate(ngram_join.keys(s, none, none)) for s in (a, b))
+            assert np.intersect1d(x, y).size
+
+
+def test_components_of_paths_and_loops(spark):
+    links = [(i, i + 1) for i in range(10, 60)] + [(3, 2), (2, 1), (1, 3), (7, 7), (90, 80)]
+    got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{i: 10 for i in range(10, 61)}, 1: 1, 2: 1, 3: 1, 80: 80, 90: 80}
+
+
+# Personal data and secrets
+
+
+def brute_spans(t):
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m.group().split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[^0-9]", "", m.group())
+        if 14 <= len(d) <= 19 and pii_crf.luhn(d):
+            out.append((m.start(), 2, m.end()))
+    out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+    return sorted(out)
+
+
+def test_base_spans_against_the_plain_patterns():
+    rng = random.Random(9)
+    for _ in range(8000):
+        t = "".join(rng.choice("ab@@..01125%+_-- ()é\n") for _ in range(rng.randint(0, 40)))
+        assert pii_crf.base_spans(t) == brute_spans(t), t
+    for t in ("a" * 200_000, "1" * 200_000, "1." * 60_000, "a@" * 60_000, "+1" + "-" * 100_000):
+        pii_crf.base_spans(t)
+
+
+PHONE = "call +1 (523) 555-1055 now, mail ann@mail.example.com about 192.168.4.20 and card 4111 1111 1111 1111"
+
+
+def test_field_adds_distant_copies_and_nothing_else(spark, odd, nothing):
+    rng = random.Random(1)
+    filler = lambda: " ".join(f"w{rng.randrange(99)}" for _ in range(30))
+    rows = [(i, f"{filler().replace('w', 'x')} {PHONE} {filler()} {i}") for i in range(80)]
+    field = pii_crf.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    text = PHONE + " " + "word " * 50 + "later 523 555-1055 again"
+    base, spans = pii_crf.all_spans([text], field)[0]
+    assert [s for s in spans if s not in base] and all(s in spans for s in base) and len(base) == 4
+    assert any("555-1055" in text[a:b] and a > 100 for a, k, b in spans if k == 3)
+    assert pii_crf.redacted(text, spans).count("[PHONE]") >= 2
+    clean = "the year 1999 had 12 months, see page 14 of 3.0"
+    assert pii_crf.all_spans([clean], field)[0] == ([], [])
+    assert pii_crf.find(odd, field).count() == odd.count() and pii_crf.find(nothing, field).count() == 0
+    empty = pii_crf.find(odd, field).where("doc_id = 2").first()
+    assert empty["spans"] == "" and empty["base_sha256"] == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+    assert pii_crf.fit(nothing).marginals([]) == []
+
+
+def test_forest_tells_keys_from_what_looks_like_them(spark, odd, nothing):
+    found = secrets_forest.labelled_findings(2000)
+    forest = secrets_forest.fit(found[:1400])
+    x = np.array([secrets_forest.features(c, b[-40:], a[:20]) for c, b, a, _ in found[1400:]])
+    y = np.array([r[3] for r in found[1400:]])
+    assert ((forest.scores(x) >= 0.5) == y).mean() > 0.97
+    own = spark.createDataFrame([(1, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" end'), (2, "see src/main/handler_library_index.html now")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["start"], r["end"], r["secret"]) for r in secrets_forest.scan(own, forest).collect()}
+    assert got[1] == (9, 49, True) and not got.get(2, (0, 0, False))[2]
+    secrets_forest.scan(odd, forest).collect()
+    assert secrets_forest.scan(nothing, forest).count() == 0
+
+
+# Pictures
+
+
+def test_edited_pictures_are_found_and_others_left(spark):
+    vectors = spark.range(120).selectExpr("id as vec_id", "transform(sequence(0, 7), i -> float(sin(id * 7.3 + i))) as embedding")
+    made = media.render(vectors).cache()
+    got = media.copies(made).join(made.select("media_id", "source_id"), "media_id").collect()
+    edited_ = [r for r in got if r["source_id"] != r["media_id"]]
+    assert len(edited_) == 30 and sum(r["group_id"] == r["source_id"] for r in edited_) >= 27
+    assert all(r["group_id"] == r["media_id"] for r in got if r["source_id"] == r["media_id"])
+
+
+def test_broken_pictures_are_alone(spark):
+    rows = [(1, None, 8, 8), (2, b"", 0, 0), (3, b"123", 8, 8), (4, bytes(4096), 64, 64), (None, bytes(64), 8, 8)]
+    got = media.copies(spark.createDataFrame(rows, "media_id long, pixels binary, width int, height int")).collect()
+    assert sorted((str(r["media_id"]), r["n_corners"], str(r["group_id"])) for r in got) == [("1", 0, "1"), ("2", 0, "2"), ("3", 0, "3"), ("4", 0, "4"), ("None", 0, "None")]
