@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -32,11 +33,26 @@ def cut(df: DataFrame) -> DataFrame:
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Like cut(), for tables of many rows: a Parquet table in the shared folder, compressed and read by column."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    return _written(df, f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(df: DataFrame, name: str):
+    """Like stage(), for a table that nothing reads after the block: its folder is deleted there."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    try:
+        yield _written(df, path)
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def learnable(doc_id: Column) -> Column:
     """Rows whose labels may be learned from: crc32 of the id's text, mod 3, is not 1. A null id is not learnable."""
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 != 1, F.lit(False))

@@ -10,8 +10,8 @@ sample; it decides the cost only), empty cells last. Sizes of a pair differ by 4
 document emits its cells in its own band and, near the upper end, in the next.
 
 Cells that meet link their documents to the smallest one there (a star, never all pairs). A packed
-1024-bit parity sketch, whose Hamming distance is a lower bound too, drops most false meetings, and
-whole sets verify the rest. Where after that the documents of one cell are in several components, the
+parity sketch of one or two bits a shingle, whose Hamming distance is a lower bound too, drops most
+false meetings, and whole sets verify the rest. Where after that the documents of one cell are in several components, the
 pairs between different components are verified as well; pairs within one need not be. So every link
 between components is found, and the components are those of all links.
 
@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from tallyloom.llm import common, components
 
-WORDS, BAND, SKETCH_LONGS = 5, 4, 16
+WORDS, BAND, LEAST_BITS = 5, 4, 256
 #: One of SAMPLE documents is counted for the order of cells; slots seen more often than RARE there are ranked, the COUNTED most frequent at most.
 SAMPLE, RARE, SLOTS, COUNTED = 16, 4, 1 << 26, 1 << 18
 _U = np.uint64
@@ -109,8 +109,15 @@ def keys(hashes: np.ndarray, slots: np.ndarray, ranks: np.ndarray) -> list[np.nd
 
 
 def _sketch(hashes: np.ndarray) -> list[int]:
-    """The packed parity sketch: bit i is the parity of the number of hashes that fall on it."""
-    bits = np.bincount(((hashes >> _U(8)) % _U(64 * SKETCH_LONGS)).astype(np.int64), minlength=64 * SKETCH_LONGS) & 1
+    """The packed parity sketch: bit i is the parity of the number of hashes that fall on it.
+
+    It has as many bits as the power of two from the size of the set on. Sizes of a pair differ by 4/3 at
+    most, so their sketches are of one length or one is twice the other; that one's halves are then XORed.
+    """
+    n_bits = LEAST_BITS
+    while n_bits < hashes.size:
+        n_bits *= 2
+    bits = np.bincount(((hashes >> _U(8)) & _U(n_bits - 1)).astype(np.int64), minlength=n_bits) & 1
     return np.packbits(bits.astype(np.uint8)).view("<i8").tolist()
 
 
@@ -122,40 +129,6 @@ def _texts(batches):
     _words.clear()  # the worker may go on to something else
 
 
-def _rows(rows, schema, size: int = 20_000):
-    """Arrow batches of tuples."""
-    import pyarrow as pa
-
-    some: list = []
-    for row in rows:
-        some.append(row)
-        if len(some) >= size:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), schema)], schema=schema)
-            some = []
-    if some:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), schema)], schema=schema)
-
-
-def _summaries(batches):
-    """doc_id, n_shingles, leader (the first row of the task with the same set); for leaders digest and sketch."""
-    import pyarrow as pa
-    import xxhash
-
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("leader", pa.int64()), ("digest", pa.binary()), ("sketch", pa.list_(pa.int64()))])
-    first: dict[bytes, int] = {}
-
-    def rows():
-        for doc, hashes in _texts(batches):
-            if doc is None or not hashes.size:
-                yield doc, hashes.size, doc, None, None
-                continue
-            digest = xxhash.xxh3_128_digest(hashes.tobytes())
-            leader = first.setdefault(digest, doc)
-            yield (doc, hashes.size, leader, digest, _sketch(hashes)) if leader == doc else (doc, hashes.size, leader, None, None)
-
-    yield from _rows(rows(), schema)
-
-
 def _counts(batches):
     """slot, n: how many documents of a batch have a shingle in the slot."""
     import pyarrow as pa
@@ -178,29 +151,45 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array([s for s, _ in got], np.int64), np.log2(np.array([n for _, n in got], float) + 1e-9).astype(np.int64)
 
 
-def cell_keys(docs: DataFrame) -> DataFrame:
-    """(key, doc_id) of the cells that each document emits; a set that a task has seen is not emitted again."""
+def profiles(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, leader (the first row of the task with the same set); of leaders digest, sketch and cell keys."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs))
 
     def run(batches):
         import pyarrow as pa
         import xxhash
 
-        seen: set[bytes] = set()
+        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("leader", pa.int64()), ("digest", pa.binary()), ("sketch", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
+        first: dict[bytes, int] = {}
         slots, ranks = shared.value
-        for batch in batches:
-            own, ids = [], []
-            for doc, hashes in _texts([batch]):
-                if doc is None or not hashes.size or (digest := xxhash.xxh3_128_digest(hashes.tobytes())) in seen:
-                    continue
-                seen.add(digest)
-                for part in keys(hashes, slots, ranks):
-                    own.append(part)
-                    ids.append(np.full(part.size, doc, np.int64))
-            for at in range(0, len(own), 500):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own[at : at + 500]).view(np.int64)), pa.array(np.concatenate(ids[at : at + 500]))], names=["key", "doc_id"])
 
-    return docs.mapInArrow(run, "key long, doc_id long")
+        def flush(rows: list[tuple]):
+            *plain, own = zip(*rows)
+            ends = np.cumsum([0, *(0 if k is None else k.size for k in own)])
+            flat = np.concatenate([np.zeros(0, _U), *(k for k in own if k is not None)]).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=pa.array([k is None for k in own]))
+            return pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(plain, schema)), lists], schema=schema)
+
+        rows: list[tuple] = []
+        n_keys = 0
+        for doc, hashes in _texts(batches):
+            row = (doc, hashes.size, doc, None, None, None)
+            if doc is not None and hashes.size:
+                digest = xxhash.xxh3_128_digest(hashes.tobytes())
+                leader = first.setdefault(digest, doc)
+                row = (doc, hashes.size, leader, None, None, None)
+                if leader == doc:
+                    own = np.concatenate(keys(hashes, slots, ranks))
+                    row = (doc, hashes.size, doc, digest, _sketch(hashes), own)
+                    n_keys += own.size
+            rows.append(row)
+            if n_keys >= 1 << 20 or len(rows) >= 10_000:
+                yield flush(rows)
+                rows, n_keys = [], 0
+        if rows:
+            yield flush(rows)
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, leader long, digest binary, sketch array<long>, keys array<long>")
 
 
 def _stars(batches):
@@ -242,6 +231,17 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.int64()), pa.array([h.tobytes() for _, h in got], pa.binary())], names=["id", "hashes"])
 
 
+def _apart(a: str, b: str):
+    """Differing bits of two sketches; the longer one is folded to the length of the other."""
+    xor = lambda x, y: x.bitwiseXOR(y)
+
+    def folded(x: str, n):
+        return F.when(F.size(x) > n, F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, n + 1, n), xor)).otherwise(F.col(x))
+
+    n = F.least(F.size(a), F.size(b))
+    return F.aggregate(F.zip_with(folded(a, n), folded(b, n), lambda x, y: F.bit_count(xor(x, y))), F.lit(0), lambda t, x: t + x)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that are links: first by size and packed sketch, then by whole sets.
 
@@ -249,31 +249,30 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     """
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(4 * small >= 3 * large).where(7 * apart <= F.col("n_a") + F.col("n_b"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(4 * small >= 3 * large).where(7 * _apart("s_a", "s_b") <= F.col("n_a") + F.col("n_b"))
     near = common.cut(near.select("a", "b").distinct())
-
-    def side_sets(x: str) -> DataFrame:
-        # A table on disk, so that Spark knows its size and sends the few ids to the texts and not the texts to them.
-        ids = common.stage(near.select(F.col(x).alias("doc_id")).distinct(), "ids")
-        return docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, f"{x} long, h_{x} binary")
-
-    return near.join(side_sets("b"), "b").join(side_sets("a"), "a").where(_jaccard("h_a", "h_b")).select("a", "b").distinct()
+    # A table on disk, so that Spark knows its size and sends the few ids to the texts and not the texts to them.
+    ids = common.stage(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    with common.scratch(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "id long, hashes binary"), "sets") as own:
+        one, two = (own.select(F.col("id").alias(x), F.col("hashes").alias(f"h_{x}")) for x in ("a", "b"))
+        return common.cut(near.join(two, "b").join(one, "a").where(_jaccard("h_a", "h_b")).select("a", "b").distinct())
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    every = common.cut(docs.mapInArrow(_summaries, "doc_id long, n_shingles long, leader long, digest binary, sketch array<long>"))
+    with common.scratch(profiles(docs), "profiles") as found:
+        every = common.stage(found.drop("keys"), "summaries")
+        cells = found.select(F.explode("keys").alias("key"), "doc_id")
+        meetings = common.stage(cells.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_stars, "key long, hub long, doc_id long"), "meetings")
     leaders = every.where(F.col("digest").isNotNull())
     same = leaders.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    of = common.cut(leaders.join(same, "digest").select("doc_id", "rep", "n_shingles", F.when(F.col("doc_id") == F.col("rep"), F.col("sketch")).alias("sketch")))
+    of = common.stage(leaders.join(same, "digest").select("doc_id", "rep", "n_shingles", F.when(F.col("doc_id") == F.col("rep"), F.col("sketch")).alias("sketch")), "representatives")
     sets = of.where(F.col("sketch").isNotNull())
 
     own = every.where(F.col("digest").isNotNull() | (F.col("doc_id") != F.col("leader"))).select("doc_id", "leader")
     reps = common.cut(own.join(of.select(F.col("doc_id").alias("leader"), "rep"), "leader").select("doc_id", "rep").distinct())
 
-    meetings = common.stage(cell_keys(docs).repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_stars, "key long, hub long, doc_id long"), "meetings")
     met = common.cut(meetings.select("hub", "doc_id").distinct())
     pairs = common.cut(_as_reps(met, reps))
     copies = of.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).union(own.select("doc_id", "leader")).where("a != b")
@@ -284,7 +283,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = pairs.join(first, ["a", "b"], "left_anti")
     ends = [label.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}")) for x in ("a", "b")]
     rest = rest.join(ends[0], "a", "left").join(ends[1], "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-    more = common.cut(verified(rest, docs, sets))
+    more = verified(rest, docs, sets)
     if not more.isEmpty():
         links = common.cut(links.union(more))
         label = components.components(links)
@@ -296,10 +295,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     torn = meetings.join(split, ["hub", "doc_id"], "left_semi").select("key").distinct()
     there = meetings.join(torn, "key", "left_semi")
     members = there.select("key", F.col("hub").alias("id")).union(there.select("key", "doc_id")).distinct()
-    members = common.cut(members.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")))
-    one, two = (members.select("key", F.col("id").alias(i), F.col("c").alias(f"c_{i}")) for i in ("hub", "doc_id"))
-    crossing = one.join(two, "key").where(F.col("c_hub") < F.col("c_doc_id")).select("hub", "doc_id").distinct()
-    more = common.cut(verified(_as_reps(crossing, reps).join(pairs, ["a", "b"], "left_anti"), docs, sets))
+    sizes = of.select(F.col("doc_id").alias("id"), "n_shingles")
+    members = common.stage(members.join(label, "id", "left").join(sizes, "id").select("key", "id", F.coalesce("component", "id").alias("c"), "n_shingles"), "members")
+    one, two = (members.select("key", F.col("id").alias(i), F.col("c").alias(f"c_{i}"), F.col("n_shingles").alias(f"n_{i}")) for i in ("hub", "doc_id"))
+    alike = 4 * F.least("n_hub", "n_doc_id") >= 3 * F.greatest("n_hub", "n_doc_id")
+    crossing = one.join(two, "key").where((F.col("c_hub") < F.col("c_doc_id")) & alike).select("hub", "doc_id").distinct()
+    more = verified(_as_reps(crossing, reps).join(pairs, ["a", "b"], "left_anti"), docs, sets)
     if not more.isEmpty():
         label = components.components(links.union(more))
 
