@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 from tallyloom.llm import common, components
 
 WORDS, BAND, LEAST_BITS = 5, 4, 256
-#: One of SAMPLE documents is counted for the order of cells; slots seen more often than RARE there are ranked, the COUNTED most frequent at most.
-SAMPLE, RARE, SLOTS, COUNTED = 16, 4, 1 << 26, 1 << 18
+#: One of SAMPLE texts is counted for the order of cells; slots seen RARE times or more there are ranked, the COUNTED most frequent at most.
+SAMPLE, RARE, SLOTS, COUNTED = 8, 2, 1 << 26, 1 << 18
 _U = np.uint64
 _MEMO = 150_000
 
@@ -130,11 +130,17 @@ def _texts(batches):
 
 
 def _counts(batches):
-    """slot, n: how many documents of a batch have a shingle in the slot."""
+    """slot, n: how many documents of a batch have a shingle in the slot; sets that the task has seen count once."""
     import pyarrow as pa
+    import xxhash
 
+    seen: set[bytes] = set()
     for batch in batches:
-        own = [h & _U(SLOTS - 1) for _, h in _texts([batch])]
+        own = []
+        for _, hashes in _texts([batch]):
+            if (digest := xxhash.xxh3_128_digest(hashes.tobytes())) not in seen:
+                seen.add(digest)
+                own.append(hashes & _U(SLOTS - 1))
         slot, n = np.unique(np.concatenate([*own, np.zeros(0, _U)]).astype(np.int64), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n)], names=["slot", "n"])
 
@@ -145,7 +151,7 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     At most COUNTED pairs of integers: a fixed bound for what is broadcast. They order cells and so decide
     how many documents meet for nothing; which links are found doesn't depend on them.
     """
-    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)) == 0)
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
     counts = some.mapInArrow(_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= RARE)
     got = sorted((r["slot"], r["n"]) for r in counts.orderBy(F.col("n").desc(), "slot").limit(COUNTED).collect())
     return np.array([s for s, _ in got], np.int64), np.log2(np.array([n for _, n in got], float) + 1e-9).astype(np.int64)
@@ -273,26 +279,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = every.where(F.col("digest").isNotNull() | (F.col("doc_id") != F.col("leader"))).select("doc_id", "leader")
     reps = common.cut(own.join(of.select(F.col("doc_id").alias("leader"), "rep"), "leader").select("doc_id", "rep").distinct())
 
-    met = common.cut(meetings.select("hub", "doc_id").distinct())
-    pairs = common.cut(_as_reps(met, reps))
     copies = of.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).union(own.select("doc_id", "leader")).where("a != b")
     # Each document's smallest partner first; of the other pairs only those that are still apart.
-    first = common.cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    first = common.cut(_as_reps(meetings.groupBy("doc_id").agg(F.min("hub").alias("hub")), reps))
     links = common.cut(verified(first, docs, sets).union(copies))
     label = components.components(links)
-    rest = pairs.join(first, ["a", "b"], "left_anti")
-    ends = [label.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}")) for x in ("a", "b")]
-    rest = rest.join(ends[0], "a", "left").join(ends[1], "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-    more = verified(rest, docs, sets)
+
+    def astride() -> DataFrame:
+        """The meetings whose two documents are in different components."""
+        ends = [label.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}")) for x in ("hub", "doc_id")]
+        both = meetings.join(ends[0], "hub", "left").join(ends[1], "doc_id", "left")
+        return both.where(F.coalesce("c_hub", "hub") != F.coalesce("c_doc_id", "doc_id")).select("key", "hub", "doc_id")
+
+    tried = common.cut(_as_reps(astride().select("hub", "doc_id").distinct(), reps).union(first).distinct())
+    more = verified(tried.join(first, ["a", "b"], "left_anti"), docs, sets)
     if not more.isEmpty():
         links = common.cut(links.union(more))
         label = components.components(links)
 
     # Documents that share a cell but not a component: every pair of different components is tried.
-    place = lambda x: label.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}"))
-    named = lambda x: F.coalesce(F.col(f"c_{x}"), F.col(x))
-    split = met.join(place("hub"), "hub", "left").join(place("doc_id"), "doc_id", "left").where(named("hub") != named("doc_id")).select("hub", "doc_id")
-    torn = meetings.join(split, ["hub", "doc_id"], "left_semi").select("key").distinct()
+    torn = astride().select("key").distinct()
     there = meetings.join(torn, "key", "left_semi")
     members = there.select("key", F.col("hub").alias("id")).union(there.select("key", "doc_id")).distinct()
     sizes = of.select(F.col("doc_id").alias("id"), "n_shingles")
@@ -300,7 +306,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     one, two = (members.select("key", F.col("id").alias(i), F.col("c").alias(f"c_{i}"), F.col("n_shingles").alias(f"n_{i}")) for i in ("hub", "doc_id"))
     alike = 4 * F.least("n_hub", "n_doc_id") >= 3 * F.greatest("n_hub", "n_doc_id")
     crossing = one.join(two, "key").where((F.col("c_hub") < F.col("c_doc_id")) & alike).select("hub", "doc_id").distinct()
-    more = verified(_as_reps(crossing, reps).join(pairs, ["a", "b"], "left_anti"), docs, sets)
+    more = verified(_as_reps(crossing, reps).join(tried, ["a", "b"], "left_anti"), docs, sets)
     if not more.isEmpty():
         label = components.components(links.union(more))
 
