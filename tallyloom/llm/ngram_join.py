@@ -9,7 +9,8 @@ first cells under any fixed order of cell values. The order used is rarest first
 sample; it decides the cost only), empty cells last. Sizes of a pair differ by 4/3 at most, so a
 document emits its cells in its own band and, near the upper end, in the next.
 
-Cells that meet link their documents to the smallest one there (a star, never all pairs). A packed
+Cells that meet link their documents to the most central one there (a star, never all pairs): the one
+whose cells are the most frequent on average, which in a group of edited copies is what they are copies of. A packed
 parity sketch of one or two bits a shingle, whose Hamming distance is a lower bound too, drops most
 false meetings, and whole sets verify the rest. Where after that the documents of one cell are in several components, the
 pairs between different components are verified as well; pairs within one need not be. So every link
@@ -81,16 +82,20 @@ def _band(size: int) -> int:
     return top
 
 
-def keys(hashes: np.ndarray, slots: np.ndarray, ranks: np.ndarray) -> list[np.ndarray]:
+def ranked(hashes: np.ndarray, slots: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """How frequent each shingle is: the rank of its slot, 0 for one that isn't counted."""
+    if not slots.size:
+        return np.zeros(hashes.size, np.int64)
+    slot = (hashes & _U(SLOTS - 1)).astype(np.int64)
+    at = np.minimum(np.searchsorted(slots, slot), slots.size - 1)
+    return np.where(slots[at] == slot, ranks[at], 0)
+
+
+def keys(hashes: np.ndarray, rank: np.ndarray) -> list[np.ndarray]:
     """The 64-bit keys of the d + 1 first cells of a set, in its own band and where needed in the next."""
     n = hashes.size
     if not n:
         return []
-    rank = np.zeros(n, np.int64)
-    if slots.size:
-        slot = (hashes & _U(SLOTS - 1)).astype(np.int64)
-        at = np.minimum(np.searchsorted(slots, slot), slots.size - 1)
-        rank = np.where(slots[at] == slot, ranks[at], 0)
     need = (n + 4 * n // 3) // 7 + 1
     out = []
     for cells in dict.fromkeys((_band(n), _band(4 * n // 3))):
@@ -153,19 +158,27 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """
     some = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
     counts = some.mapInArrow(_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= RARE)
-    got = sorted((r["slot"], r["n"]) for r in counts.orderBy(F.col("n").desc(), "slot").limit(COUNTED).collect())
+    with common.scratch(counts, "counts") as counts:
+        level = F.floor(F.log2("n") * 64).cast("int")
+        least, room = 0, COUNTED
+        for lv, k in sorted(((r["lv"], r["count"]) for r in counts.groupBy(level.alias("lv")).count().collect()), reverse=True):
+            room -= k
+            if room < 0:
+                least = lv + 1
+                break
+        got = sorted((r["slot"], r["n"]) for r in counts.where(level >= least).collect())
     return np.array([s for s, _ in got], np.int64), np.log2(np.array([n for _, n in got], float) + 1e-9).astype(np.int64)
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, leader (the first row of the task with the same set); of leaders digest, sketch and cell keys."""
+    """doc_id, n_shingles, leader (the first row of the task with the same set); of leaders digest, sketch, centre (the smaller the more central) and cell keys."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs))
 
     def run(batches):
         import pyarrow as pa
         import xxhash
 
-        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("leader", pa.int64()), ("digest", pa.binary()), ("sketch", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("leader", pa.int64()), ("digest", pa.binary()), ("sketch", pa.list_(pa.int64())), ("centre", pa.int64()), ("keys", pa.list_(pa.int64()))])
         first: dict[bytes, int] = {}
         slots, ranks = shared.value
 
@@ -179,14 +192,15 @@ def profiles(docs: DataFrame) -> DataFrame:
         rows: list[tuple] = []
         n_keys = 0
         for doc, hashes in _texts(batches):
-            row = (doc, hashes.size, doc, None, None, None)
+            row = (doc, hashes.size, doc, None, None, None, None)
             if doc is not None and hashes.size:
                 digest = xxhash.xxh3_128_digest(hashes.tobytes())
                 leader = first.setdefault(digest, doc)
-                row = (doc, hashes.size, leader, None, None, None)
+                row = (doc, hashes.size, leader, None, None, None, None)
                 if leader == doc:
-                    own = np.concatenate(keys(hashes, slots, ranks))
-                    row = (doc, hashes.size, doc, digest, _sketch(hashes), own)
+                    rank = ranked(hashes, slots, ranks)
+                    own = np.concatenate(keys(hashes, rank))
+                    row = (doc, hashes.size, doc, digest, _sketch(hashes), -int(64 * rank.mean()), own)
                     n_keys += own.size
             rows.append(row)
             if n_keys >= 1 << 20 or len(rows) >= 10_000:
@@ -195,24 +209,24 @@ def profiles(docs: DataFrame) -> DataFrame:
         if rows:
             yield flush(rows)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, leader long, digest binary, sketch array<long>, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, leader long, digest binary, sketch array<long>, centre long, keys array<long>")
 
 
 def _stars(batches):
-    """(key, hub, doc_id) for rows in order of key and doc_id: every other document of a key with its first."""
+    """(key, hub, doc_id, centre) for rows in order of key, centre and doc_id: every other document of a key with its first."""
     import pyarrow as pa
 
-    last_key, last_hub = None, 0
+    last = (None, 0, 0)
     for batch in batches:
-        key, doc = (batch.column(c).to_numpy() for c in ("key", "doc_id"))
+        key, doc, centre = (batch.column(c).to_numpy() for c in ("key", "doc_id", "centre"))
         if not key.size:
             continue
-        new = np.concatenate([[last_key is None or key[0] != last_key], key[1:] != key[:-1]])
+        new = np.concatenate([[last[0] is None or key[0] != last[0]], key[1:] != key[:-1]])
         starts = np.maximum.accumulate(np.where(new, np.arange(key.size), -1))
-        hub = np.where(starts >= 0, doc[np.maximum(starts, 0)], last_hub)
-        last_key, last_hub = key[-1], hub[-1]
+        hub, of = (np.where(starts >= 0, x[np.maximum(starts, 0)], y) for x, y in zip((doc, centre), last[1:]))
+        last = key[-1], hub[-1], of[-1]
         meet = hub != doc
-        yield pa.RecordBatch.from_arrays([pa.array(key[meet]), pa.array(hub[meet]), pa.array(doc[meet])], names=["key", "hub", "doc_id"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[meet]) for x in (key, hub, doc, of)], names=["key", "hub", "doc_id", "centre"])
 
 
 @F.pandas_udf(T.BooleanType())
@@ -268,9 +282,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with common.scratch(profiles(docs), "profiles") as found:
-        every = common.stage(found.drop("keys"), "summaries")
-        cells = found.select(F.explode("keys").alias("key"), "doc_id")
-        meetings = common.stage(cells.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_stars, "key long, hub long, doc_id long"), "meetings")
+        every = common.stage(found.drop("keys", "centre"), "summaries")
+        cells = found.select(F.explode("keys").alias("key"), "doc_id", "centre").repartition("key").sortWithinPartitions("key", "centre", "doc_id")
+        meetings = common.stage(cells.mapInArrow(_stars, "key long, hub long, doc_id long, centre long"), "meetings")
     leaders = every.where(F.col("digest").isNotNull())
     same = leaders.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     of = common.stage(leaders.join(same, "digest").select("doc_id", "rep", "n_shingles", F.when(F.col("doc_id") == F.col("rep"), F.col("sketch")).alias("sketch")), "representatives")
@@ -280,8 +294,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = common.cut(own.join(of.select(F.col("doc_id").alias("leader"), "rep"), "leader").select("doc_id", "rep").distinct())
 
     copies = of.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).union(own.select("doc_id", "leader")).where("a != b")
-    # Each document's smallest partner first; of the other pairs only those that are still apart.
-    first = common.cut(_as_reps(meetings.groupBy("doc_id").agg(F.min("hub").alias("hub")), reps))
+    # Each document's most central partner first; of the other pairs only those that are still apart.
+    first = common.cut(_as_reps(meetings.groupBy("doc_id").agg(F.min_by("hub", "centre").alias("hub")), reps))
     links = common.cut(verified(first, docs, sets).union(copies))
     label = components.components(links)
 
