@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 from tallyloom.llm import common, components
 
 WORDS, BAND, LEAST_BITS = 5, 4, 256
+LEAST_LONGS = LEAST_BITS // 64
 #: One of SAMPLE texts is counted for the order of cells; slots seen RARE times or more there are ranked, the COUNTED most frequent at most.
 SAMPLE, RARE, SLOTS, COUNTED = 8, 2, 1 << 26, 1 << 18
 _U = np.uint64
@@ -311,16 +312,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = common.cut(links.union(more))
         label = components.components(links)
 
-    # Documents that share a cell but not a component: every pair of different components is tried.
+    # Documents that share a cell but not a component: every pair of different components is compared by
+    # sketches folded to LEAST_BITS within the join, so that only pairs that may be links come out of it.
     torn = astride().select("key").distinct()
     there = meetings.join(torn, "key", "left_semi")
     members = there.select("key", F.col("hub").alias("id")).union(there.select("key", "doc_id")).distinct()
-    sizes = of.select(F.col("doc_id").alias("id"), "n_shingles")
-    members = common.stage(members.join(label, "id", "left").join(sizes, "id").select("key", "id", F.coalesce("component", "id").alias("c"), "n_shingles"), "members")
-    one, two = (members.select("key", F.col("id").alias(i), F.col("c").alias(f"c_{i}"), F.col("n_shingles").alias(f"n_{i}")) for i in ("hub", "doc_id"))
-    alike = 4 * F.least("n_hub", "n_doc_id") >= 3 * F.greatest("n_hub", "n_doc_id")
-    crossing = one.join(two, "key").where((F.col("c_hub") < F.col("c_doc_id")) & alike).select("hub", "doc_id").distinct()
-    more = verified(_as_reps(crossing, reps).join(tried, ["a", "b"], "left_anti"), docs, sets)
+    who = of.select(F.col("doc_id").alias("id"), "rep", "n_shingles")
+    members = members.join(label, "id", "left").join(who, "id").select("key", "rep", F.coalesce("component", "id").alias("c"), "n_shingles").distinct()
+    folds = [F.aggregate(F.filter("sketch", lambda x, i, k=k: i % LEAST_LONGS == k), F.lit(0).cast("long"), lambda t, x: t.bitwiseXOR(x)).alias(f"x{k}") for k in range(LEAST_LONGS)]
+    members = common.stage(members.join(sets.select(F.col("doc_id").alias("rep"), *folds), "rep"), "members")
+    one, two = (members.select("key", *(F.col(c).alias(f"{c}_{i}") for c in members.columns if c != "key")) for i in ("a", "b"))
+    alike = 4 * F.least("n_shingles_a", "n_shingles_b") >= 3 * F.greatest("n_shingles_a", "n_shingles_b")
+    apart = sum((F.bit_count(F.col(f"x{k}_a").bitwiseXOR(F.col(f"x{k}_b"))) for k in range(LEAST_LONGS)), F.lit(0))
+    crossing = one.join(two, "key").where((F.col("c_a") < F.col("c_b")) & alike & (7 * apart <= F.col("n_shingles_a") + F.col("n_shingles_b")))
+    crossing = crossing.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+    more = verified(crossing.join(tried, ["a", "b"], "left_anti"), docs, sets)
     if not more.isEmpty():
         label = components.components(links.union(more))
 
