@@ -263,6 +263,11 @@ def _apart(a: str, b: str):
     return F.aggregate(F.zip_with(folded(a, n), folded(b, n), lambda x, y: F.bit_count(xor(x, y))), F.lit(0), lambda t, x: t + x)
 
 
+def _fold(sketch: str, k: int):
+    """The k-th long of a sketch folded to LEAST_BITS."""
+    return F.aggregate(F.filter(sketch, lambda x, i: i % LEAST_LONGS == k), F.lit(0).cast("long"), lambda t, x: t.bitwiseXOR(x))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that are links: first by size and packed sketch, then by whole sets.
 
@@ -319,7 +324,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = there.select("key", F.col("hub").alias("id")).union(there.select("key", "doc_id")).distinct()
     who = of.select(F.col("doc_id").alias("id"), "rep", "n_shingles")
     members = members.join(label, "id", "left").join(who, "id").select("key", "rep", F.coalesce("component", "id").alias("c"), "n_shingles").distinct()
-    folds = [F.aggregate(F.filter("sketch", lambda x, i, k=k: i % LEAST_LONGS == k), F.lit(0).cast("long"), lambda t, x: t.bitwiseXOR(x)).alias(f"x{k}") for k in range(LEAST_LONGS)]
+    folds = [_fold("sketch", k).alias(f"x{k}") for k in range(LEAST_LONGS)]
     members = common.stage(members.join(sets.select(F.col("doc_id").alias("rep"), *folds), "rep"), "members")
     one, two = (members.select("key", *(F.col(c).alias(f"{c}_{i}") for c in members.columns if c != "key")) for i in ("a", "b"))
     alike = 4 * F.least("n_shingles_a", "n_shingles_b") >= 3 * F.greatest("n_shingles_a", "n_shingles_b")
