@@ -12,9 +12,6 @@ from pyspark.sql import types as T
 from tallyloom.functions.columns import context
 from tallyloom.operators.tables import after
 
-#: Characters of a text that a pattern is tried on.
-PATTERN_PREFIX = 256 * 1024
-
 
 class UnsafePattern(ValueError):
     """A pattern with an unbounded repeat inside another, which may take exponential time."""
@@ -67,11 +64,10 @@ def substring(df: DataFrame, text: str, needle: str, *, ignore_case: bool = True
 
 
 def pattern(df: DataFrame, text: str, expression: str) -> DataFrame:
-    """Rows that match, with ``hit`` (the matched text) and ``truncated`` (only a prefix was tried)."""
+    """Rows that match anywhere in the text, with ``hit`` (the first matched text) and ``truncated``: false, whole texts are tried."""
     check_pattern(expression)
-    tried = F.substring(text, 1, PATTERN_PREFIX)
-    out = df.where(tried.rlike(expression))
-    return out.withColumn("hit", F.regexp_substr(tried, F.lit(expression))).withColumn("truncated", F.length(text) > PATTERN_PREFIX)
+    out = df.where(F.col(text).rlike(expression))
+    return out.withColumn("hit", F.regexp_substr(text, F.lit(expression))).withColumn("truncated", F.lit(False))
 
 
 def resume(found: DataFrame, keys: list[str], last: list, most: int = 500) -> DataFrame:

@@ -76,6 +76,13 @@ def test_unsafe_patterns_are_refused():
         search.check_pattern(good)
 
 
+def test_patterns_are_tried_on_whole_texts(spark):
+    far = "\U0001f600" + "x" * 300_000
+    own = spark.createDataFrame([(1, f"{far} 12.3.4"), (2, f"12.3.4 {far}"), (3, far), (4, None)], "id int, text string")
+    got = search.pattern(own, "text", r"[0-9]{2,3}\.[0-9]+\.[0-9]+").select("id", "hit", "truncated").collect()
+    assert sorted(map(tuple, got)) == [(1, "12.3.4", False), (2, "12.3.4", False)]
+
+
 def test_unknown_sorts_last_both_ways_and_poisons_sums(spark):
     own = spark.createDataFrame([("b", 2, 1), ("a", None, 2), ("c", 1, 3), ("d", 2, 4)], "t string, n int, ord int")
     assert [r["t"] for r in tables.page(own, [("n", False)], "ord", 0).collect()] == ["c", "b", "d", "a"]
