@@ -262,3 +262,17 @@ def test_broken_pictures_are_alone(spark):
     rows = [(1, None, 8, 8), (2, b"", 0, 0), (3, b"123", 8, 8), (4, bytes(4096), 64, 64), (None, bytes(64), 8, 8)]
     got = media.copies(spark.createDataFrame(rows, "media_id long, pixels binary, width int, height int")).collect()
     assert sorted((str(r["media_id"]), r["n_corners"], str(r["group_id"])) for r in got) == [("1", 0, "1"), ("2", 0, "2"), ("3", 0, "3"), ("4", 0, "4"), ("None", 0, "None")]
+
+
+def test_crops_of_large_and_equal_flat_pictures_are_copies(spark):
+    rng = np.random.default_rng(8)
+    large = np.full((512, 512), 40, np.uint8)
+    for k in range(1600):
+        y, x = rng.integers(0, 512, 2)
+        strong = y < 352  # the cropped part has the weaker corners
+        large[y : y + rng.integers(4, 18), x : x + rng.integers(4, 18)] = rng.integers(0, 255) if strong else rng.integers(60, 160)
+    crop = np.ascontiguousarray(large[384:, 64:320])
+    flat, small = bytes([7]) * 4096, bytes(range(100))
+    rows = [(1, large.tobytes(), 512, 512), (2, crop.tobytes(), 256, 128), (3, flat, 64, 64), (4, flat, 64, 64), (5, small, 10, 10), (6, small, 10, 10), (7, small, 20, 5)]
+    got = media.copies(spark.createDataFrame(rows, "media_id long, pixels binary, width int, height int")).collect()
+    assert {r["media_id"]: r["group_id"] for r in got} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5, 7: 7}
