@@ -276,3 +276,10 @@ def test_crops_of_large_and_equal_flat_pictures_are_copies(spark):
     rows = [(1, large.tobytes(), 512, 512), (2, crop.tobytes(), 256, 128), (3, flat, 64, 64), (4, flat, 64, 64), (5, small, 10, 10), (6, small, 10, 10), (7, small, 20, 5)]
     got = media.copies(spark.createDataFrame(rows, "media_id long, pixels binary, width int, height int")).collect()
     assert {r["media_id"]: r["group_id"] for r in got} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5, 7: 7}
+
+
+def test_recall_holds_as_pictures_grow_in_number(spark):
+    vectors = spark.range(1200).selectExpr("id as vec_id", "transform(sequence(0, 7), i -> float(sin(id * 7.3 + i))) as embedding").repartition(8)
+    made = media.render(vectors).cache()
+    got = media.copies(made).join(made.select("media_id", "source_id"), "media_id").where("source_id != media_id").collect()
+    assert len(got) == 300 and sum(r["group_id"] == r["source_id"] for r in got) >= 285
