@@ -62,7 +62,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int =
     """(doc_id, text, y) of at most ``bound`` labelled documents, chosen by hash of doc_id among all learnable ones.
 
     Null ids and null labels are left out; of several labels of one document the larger counts. The
-    chosen ids (at most ``bound``, a documented constant) are what is broadcast.
+    chosen ids (at most ``bound``, a documented constant) are what is broadcast. Of several rows of one
+    document the text with the least hash stands for it, so that ``bound`` is one of rows.
     """
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
@@ -73,4 +74,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int =
         .limit(bound)
     )
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return own.join(F.broadcast(chosen), "doc_id")
+    text = F.min_by("text", F.struct(F.xxhash64("text").alias("hash"), "text")).alias("text")
+    return own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(text).select("doc_id", "text", "y")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.llm import components, media, ngram_join, pii_crf, quality_gbt, rule_list, secrets_forest, shards, text_stats
+from tallyloom.llm import common, components, media, ngram_join, pii_crf, quality_gbt, rule_list, secrets_forest, shards, text_stats
 
 W = r"[^\x20\x09-\x0D]+"
 
@@ -283,3 +283,14 @@ def test_recall_holds_as_pictures_grow_in_number(spark):
     made = media.render(vectors).cache()
     got = media.copies(made).join(made.select("media_id", "source_id"), "media_id").where("source_id != media_id").collect()
     assert len(got) == 300 and sum(r["group_id"] == r["source_id"] for r in got) >= 285
+
+
+# Bounds and samples
+
+
+def test_the_bound_of_the_fitting_sample_is_one_of_rows(spark):
+    docs = spark.range(900).selectExpr("if(id < 300, 3, id) as doc_id", "concat('text ', id) as text")
+    got = common.labelled_sample(docs, docs.selectExpr("doc_id", "1 as quality").distinct(), "quality", 50).collect()
+    assert len(got) == 50 == len({r["doc_id"] for r in got}) and all(r["text"] and r["y"] == 1 for r in got)
+    again = common.labelled_sample(docs.repartition(5), docs.selectExpr("doc_id", "1 as quality"), "quality", 50).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
