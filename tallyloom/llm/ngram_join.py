@@ -347,6 +347,13 @@ def _as_reps(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents that have a smaller near copy; what has no words stays."""
-    gone = near_duplicates(docs).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of ``docs`` for each group of near copies, that of the smallest doc_id (null last); rows without words all stay.
+
+    Rows and not documents are grouped: of repeated rows one stays, whatever their doc_id, and a row never goes because of
+    another one with its doc_id.
+    """
+    own = common.stage(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = near_duplicates(own.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("doc_id"), "_row")
+    first = own.select("_row", "doc_id").join(groups, "_row").groupBy("_group").agg(F.min(rank)["_row"].alias("_row"))
+    return own.join(first, "_row", "left_semi").select(*docs.columns)

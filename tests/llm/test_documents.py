@@ -294,3 +294,10 @@ def test_the_bound_of_the_fitting_sample_is_one_of_rows(spark):
     assert len(got) == 50 == len({r["doc_id"] for r in got}) and all(r["text"] and r["y"] == 1 for r in got)
     again = common.labelled_sample(docs.repartition(5), docs.selectExpr("doc_id", "1 as quality"), "quality", 50).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b = "one two three four five six seven", "red green blue white black brown grey"
+    rows = [(9, a), (9, a), (None, a), (9, b), (None, b + " x y z u v w q"), (None, b + " x y z u v w q"), (4, ""), (4, None), (None, " ")]
+    got = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(str, got)) == sorted(f"Row(doc_id={d}, text={t!r})" for d, t in [rows[0], *rows[3:5], *rows[6:]])
