@@ -9,7 +9,7 @@ loopy belief propagation over all documents of an Arrow batch at once. Runs of t
 kind with probability SURE or more, and touch no base span, are added to the spans.
 
 Weights are fitted by pseudo-likelihood on the base labels of a bounded sample of documents (about
-FIT_DOCS, chosen by hash).
+FIT_DOCS, chosen by hash), FIT_TOKENS of their tokens at most by a hash of document and place.
 
 Defined results: null texts are empty and have no spans; repeated rows get equal spans; without any
 personal data in the sample nothing is added; other columns are not looked at.
@@ -33,6 +33,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_OCTET = re.compile(r"[0-9]{1,3}")
 _HINT = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"\S+")
 _OUTER = " \t\n\r.,;:!?\"'`<>[]{}#*$%&|"
@@ -90,7 +91,7 @@ def _traits(token: str, before: str, after: str) -> list[str]:
         f"open:{core.startswith('(')}{core.endswith(')')}",
         f"dashes:{min(core.count('-'), 3)}",
         f"dots:{min(core.count('.'), 5)}",
-        f"octets:{len(parts) == 4 and all(p.isdigit() and len(p) < 4 and int(p) < 256 for p in parts)}",
+        f"octets:{len(parts) == 4 and all(_OCTET.fullmatch(p) and int(p) < 256 for p in parts)}",
         f"luhn:{14 <= len(digits) <= 19 and luhn(digits)}",
         f"before:{bool(_HINT.search(before))}{before[:1] == '+'}{before[:1] == '('}",
         f"after:{bool(_HINT.search(after))}{after[:1] == '('}",
@@ -215,13 +216,14 @@ def all_spans(texts: list[str], field: Field) -> list[tuple[list, list]]:
 
 
 def _examples(batches):
-    """traits, y, and the labels of the neighbours (chain before, after, and over distance), of each token."""
+    """at (a hash of the document's and the token's place), traits, y, and the labels of the neighbours (chain before, after, and over distance), of each token."""
     import pyarrow as pa
+    import xxhash
 
-    names = ["traits", "y", "before", "after", "alike"]
+    names = ["at", "traits", "y", "before", "after", "alike"]
     for batch in batches:
         rows = []
-        for text in batch.column("text"):
+        for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text")):
             t = text.as_py() or ""
             g = graph(t, base_spans(t))
             before, after, alike = [-1] * len(g.spans), [-1] * len(g.spans), [-1] * len(g.spans)
@@ -229,17 +231,18 @@ def _examples(batches):
                 before[b], after[a] = g.labels[a], g.labels[b]
             for a, b in g.skip:
                 alike[a], alike[b] = g.labels[b], g.labels[a]
-            rows += zip(g.traits, g.labels, before, after, alike)
-        cols = list(zip(*rows)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.list_(pa.string())), *(pa.array(c, pa.int32()) for c in cols[1:])], names=names)
+            at = [xxhash.xxh3_64_intdigest(f"{doc},{a}") - 2**63 for a, _ in g.spans]
+            rows += zip(at, g.traits, g.labels, before, after, alike)
+        cols = list(zip(*rows)) or [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.string())), *(pa.array(c, pa.int32()) for c in cols[2:])], names=names)
 
 
 def fit(docs: DataFrame) -> Field:
     """Weights from the base labels of about FIT_DOCS documents, FIT_TOKENS tokens at most."""
     one_in = max(1, docs.count() // FIT_DOCS)
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).select("text").where(F.col("text").rlike("[0-9@]"))
-    rows = some.mapInArrow(_examples, "traits array<string>, y int, before int, after int, alike int")
-    got = rows.orderBy(F.xxhash64(*rows.columns), *rows.columns).limit(FIT_TOKENS).collect()
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).select(F.xxhash64("doc_id", "text").alias("doc"), "text").where(F.col("text").rlike("[0-9@]"))
+    rows = some.mapInArrow(_examples, "at long, traits array<string>, y int, before int, after int, alike int")
+    got = rows.orderBy(*rows.columns).limit(FIT_TOKENS).collect()
     return train([(r["traits"], r["y"], r["before"], r["after"], r["alike"]) for r in got])
 
 

@@ -301,3 +301,13 @@ def test_one_row_of_each_group_stays(spark):
     rows = [(9, a), (9, a), (None, a), (9, b), (None, b + " x y z u v w q"), (None, b + " x y z u v w q"), (4, ""), (4, None), (None, " ")]
     got = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted(map(str, got)) == sorted(f"Row(doc_id={d}, text={t!r})" for d, t in [rows[0], *rows[3:5], *rows[6:]])
+
+
+def test_field_is_fitted_on_a_share_of_all_tokens(spark, monkeypatch):
+    assert "octets:False" in pii_crf._traits("10.0.0.\u00b2", "", "") and "octets:True" in pii_crf._traits("10.0.0.25", "", "")
+    monkeypatch.setattr(pii_crf, "FIT_TOKENS", 100)
+    monkeypatch.setattr(pii_crf, "train", lambda rows: rows)
+    docs = spark.range(2000).selectExpr("id as doc_id", "repeat('7', int(1 + id % 20)) as text")
+    got = pii_crf.fit(docs)
+    assert len(got) == 100 and len({str(r) for r in got}) >= 15
+    assert sorted(map(str, pii_crf.fit(docs.repartition(5)))) == sorted(map(str, got))
