@@ -61,8 +61,7 @@ def fitting_bins(df: DataFrame, at: str, origin: int, width: int, most: int) ->
     return bins(df, [], at, origin, width), width
 
 
-def days_touched(df: DataFrame, start: str, end: str, most: int = 100_000) -> DataFrame:
-    """(day, n): intervals that touch each calendar day; a longer one than ``most`` days is cut there."""
-    last = F.least(F.to_date(end), F.date_add(F.to_date(start), most - 1))
-    day = F.explode(F.sequence(F.to_date(start), last))
+def days_touched(df: DataFrame, start: str, end: str) -> DataFrame:
+    """(day, n): intervals that touch each calendar day."""
+    day = F.explode(F.sequence(F.to_date(start), F.to_date(end)))
     return df.where(F.to_date(end) >= F.to_date(start)).select(day.alias("_d")).groupBy(F.date_format("_d", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))

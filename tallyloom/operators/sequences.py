@@ -96,20 +96,24 @@ def latest(df: DataFrame, keys: Sequence[str], sequence: str, values: Sequence[s
     return df.groupBy(*keys).agg(*aggs)
 
 
-def lineage(edges: DataFrame, child: str, parent: str, most: int = 64) -> DataFrame:
+def lineage(edges: DataFrame, child: str, parent: str) -> DataFrame:
     """(id, root, depth, cyclic) of every child and parent: pointer jumping, so log2(depth) rounds of joins.
 
-    An id that meets itself upwards is cyclic and has a null root. ``most`` bounds the depth that is followed.
+    An id that meets itself upwards is cyclic and has a null root. Rounds go on until all ids have a root or one
+    adds no root: while an id without a cycle above it is open, each round finishes at least one.
     """
     from tallyloom.operators.storage import cut
 
     up = edges.select(F.col(child).alias("id"), F.col(parent).alias("up")).where("id is not null")
     ids = up.select("id").union(up.where("up is not null").select("up")).distinct()
-    state = ids.join(up.groupBy("id").agg(F.min("up").alias("up")), "id", "left").select("id", "up", F.when(F.col("up").isNotNull(), 1).otherwise(0).alias("depth"), F.coalesce("up", "id").alias("root"))
-    for _ in range(max(1, most).bit_length()):
+    state = ids.join(up.groupBy("id").agg(F.min("up").alias("up")), "id", "left").select("id", "up", F.when(F.col("up").isNotNull(), 1).otherwise(0).cast("long").alias("depth"), F.coalesce("up", "id").alias("root"))
+    open_before = None
+    while True:
         state = cut(state)
-        if state.where("up is not null").isEmpty():
+        still = state.where("up is not null").count()
+        if not still or still == open_before:
             break
+        open_before = still
         above = state.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("root").alias("_root"))
         state = state.join(above, "up", "left").select("id", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), F.coalesce("_root", "root").alias("root"))
     loop = F.col("up").isNotNull()

@@ -142,7 +142,7 @@ UNION ALL SELECT r.root, e.id, r.depth + 1 FROM r JOIN e ON e.up = r.id) SELECT
 def lineage_depth(spark, sf_dir):
     own = _table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.concat(F.lit("r"), "n_regionkey").alias("up"))
     own = own.union(_table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey"), F.concat(F.lit("n"), "c_nationkey")))
-    return sequences.lineage(own, "id", "up", most=8)
+    return sequences.lineage(own, "id", "up")
 
 
 @query("""WITH d AS (SELECT user_id, CAST(ts AS DATE) AS d FROM events GROUP BY 1, 2), g AS (SELECT *, lag(d) OVER (PARTITION BY user_id ORDER BY d) AS p FROM d)

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import audit, ledger, search, tables, transcripts
+from tallyloom.operators import audit, intervals, ledger, search, sequences, tables, transcripts
 from tallyloom.sources import logs
 
 from store import A, AGENT, B, CHILD, RUN, TCU_A, TCU_B, build
@@ -83,6 +83,14 @@ def test_patterns_are_tried_on_whole_texts(spark):
     assert sorted(map(tuple, got)) == [(1, "12.3.4", False), (2, "12.3.4", False)]
 
 
+def test_deep_lineage_has_a_root_and_long_intervals_all_days(spark):
+    deep = spark.range(300).selectExpr("id + 1 as id", "id as up").union(spark.sql("select * from values (1001L, 1002L), (1002L, 1001L), (1003L, 1001L)"))
+    got = {r["id"]: (r["root"], r["depth"], r["cyclic"]) for r in sequences.lineage(deep, "id", "up").collect()}
+    assert got == {**{i: (0, i, False) for i in range(301)}, **{i: (None, None, True) for i in (1001, 1002, 1003)}}
+    ages = spark.sql("select date'1500-01-01' as s, date'2000-01-01' as e")
+    assert intervals.days_touched(ages, "s", "e").count() == 182_622
+
+
 def test_unknown_sorts_last_both_ways_and_poisons_sums(spark):
     own = spark.createDataFrame([("b", 2, 1), ("a", None, 2), ("c", 1, 3), ("d", 2, 4)], "t string, n int, ord int")
     assert [r["t"] for r in tables.page(own, [("n", False)], "ord", 0).collect()] == ["c", "b", "d", "a"]
