@@ -90,20 +90,52 @@ class ChunkEncoder:
         return out
 
 
-_CACHE: dict[str, ChunkEncoder] = {}
+class AddedTokens:
+    """Texts to ids where strings of the vocabulary's added tokens stand for one id each, as the tokenizers library has it.
+
+    A text is cut at them, the leftmost and longest first; what stands between is encoded as texts of its own.
+    """
+
+    def __init__(self, encode: Callable[[Iterable[str]], list[bytes]], added: dict[str, int]):
+        self.encode = encode
+        self.ids = {t: little_endian([i]) for t, i in added.items()}
+        self.find = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")").split if added else None
+
+    def __call__(self, texts: Iterable[str]) -> list[bytes]:
+        if self.find is None:
+            return self.encode(texts)
+        texts = list(texts)
+        where = [i for i, t in enumerate(texts) if any(x in t for x in self.ids)]
+        if not where:
+            return self.encode(texts)
+        cut = [self.find(texts[i]) for i in where]
+        for i in where:
+            texts[i] = ""
+        between = [x for parts in cut for x in parts[::2]]
+        got = self.encode(texts + between)
+        out, rest = got[: len(texts)], iter(got[len(texts) :])
+        for i, parts in zip(where, cut):
+            out[i] = b"".join([self.ids[x] if k % 2 else next(rest) for k, x in enumerate(parts)])
+        return out
+
+
+_CACHE: dict[str, AddedTokens] = {}
 
 
-def tokenizers_encoder(path: str) -> ChunkEncoder:
+def tokenizers_encoder(path: str) -> AddedTokens:
     """An encoder by the tokenizers library, kept for later tasks of the same worker.
 
-    Strings of special tokens in a text are ordinary text.
+    Strings of added tokens in a text become their ids, as the library does without further settings.
     """
     if path not in _CACHE:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         own = Tokenizer.from_file(path)
-        own.encode_special_tokens = True
+        added = {t.content: (i, t) for i, t in own.get_added_tokens_decoder().items()}
+        if any(t.lstrip or t.rstrip or t.single_word for _, t in added.values()):
+            raise ValueError("added tokens that take their surroundings in are not supported")
+        own.encode_special_tokens = True  # the pieces below have none
 
         def encode(pieces: list[str]) -> list[bytes]:
             alone, spaced = [], []
@@ -120,7 +152,7 @@ def tokenizers_encoder(path: str) -> ChunkEncoder:
                 out.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(some, starts, starts[1:]))
             return [out[p] for p in pieces]
 
-        _CACHE[path] = ChunkEncoder(encode)
+        _CACHE[path] = AddedTokens(ChunkEncoder(encode), {t: i for t, (i, _) in added.items()})
     return _CACHE[path]
 
 
