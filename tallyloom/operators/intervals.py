@@ -62,6 +62,14 @@ def fitting_bins(df: DataFrame, at: str, origin: int, width: int, most: int) ->
 
 
 def days_touched(df: DataFrame, start: str, end: str) -> DataFrame:
-    """(day, n): intervals that touch each calendar day."""
-    day = F.explode(F.sequence(F.to_date(start), F.to_date(end)))
-    return df.where(F.to_date(end) >= F.to_date(start)).select(day.alias("_d")).groupBy(F.date_format("_d", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    """(day, n): intervals that touch each calendar day.
+
+    One step up at the first day and one down after the last; what is sorted are the days on which a step falls, of
+    which a calendar has few, and not the days of all intervals.
+    """
+    a, b = F.to_date(start), F.to_date(end)
+    steps = df.where(b >= a).select(F.explode(F.array(F.struct(a.alias("d"), F.lit(1).alias("n")), F.struct(F.date_add(b, 1).alias("d"), F.lit(-1).alias("n")))).alias("e"))
+    steps = steps.groupBy(F.col("e.d").alias("d")).agg(F.sum("e.n").alias("n"))
+    w = Window.orderBy("d")  # a row a calendar day at most
+    level = steps.select("d", F.date_sub(F.lead("d").over(w), 1).alias("last"), F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long").alias("n")).where("n > 0")
+    return level.select(F.explode(F.sequence("d", "last")).alias("d"), "n").select(F.date_format("d", "yyyy-MM-dd").alias("day"), "n")

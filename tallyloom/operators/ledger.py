@@ -141,6 +141,7 @@ def billed_rows(kept: DataFrame) -> DataFrame:
         "speed_absent": _get(top, "$.speed").isNull(),
         "service_tier_absent": _get(top, "$.service_tier").isNull(),
         "ttl_recorded": both(top),
+        "cache_break": split & _get(el, "$.cache_creation_input_tokens").isNotNull() & (values["cache5m"][0] + values["cache1h"][0] != values["cache_flat"][0]),
         "violations": violations.cast("int"),
     }
     return own.withColumns({**out, **flags}).drop("u", "el", "usage", "_i", "_n")

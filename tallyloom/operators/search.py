@@ -63,11 +63,11 @@ def substring(df: DataFrame, text: str, needle: str, *, ignore_case: bool = True
     return out.withColumn("ctx", context(F.col("_t"), F.col("hit").cast("int"), len(wanted))).drop("_t")
 
 
-def pattern(df: DataFrame, text: str, expression: str) -> DataFrame:
-    """Rows that match anywhere in the text, with ``hit`` (the first matched text) and ``truncated``: false, whole texts are tried."""
+def pattern(df: DataFrame, text: str, expression: str, *, normalise: bool = False) -> DataFrame:
+    """Rows that match anywhere in the text (composed first if asked), with ``hit`` (the first matched text) and ``truncated``: false, whole texts are tried."""
     check_pattern(expression)
-    out = df.where(F.col(text).rlike(expression))
-    return out.withColumn("hit", F.regexp_substr(text, F.lit(expression))).withColumn("truncated", F.lit(False))
+    own = df.withColumn("_t", nfc(F.col(text)) if normalise else F.col(text)).where(F.col("_t").rlike(expression))
+    return own.withColumn("hit", F.regexp_substr("_t", F.lit(expression))).withColumn("truncated", F.lit(False)).drop("_t")
 
 
 def resume(found: DataFrame, keys: list[str], last: list, most: int = 500) -> DataFrame:

@@ -16,8 +16,8 @@ from tallyloom.sources.logs import _located
 _BLOCK_KINDS = ("text", "thinking", "tool_use", "tool_result", "fallback", "image")
 #: Event types that are snapshots of a state: their latest value and number count, not each row. Fixed values.
 SNAPSHOTS = ("last-prompt", "ai-title", "custom-title", "mode", "pr-link", "frame-link")
-#: What a file tool does to the path it names. Fixed values.
-FILE_OPS = {"Read": "read", "Write": "write", "Edit": "edit", "MultiEdit": "edit", "NotebookEdit": "edit", "Glob": "search"}
+#: Of each file tool, the input field that holds its path and what it does to it. Fixed values.
+PATH_TOOLS = {"Read": ("file_path", "read"), "Write": ("file_path", "write"), "Edit": ("file_path", "edit"), "NotebookEdit": ("notebook_path", "edit"), "Glob": ("path", "search"), "Grep": ("path", "search")}
 
 
 def _get(v: Column, path: str, kind: str = "string") -> Column:
@@ -96,7 +96,11 @@ def _preview(b: Column) -> Column:
 
 
 def _path(b: Column) -> Column:
-    return F.coalesce(_get(b, "$.input.file_path"), _get(b, "$.input.notebook_path"), _get(b, "$.input.path"))
+    """The path that a file tool names in the field that is its own; path-like fields of other tools are no file operations."""
+    out = F.lit(None).cast("string")
+    for field in sorted({f for f, _ in PATH_TOOLS.values()}):
+        out = F.when(_get(b, "$.name").isin(*(t for t, (f, _) in PATH_TOOLS.items() if f == field)), _get(b, f"$.input.{field}")).otherwise(out)
+    return out
 
 
 def turn_of_lines(own: DataFrame) -> DataFrame:
@@ -165,7 +169,7 @@ def tool_histogram(all_rows: DataFrame) -> DataFrame:
 
 def file_ledger(all_rows: DataFrame) -> DataFrame:
     """(path, tier, op counts): what tools did to each path."""
-    op = F.create_map(*(F.lit(x) for pair in FILE_OPS.items() for x in pair))
+    op = F.create_map(*(F.lit(x) for tool, (_, does) in PATH_TOOLS.items() for x in (tool, does)))
     own = all_rows.where("kind = 'tool_use' and path is not null").withColumn("op", op[F.col("tool")]).where("op is not null")
     return own.groupBy("path", "tier").agg(*(F.count_if(F.col("op") == o).alias(o) for o in ("read", "write", "edit", "search")))
 

@@ -7,22 +7,21 @@ a line that is not one JSON object is kept and marked torn.
 
 from __future__ import annotations
 
-import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Session ids, agent ids and run ids. Fixed values.
 SESSION, AGENT, RUN = "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", "[A-Za-z0-9]+", "wf_[0-9a-f]{8}-[0-9a-f]{3}"
-_HEAVY = r'"(data|base64|signature)"\s*:\s*"([A-Za-z0-9+/=_-]{100,})"'
+#: Keys of long encoded values, with the least length that is taken out, and what such values are written in. Fixed values.
+HEAVY, _ENCODED = {"data": 500, "base64": 500, "signature": 100}, "[A-Za-z0-9+/=_-]"
 _CLASSES = (
     ("main", rf"^[^/]+/{SESSION}\.jsonl$"),
     ("journal", rf"/subagents/workflows/{RUN}/journal\.jsonl$"),
-    ("agent", rf"/subagents/(.*/)?agent-{AGENT}\.jsonl$"),
-    ("meta", rf"/subagents/(.*/)?agent-{AGENT}\.meta\.json$"),
-    ("script", rf"/workflows/scripts/.*-{RUN}\.js$"),
+    ("agent", rf"/subagents/(workflows/{RUN}/)?agent-{AGENT}\.jsonl$"),
+    ("meta", rf"/subagents/(workflows/{RUN}/)?agent-{AGENT}\.meta\.json$"),
+    ("script", r"/workflows/scripts/[^/]+\.js$"),
     ("manifest", rf"/workflows/{RUN}\.json$"),
     ("spill", r"/tool-results/[^/]+$"),
     ("memory", r"^[^/]+/memory/.*\.md$"),
@@ -67,50 +66,63 @@ def sessions(listing: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf(T.BooleanType())
-def _strict(texts):
-    """Whether a text is one JSON object, no more after it: Spark's own parser lets a tail pass."""
+def json_object(text: Column) -> Column:
+    """The VARIANT of a text that is one JSON object and nothing more; null for any other.
 
-    def refuse(_):
-        raise ValueError
-
-    def ok(t) -> bool:
-        try:
-            return isinstance(json.loads(t, parse_constant=refuse), dict)
-        except (ValueError, RecursionError, TypeError):
-            return False
-
-    return texts.map(ok)
+    The built-in parser lets what follows a value pass. As the only element of a list and as a field before another one
+    it doesn't: what would end the list early breaks the object, and the other way round.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    field = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit(',"y":1}')))
+    first = F.try_variant_get(listed, "$[0]", "variant")
+    alone = F.try_variant_get(listed, "$[1]", "variant").isNull() & F.try_variant_get(field, "$.y", "variant").isNotNull()
+    return F.when(F.ltrim(text).startswith("{") & F.schema_of_variant(first).startswith("OBJECT") & alone, first)
 
 
 def strip_heavy(text: Column) -> Column:
-    """The text without the payloads of long base64 fields; only texts long enough to hold one are searched."""
-    return F.when(F.length(text) >= 120, F.regexp_replace(text, _HEAVY, '"$1":""')).otherwise(text)
+    """The text without the values of HEAVY that are long enough; only texts long enough to hold one are searched."""
+    out = text
+    for key, least in HEAVY.items():
+        there = (F.length(text) >= least) & text.contains(f'"{key}"')
+        out = F.when(there, F.regexp_replace(out, f'("{key}":\\s*)"{_ENCODED}{{{least},}}"', '$1""')).otherwise(out)
+    return out
 
 
 def heavy(text: Column) -> Column:
-    """The payloads that strip_heavy takes out, in order: key, length, decoded bytes, first 24 characters."""
-    keys, bodies = F.regexp_extract_all(text, F.lit(_HEAVY), 1), F.regexp_extract_all(text, F.lit(_HEAVY), 2)
-    one = lambda k, b: F.struct(k.alias("key"), F.length(b).alias("length"), F.floor(F.length(F.rtrim(b, F.lit("="))) * 3 / 4).cast("long").alias("bytes"), F.substring(b, 1, 24).alias("head"))
-    return F.zip_with(keys, bodies, one)
+    """The values that strip_heavy takes out, in order: key, length, decoded bytes (null for signatures, which encode nothing), first 24 characters."""
+    pattern = F.lit(f'"({"|".join(HEAVY)})":\\s*"({_ENCODED}{{{min(HEAVY.values())},}})"')
+    long = F.length(text) >= min(HEAVY.values())
+    none = F.array().cast("array<string>")
+    keys, bodies = (F.when(long, F.regexp_extract_all(text, pattern, k)).otherwise(none) for k in (1, 2))
+    size = lambda k, b: F.when(k != "signature", F.floor(F.length(F.rtrim(b, F.lit("="))) * 3 / 4).cast("long"))
+    one = lambda k, b: F.struct(k.alias("key"), F.length(b).alias("length"), size(k, b).alias("bytes"), F.substring(b, 1, 24).alias("head"))
+    least = F.create_map(*(F.lit(x) for pair in HEAVY.items() for x in pair))
+    return F.filter(F.zip_with(keys, bodies, one), lambda b: b["length"] >= least[b["key"]])
 
 
 def lines(spark: SparkSession, root: str) -> DataFrame:
-    """rel, line (from 1), byte_offset, bytes, text (stripped), blobs, event (VARIANT), torn, and where the file stands.
+    """rel, line (from 1), byte_offset, bytes, text (stripped), blobs, event (VARIANT), torn, bom, and where the file stands.
 
-    Bytes are taken as Latin-1 to split on LF with exact lengths; a CR before it and a first BOM go.
+    Files are read by byte range, so that one file is dealt over many tasks; places within a file come from the counts of the
+    ranges before. A CR before the LF and a first BOM go; an unterminated tail isn't there yet.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(root).select("path", "content")
-    cut = F.split(F.decode("content", "ISO-8859-1"), "\n", -1)
-    own = _located(raw, root).withColumn("_l", cut).drop("content", "path")
-    own = own.withColumn("_l", F.slice("_l", 1, F.size("_l") - 1))
-    own = own.select("*", F.posexplode("_l").alias("_p", "_x")).drop("_l")
-    before = Window.partitionBy("rel").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    size = F.length("_x").cast("long")
-    text = F.make_valid_utf8(F.encode("_x", "ISO-8859-1").cast("string"))
-    text = F.regexp_replace(text, "\r$", "")
-    text = F.when(F.col("_p") == 0, F.regexp_replace(text, "^﻿", "")).otherwise(text)
-    own = own.withColumns({"line": (F.col("_p") + 1).cast("long"), "bytes": size, "byte_offset": F.coalesce(F.sum(size + 1).over(before), F.lit(0)), "_t": text})
-    own = own.where(F.length("_t") > 0).withColumns({"text": strip_heavy(F.col("_t")), "blobs": heavy(F.col("_t"))})
-    own = own.withColumn("torn", ~_strict("text"))
-    return own.withColumn("event", F.when(~F.col("torn"), F.try_parse_json("text"))).drop("_p", "_x", "_t")
+    meta = F.col("_metadata")
+    raw = spark.read.text(root, lineSep="\n", recursiveFileLookup=True, pathGlobFilter="*.jsonl")
+    raw = raw.select(F.col("value").alias("_x"), meta["file_path"].alias("path"), meta["file_block_start"].alias("_block"), meta["file_size"].alias("_size"), F.monotonically_increasing_id().alias("_id"))
+    size = F.octet_length("_x").cast("long")
+    blocks = raw.groupBy("path", "_block", "_size").agg(F.count(F.lit(1)).alias("_n"), F.sum(size + 1).alias("_bytes"), F.min("_id").alias("_first"))
+    whole, before = Window.partitionBy("path"), Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    over = F.col("_size") - F.sum("_bytes").over(whole)  # -1: the last line has no LF; 3 more: a BOM, which the reader has skipped
+    blocks = blocks.withColumns({"_bom": F.when(over >= 2, 3).otherwise(0), "_open": over.isin(-1, 2), "_lines": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_at": F.coalesce(F.sum("_bytes").over(before), F.lit(0))})
+    blocks = _located(blocks, root)
+    own = raw.drop("_size").join(blocks.drop("_n", "_bytes"), ["path", "_block"])
+    inside = Window.partitionBy("path", "_block").orderBy("_id")
+    own = own.withColumns({"line": F.col("_lines") + F.row_number().over(inside), "_end": F.col("_at") + F.sum(size + 1).over(inside), "bytes": size})
+    head = F.when(F.col("line") == 1, F.col("_bom")).otherwise(0)
+    own = own.withColumns({"byte_offset": F.when(F.col("line") == 1, F.lit(0)).otherwise(F.col("_end") + F.col("_bom") - size - 1).cast("long"), "bytes": (size + head).cast("long"), "bom": head > 0})
+    own = own.where(~(F.col("_open") & (F.col("_end") + F.col("_bom") > F.col("_size"))))
+    text = F.regexp_replace(F.make_valid_utf8("_x"), "\r$", "")
+    own = own.withColumn("_t", text).where(F.length("_t") > 0).withColumns({"text": strip_heavy(F.col("_t")), "blobs": heavy(F.col("_t"))})
+    own = own.withColumn("event", json_object(F.col("text"))).withColumn("torn", F.col("event").isNull())
+    keep = ("rel", "slug", "session_id", "kind", "agent_id", "run_id", "line", "byte_offset", "bytes", "bom", "text", "blobs", "torn", "event")
+    return own.select(*keep)

@@ -15,7 +15,7 @@ import json
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 _STEP = 1 << 16
-#: Bytes that one task reads at most in a batch, so that a large file's backlog is dealt over tasks and batches.
+#: Bytes that one task reads (about), so that a large file's backlog is dealt over tasks.
 MOST = 1 << 26
 
 
@@ -26,8 +26,10 @@ def _filesystem(uri: str):
 
 
 class _Span(InputPartition):
-    def __init__(self, path: str, rel: str, start: int, stop: int):
-        self.path, self.rel, self.start, self.stop = path, rel, start, stop
+    """The lines of a file that begin in [start, stop); ``first`` is where reading began, ``end`` where the complete lines end."""
+
+    def __init__(self, path: str, rel: str, first: int, start: int, stop: int, end: int):
+        self.path, self.rel, self.first, self.start, self.stop, self.end = path, rel, first, start, stop, end
 
 
 class _Reader(DataSourceStreamReader):
@@ -37,54 +39,65 @@ class _Reader(DataSourceStreamReader):
     def initialOffset(self) -> dict:
         return {"files": "{}"}
 
-    def _complete(self, filesystem, path: str, size: int, known: int) -> int:
-        """The end of the last complete line within the next MOST bytes."""
-        known = 0 if size < known else known
-        stop = min(size, known + MOST)
+    def _complete(self, filesystem, path: str, size: int) -> int:
+        """The end of the file's last complete line. It depends on the file alone, so a restarted query never falls behind what it has read."""
+        at = size
         with filesystem.open_input_file(path) as f:
-            while True:
-                at = stop
-                while at > known:
-                    start = max(known, at - _STEP)
-                    f.seek(start)
-                    found = f.read(at - start).rfind(b"\n")
-                    if found >= 0:
-                        return start + found + 1
-                    at = start
-                if stop == size:
-                    return known
-                stop = min(size, stop + MOST)  # one line is longer than that
+            while at:
+                start = max(0, at - _STEP)
+                f.seek(start)
+                found = f.read(at - start).rfind(b"\n")
+                if found >= 0:
+                    return start + found + 1
+                at = start
+        return 0
 
     def latestOffset(self) -> dict:
         from pyarrow import fs
 
         filesystem, root = _filesystem(self.root)
-        last = getattr(self, "_last", {})
         out = {}
         for info in filesystem.get_file_info(fs.FileSelector(root, recursive=True)):
             if info.is_file and info.path.endswith(".jsonl"):
-                rel = info.path[len(root.rstrip("/")) + 1 :]
-                out[rel] = self._complete(filesystem, info.path, info.size, last.get(rel, 0))
-        self._last = out
+                out[info.path[len(root.rstrip("/")) + 1 :]] = self._complete(filesystem, info.path, info.size)
         return {"files": json.dumps(out, sort_keys=True)}
 
     def partitions(self, start: dict, end: dict):
         a, b = json.loads(start["files"]), json.loads(end["files"])
         _, root = _filesystem(self.root)
-        spans = [(rel, 0 if stop < a.get(rel, 0) else a.get(rel, 0), stop) for rel, stop in sorted(b.items())]
-        return [_Span(f"{root.rstrip('/')}/{rel}", rel, s, e) for rel, s, e in spans if e > s]
+        out = []
+        for rel, stop in sorted(b.items()):
+            first = 0 if stop < a.get(rel, 0) else a.get(rel, 0)  # a file that has shrunk is another one
+            out += [_Span(f"{root.rstrip('/')}/{rel}", rel, first, s, min(stop, s + MOST), stop) for s in range(first, stop, MOST)]
+        return out
 
     def read(self, span: _Span):
         filesystem, _ = _filesystem(self.root)
         with filesystem.open_input_file(span.path) as f:
-            f.seek(span.start)
-            at = span.start
-            for line in f.read(span.stop - span.start).split(b"\n")[:-1]:
-                yield span.rel, at, line.removesuffix(b"\r").decode("utf-8", "replace")
-                at += len(line) + 1
+            at, held, skip = span.start, b"", span.start > span.first
+            if skip:  # the line that covers the byte before belongs to the span before
+                at -= 1
+            f.seek(at)
+            pos = at
+            while at < span.stop:
+                if b"\n" not in held:
+                    more = f.read(min(_STEP, span.end - pos))
+                    if not more:
+                        return
+                    pos += len(more)
+                    held += more
+                    continue
+                *own, held = held.split(b"\n")
+                for line in own:
+                    if at >= span.stop:
+                        return
+                    if not skip:
+                        yield span.rel, at, line.removesuffix(b"\r").decode("utf-8", "replace")
+                    skip = False
+                    at += len(line) + 1
 
     def commit(self, end: dict) -> None:
-        self._last = json.loads(end["files"])
+        """Nothing to keep: offsets come from the files and from Spark's checkpoint."""
 
 
 class LogTail(DataSource):

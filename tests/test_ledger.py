@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +37,42 @@ def test_lines_end_in_lf_and_the_tail_is_held_back(lines):
     assert own[0]["text"].startswith("{")  # the BOM is gone
 
 
+def test_ranges_of_a_file_give_the_same_lines_as_the_whole(spark, tmp_path):
+    body = "\ufeff" + "".join(json.dumps({"n": i, "x": "é" * (i % 40)}) + ("\r\n" if i % 3 else "\n") + "\n" * (i % 5 == 0) for i in range(400)) + '{"tail"'
+    raw = body.encode()
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / f"{A}.jsonl").write_bytes(raw)
+    (tmp_path / "p" / f"{B}.jsonl").write_bytes(b"")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        own = logs.lines(spark, str(tmp_path)).orderBy("line").select("line", "byte_offset", "bytes", "bom", "torn", F.try_variant_get("event", "$.n", "int").alias("n"), "text").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r["n"] for r in own] == list(range(400)) and not any(r["torn"] for r in own) and [r["bom"] for r in own].count(True) == 1 == own[0]["bom"]
+    whole = raw.split(b"\n")
+    for r in own:
+        assert raw[r["byte_offset"] : r["byte_offset"] + r["bytes"]] == whole[r["line"] - 1]
+
+
+def test_only_a_lone_object_is_an_event(spark):
+    good = ['{"a":1}', ' {"a":{"b":[1,2]}} ', "{}", '{"a":1,"a":2}', '{"y":3}', '{"a":"]}"}']
+    bad = ["[1]", "1", "", '{"a":1', '{"a":1} x', '{"a":1},{"b":2}', '{"a":1}] [', '{"a":1},"z":{"b":2}', '{"a":1} , "y": 1 } junk', '{"a":1}}', '{"a":NaN}', '{"a":1}{"b":2}', None, '"{}"']
+    own = spark.createDataFrame([(t, True) for t in good] + [(t, False) for t in bad], "t string, ok boolean")
+    assert [tuple(r) for r in own.select("t", "ok", logs.json_object(F.col("t")).isNotNull().alias("got")).where("ok != got").collect()] == []
+
+
+def test_long_encoded_values_go_by_the_limit_of_their_key(spark):
+    own = spark.createDataFrame([(json.dumps({"data": "A" * 499}),), (json.dumps({"x": {"data": "A" * 498 + "=="}, "signature": "b" * 100}),), (json.dumps({"signature": "b" * 99, "other": "c" * 900}),), (json.dumps({"base64": "A." * 400}),)], "t string")
+    got = own.select(F.length(logs.strip_heavy(F.col("t"))).alias("n"), F.length("t").alias("was"), logs.heavy(F.col("t")).alias("b")).collect()
+    assert [r["was"] - r["n"] for r in got] == [0, 600, 0, 0]
+    assert [[(b["key"], b["length"], b["bytes"]) for b in r["b"]] for r in got] == [[], [("data", 500, 373), ("signature", 100, None)], [], []]
+
+
+def test_scripts_of_any_name_are_scripts(spark):
+    own = spark.createDataFrame([("p/x/workflows/scripts/build.js", "script"), ("p/x/workflows/scripts/a/b.js", "unclassified"), ("p/x/subagents/odd/agent-a1.jsonl", "unclassified"), ("p/x/subagents/agent-a1.jsonl", "agent")], "rel string, want string")
+    assert own.where(logs.classify(F.col("rel")) != F.col("want")).isEmpty()
+
+
 def test_money_is_exact_and_billed_once(rows):
     got = {r["session_id"]: r for r in ledger.cost(rows, "session_id").collect()}
     assert (got[A]["tcu"], got[B]["tcu"]) == (TCU_A, TCU_B)

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from tallyloom.sources import tail
 from tallyloom.sources.tail import LogTail
 from tallyloom.streaming import upsert
 
@@ -24,6 +25,24 @@ def test_tail_reads_complete_lines_once_as_files_grow(spark, tmp_path):
     assert turn() == [("p/a.jsonl", 0, "one"), ("p/a.jsonl", 4, "two"), ("p/a.jsonl", 8, "three"), ("p/b.jsonl", 0, "é")]
 
 
+def test_spans_of_a_large_file_give_each_line_once(tmp_path, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    body = b"".join(b"x" * rng.choice([0, 1, 5, 30, 200]) + rng.choice([b"\n", b"\r\n"]) for _ in range(300))
+    (tmp_path / "a.jsonl").write_bytes(body + b"tail")
+    want = [x.removesuffix(b"\r").decode() for x in body.split(b"\n")[:-1]]
+    for most in (7, 64, 1 << 20):
+        monkeypatch.setattr(tail, "MOST", most)
+        reader = tail._Reader(str(tmp_path))
+        end = reader.latestOffset()
+        got = [line for span in reader.partitions(reader.initialOffset(), end) for line in reader.read(span)]
+        assert [t for _, _, t in got] == want and all(body[at : at + len(t)] == t.encode() for _, at, t in got)
+        # A new reader, as after a restart, goes on where the last one was.
+        again = tail._Reader(str(tmp_path))
+        assert again.latestOffset() == end and again.partitions(end, again.latestOffset()) == []
+
+
 def test_upsert_replaces_and_retracts_by_key(spark, tmp_path):
     source, table = str(tmp_path / "in"), str(tmp_path / "table")
     fold = lambda df: df.where("v > 0").groupBy("k").agg(F.sum("v").alias("total"))

@@ -1,10 +1,12 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import audit, intervals, ledger, search, sequences, tables, transcripts
 from tallyloom.sources import logs
 
-from store import A, AGENT, B, CHILD, RUN, TCU_A, TCU_B, build
+from store import A, AGENT, B, CHILD, RUN, TCU_A, TCU_B, assistant, build, usage
 
 
 @pytest.fixture(scope="module")
@@ -65,7 +67,26 @@ def test_two_computations_agree(spark, root, lines):
     assert got[A]["a_tcu"] == TCU_A and got[B]["b_tcu"] == TCU_B
     assert all(r["same"] for r in got.values()), got
     held = {r["name"]: (r["value"], r["passed"]) for r in audit.invariants(lines, rows).collect()}
-    assert held["torn_lines"] == (2, False) and held["usage_integers"] == (1, False) and held["split_and_flat"] == (0, True)
+    assert held["torn_lines"] == (2, False) and held["usage_integers"] == (1, False) and held["cache_identity"] == (0, True)
+
+
+def test_a_broken_cache_identity_is_found(spark, tmp_path):
+    good, bad = usage(1, 1, 0, 30, 70), usage(1, 1, 0, 30, 70) | {"cache_creation_input_tokens": 99}
+    events = [assistant(A, f"u{i}", "09:00:00", f"m{i}", u | {"iterations": [u]}) for i, u in enumerate((good, bad, {k: v for k, v in bad.items() if k != "cache_creation_input_tokens"}))]
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / f"{A}.jsonl").write_text("".join(json.dumps(e) + "\n" for e in events))
+    own = logs.lines(spark, str(tmp_path))
+    held = {r["name"]: (r["value"], r["passed"]) for r in audit.invariants(own, ledger.ledger(own)).collect()}
+    assert held["cache_identity"] == (1, False)
+
+
+def test_file_tools_name_paths_in_their_own_fields(spark, tmp_path):
+    calls = [("Read", {"file_path": "/a"}), ("Grep", {"path": "/b", "file_path": "/no"}), ("NotebookEdit", {"notebook_path": "/a"}), ("Glob", {"file_path": "/no"}), ("MultiEdit", {"file_path": "/no"}), ("mcp__x__y", {"path": "/no"})]
+    content = [{"type": "tool_use", "id": f"t{i}", "name": n, "input": x} for i, (n, x) in enumerate(calls)]
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / f"{A}.jsonl").write_text(json.dumps(assistant(A, "u", "09:00:00", "m", usage(1, 1), content=content)) + "\n")
+    got = transcripts.file_ledger(transcripts.rows(transcripts.events(logs.lines(spark, str(tmp_path))))).collect()
+    assert sorted(map(tuple, got)) == [("/a", "main", 1, 0, 1, 0), ("/b", "main", 0, 0, 0, 1)]
 
 
 def test_unsafe_patterns_are_refused():
