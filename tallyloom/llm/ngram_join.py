@@ -1,7 +1,7 @@
 """N-gram Jaccard join by parity sketches, exact.
 
 A document's set of word 5-grams is hashed to 64 bits each. For a size band the sketch is an array of
-cells (as many as the band's largest size): a hash falls into one cell and is XORed into it. An element
+cells (SPREAD times the band's largest size): a hash falls into one cell and is XORed into it. An element
 that only one of two sets has changes one cell, so the number of differing cells is at most the
 symmetric difference, which for Jaccard >= 3/4 is at most (|A| + |B|) / 7 = d. Hence of the cells of
 both, all but d agree, and by the pigeonhole principle two such documents share one of their d + 1
@@ -10,13 +10,21 @@ sample; it decides the cost only), empty cells last. Sizes of a pair differ by 4
 document emits its cells in its own band and, near the upper end, in the next.
 
 Cells that meet link their documents to the most central one there (a star, never all pairs): the one
-whose cells are the most frequent on average, which in a group of edited copies is what they are copies of. A packed
+whose cells are the most frequent on average, which in a group of edited copies is what they are copies of. Cells that
+the sample shows to be frequent are dealt over many tasks first, and the centres of these parts meet again. A packed
 parity sketch of one or two bits a shingle, whose Hamming distance is a lower bound too, drops most
-false meetings, and whole sets verify the rest. Where after that the documents of one cell are in several components, the
-pairs between different components are verified as well; pairs within one need not be. So every link
-between components is found, and the components are those of all links.
+false meetings, and whole sets verify the rest.
 
-Equal sets are taken once per task first, then once overall.
+Where after that the documents of one cell are in several components (the cell is torn), the
+pairs between different components are looked at as well, once for all torn cells of the same documents; pairs within one need not be. With each cell goes its document's
+``lone``: the number of cells before it, in the order, that hold a single element. Of the first cell that two documents
+share, all those before are shared by none of them; one of a single element that differs stands for an element of its own
+in the symmetric difference, so lone(A) + lone(B) <= d is needed there. With excess = 7 * lone - size this is excess(A) + excess(B) <= 0:
+two documents of positive excess, as those that share a passage or a template but have more than a seventh of their
+own, are never put together. The join is on cell and size band, of documents of excess <= 0 with those of
+opposite excess; full sketches and whole sets decide. So every link between components is found, and the components are those of all links.
+
+Equal sets are taken once per task first (of MEMO sets), then once overall.
 
 Defined results: texts without words (null, empty, blank) have size 0 and are alone; rows that share a
 doc_id are one document with several texts; a null doc_id has a null component and links nothing;
@@ -25,6 +33,8 @@ an empty table gives no rows; other columns are not looked at.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,12 +42,15 @@ from pyspark.sql import types as T
 
 from tallyloom.llm import common, components
 
-WORDS, BAND, LEAST_BITS = 5, 4, 256
+WORDS, BAND, LEAST_BITS = 5, 4, 1024
 LEAST_LONGS = LEAST_BITS // 64
 #: One of SAMPLE texts is counted for the order of cells; slots seen RARE times or more there are ranked, the COUNTED most frequent at most.
 SAMPLE, RARE, SLOTS, COUNTED = 8, 2, 1 << 26, 1 << 18
+#: Cells of a sketch for each element of the band's largest set; rows of one cell that go to one task (about), by the sample; sets a task remembers.
+SPREAD, PART, MEMO = 8, 1 << 15, 1 << 19
 _U = np.uint64
 _MEMO = 150_000
+_PLACE = 1 << 32  # a cell's place: part * _PLACE + lone
 
 
 class _WordHashes(dict):
@@ -76,11 +89,11 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def _band(size: int) -> int:
-    """Cells of the sketch of a size's band: the power of BAND above the size."""
+    """Cells of the sketch of a size's band: SPREAD times the power of BAND above the size."""
     top = BAND
     while top <= size:
         top *= BAND
-    return top
+    return SPREAD * top
 
 
 def ranked(hashes: np.ndarray, slots: np.ndarray, ranks: np.ndarray) -> np.ndarray:
@@ -92,8 +105,8 @@ def ranked(hashes: np.ndarray, slots: np.ndarray, ranks: np.ndarray) -> np.ndarr
     return np.where(slots[at] == slot, ranks[at], 0)
 
 
-def keys(hashes: np.ndarray, rank: np.ndarray) -> list[np.ndarray]:
-    """The 64-bit keys of the d + 1 first cells of a set, in its own band and where needed in the next."""
+def keys(hashes: np.ndarray, rank: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The 64-bit keys of the d + 1 first cells of a set, their ``lone`` and ranks, in its own band and where needed in the next."""
     n = hashes.size
     if not n:
         return []
@@ -102,18 +115,32 @@ def keys(hashes: np.ndarray, rank: np.ndarray) -> list[np.ndarray]:
     for cells in dict.fromkeys((_band(n), _band(4 * n // 3))):
         cell = ((hashes >> _U(24)) % _U(cells)).astype(np.int64)
         order = np.argsort(cell, kind="stable")
-        cell, starts = np.unique(cell[order], return_index=True)
+        cell = cell[order]
+        starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        cell = cell[starts]
         value = np.bitwise_xor.reduceat(hashes[order], starts)
         common_ = np.maximum.reduceat(rank[order], starts)
         key = _mix(value ^ _mix(cell.astype(_U) * _U(0x2545F4914F6CDD1D) + _U(cells)))
-        first = np.lexsort((key, common_))[:need]
-        out.append(key[first])
+        first = np.lexsort((key, common_))
+        alone = (np.diff(starts, append=n) == 1)[first]
+        lone = np.cumsum(alone) - alone
+        out.append((key[first[:need]], lone[:need], common_[first[:need]]))
         if cell.size < need:  # then cells without elements count too, in their order
             empty = np.setdiff1d(np.arange(min(cells, need + cell.size)), cell)[: need - cell.size]
-            out.append(_mix(empty.astype(_U) * _U(0x2545F4914F6CDD1D) + _U(cells) ^ _U(0x5DEECE66D)))
+            key = _mix(empty.astype(_U) * _U(0x2545F4914F6CDD1D) + _U(cells) ^ _U(0x5DEECE66D))
+            out.append((key, np.full(key.size, int(alone.sum())), np.zeros(key.size, np.int64)))
     return out
 
 
+def places(lone: np.ndarray, rank: np.ndarray, doc: int) -> np.ndarray:
+    """part * _PLACE + lone of a document's cells: part is 0 but for frequent cells, of which each gets about PART documents a part."""
+    parts = (_U(SAMPLE) << np.minimum(rank, 50).astype(_U)) // _U(PART)
+    if not parts.any():
+        return lone.astype(np.int64)
+    own = _mix(np.array([doc], np.int64).view(_U))[0]
+    return (np.where(parts > 0, 1 + own % np.maximum(parts, _U(1)), _U(0)).astype(np.int64) * _PLACE) + lone
+
+
 def _sketch(hashes: np.ndarray) -> list[int]:
     """The packed parity sketch: bit i is the parity of the number of hashes that fall on it.
 
@@ -136,7 +163,7 @@ def _texts(batches):
 
 
 def _counts(batches):
-    """slot, n: how many documents of a batch have a shingle in the slot; sets that the task has seen count once."""
+    """slot, n: how many documents of a batch have a shingle in the slot; sets that the task has seen (of the last MEMO) count once."""
     import pyarrow as pa
     import xxhash
 
@@ -145,6 +172,8 @@ def _counts(batches):
         own = []
         for _, hashes in _texts([batch]):
             if (digest := xxhash.xxh3_128_digest(hashes.tobytes())) not in seen:
+                if len(seen) >= MEMO:
+                    seen.clear()
                 seen.add(digest)
                 own.append(hashes & _U(SLOTS - 1))
         slot, n = np.unique(np.concatenate([*own, np.zeros(0, _U)]).astype(np.int64), return_counts=True)
@@ -172,36 +201,40 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, leader (the first row of the task with the same set); of leaders digest, sketch, centre (the smaller the more central) and cell keys."""
+    """doc_id, n_shingles, leader (a row of the task with the same set); of leaders digest, sketch, centre (the smaller the more central), cell keys and their places."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs))
 
     def run(batches):
         import pyarrow as pa
         import xxhash
 
-        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("leader", pa.int64()), ("digest", pa.binary()), ("sketch", pa.list_(pa.int64())), ("centre", pa.int64()), ("keys", pa.list_(pa.int64()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("leader", pa.int64()), ("digest", pa.binary()), ("sketch", pa.list_(pa.int64())), ("centre", pa.int64()), ("keys", pa.list_(pa.int64())), ("places", pa.list_(pa.int64()))])
         first: dict[bytes, int] = {}
         slots, ranks = shared.value
 
-        def flush(rows: list[tuple]):
-            *plain, own = zip(*rows)
+        def lists(own: list, kind):
             ends = np.cumsum([0, *(0 if k is None else k.size for k in own)])
-            flat = np.concatenate([np.zeros(0, _U), *(k for k in own if k is not None)]).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=pa.array([k is None for k in own]))
-            return pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(plain, schema)), lists], schema=schema)
+            flat = np.concatenate([np.zeros(0, kind), *(k for k in own if k is not None)]).view(np.int64)
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=pa.array([k is None for k in own]))
+
+        def flush(rows: list[tuple]):
+            *plain, own, at = zip(*rows)
+            return pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(plain, schema)), lists(own, _U), lists(at, np.int64)], schema=schema)
 
         rows: list[tuple] = []
         n_keys = 0
         for doc, hashes in _texts(batches):
-            row = (doc, hashes.size, doc, None, None, None, None)
+            row = (doc, hashes.size, doc, *[None] * 5)
             if doc is not None and hashes.size:
                 digest = xxhash.xxh3_128_digest(hashes.tobytes())
+                if len(first) >= MEMO:
+                    first.clear()
                 leader = first.setdefault(digest, doc)
-                row = (doc, hashes.size, leader, None, None, None, None)
+                row = (doc, hashes.size, leader, *[None] * 5)
                 if leader == doc:
                     rank = ranked(hashes, slots, ranks)
-                    own = np.concatenate(keys(hashes, rank))
-                    row = (doc, hashes.size, doc, digest, _sketch(hashes), -int(64 * rank.mean()), own)
+                    own, lone, common_ = map(np.concatenate, zip(*keys(hashes, rank)))
+                    row = (doc, hashes.size, doc, digest, _sketch(hashes), -int(64 * rank.mean()), own, places(lone, common_, doc))
                     n_keys += own.size
             rows.append(row)
             if n_keys >= 1 << 20 or len(rows) >= 10_000:
@@ -210,24 +243,37 @@ def profiles(docs: DataFrame) -> DataFrame:
         if rows:
             yield flush(rows)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, leader long, digest binary, sketch array<long>, centre long, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, leader long, digest binary, sketch array<long>, centre long, keys array<long>, places array<long>")
 
 
 def _stars(batches):
-    """(key, hub, doc_id, centre) for rows in order of key, centre and doc_id: every other document of a key with its first."""
+    """(key, hub, hub_lone, doc_id, lone, centre, part) for rows in order of key, part, centre and doc_id: every document of a key's part with its first.
+
+    The first with itself comes out only where the key has parts, for the parts have still to meet.
+    """
     import pyarrow as pa
 
-    last = (None, 0, 0)
+    names = ("key", "part", "doc_id", "centre", "lone")
+    last = None
     for batch in batches:
-        key, doc, centre = (batch.column(c).to_numpy() for c in ("key", "doc_id", "centre"))
-        if not key.size:
+        if not batch.num_rows:
             continue
-        new = np.concatenate([[last[0] is None or key[0] != last[0]], key[1:] != key[:-1]])
+        key, part, doc, centre, lone = (batch.column(c).to_numpy() for c in names)
+        new = np.concatenate([[last is None or (key[0], part[0]) != last[:2]], (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
         starts = np.maximum.accumulate(np.where(new, np.arange(key.size), -1))
-        hub, of = (np.where(starts >= 0, x[np.maximum(starts, 0)], y) for x, y in zip((doc, centre), last[1:]))
-        last = key[-1], hub[-1], of[-1]
-        meet = hub != doc
-        yield pa.RecordBatch.from_arrays([pa.array(x[meet]) for x in (key, hub, doc, of)], names=["key", "hub", "doc_id", "centre"])
+        before = last or (0, 0, 0, 0, 0)
+        hub, of, hub_lone = (np.where(starts >= 0, x[np.maximum(starts, 0)], y) for x, y in zip((doc, centre, lone), before[2:]))
+        last = key[-1], part[-1], hub[-1], of[-1], hub_lone[-1]
+        meet = (hub != doc) | (new & (part > 0))
+        yield pa.RecordBatch.from_arrays([pa.array(x[meet]) for x in (key, hub, hub_lone, doc, lone, of, part)], names=["key", "hub", "hub_lone", "doc_id", "lone", "centre", "part"])
+
+
+_MET = "key long, hub long, hub_lone long, doc_id long, lone long, centre long, part long"
+
+
+def _meet(cells: DataFrame) -> DataFrame:
+    """The stars of rows (key, part, doc_id, centre, lone)."""
+    return cells.repartition("key", "part").sortWithinPartitions("key", "part", "centre", "doc_id").mapInArrow(_stars, _MET)
 
 
 @F.pandas_udf(T.BooleanType())
@@ -284,13 +330,41 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
         return common.cut(near.join(two, "b").join(one, "a").where(_jaccard("h_a", "h_b")).select("a", "b").distinct())
 
 
+def _crossing(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share a cell and may be links by excess, size and folded sketch.
+
+    ``members`` has key, rep, c (component), n (size) and excess of the documents of torn cells.
+    """
+    # Cells of the same documents (those of one passage) count as one; the least excess of a document is what counts there.
+    own = F.xxhash64("rep")
+    alike = members.groupBy("key").agg(F.bit_xor(own).alias("_x"), F.bit_xor(F.xxhash64(own, "rep")).alias("_y"), F.count(F.lit(1)).alias("_n"))
+    members = members.join(alike, "key").groupBy(F.xxhash64("_x", "_y", "_n").alias("key"), "_x", "_y", "rep", "c", "n").agg(F.min("excess").alias("excess")).drop("_x", "_y")
+    # Those that no document there can offset go first. A row of the least excess stays; it has opposites or none stays in the join.
+    least = members.groupBy("key").agg(F.min(F.struct("excess", "c")).alias("_m")).where("_m.excess <= 0")
+    left = members.join(least, "key").where((F.col("excess") + F.col("_m.excess") <= 0) | (F.col("c") == F.col("_m.c"))).drop("_m")
+    folds = [_fold("sketch", k).alias(f"x{k}") for k in range(LEAST_LONGS)]
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1.34))  # a little over 4/3: sizes of a pair are one band apart at most
+    left = left.join(sets.select(F.col("doc_id").alias("rep"), *folds), "rep").withColumn("band", band)
+    left = common.stage(left, "opposites")
+    one, two = (left.select("key", "band", *(F.col(c).alias(f"{c}_{i}") for c in left.columns if c not in ("key", "band"))) for i in ("a", "b"))
+    one = one.where("excess_a <= 0").withColumn("band", F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))))
+    alike = 4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b")
+    once = (F.col("excess_b") > 0) | (F.col("rep_a") < F.col("rep_b"))
+    apart = sum((F.bit_count(F.col(f"x{k}_a").bitwiseXOR(F.col(f"x{k}_b"))) for k in range(LEAST_LONGS)), F.lit(0))
+    met = one.join(two, ["key", "band"]).where((F.col("c_a") != F.col("c_b")) & once & (F.col("excess_a") + F.col("excess_b") <= 0) & alike & (7 * apart <= F.col("n_a") + F.col("n_b")))
+    return met.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with common.scratch(profiles(docs), "profiles") as found:
         every = common.stage(found.drop("keys", "centre"), "summaries")
-        cells = found.select(F.explode("keys").alias("key"), "doc_id", "centre").repartition("key").sortWithinPartitions("key", "centre", "doc_id")
-        meetings = common.stage(cells.mapInArrow(_stars, "key long, hub long, doc_id long, centre long"), "meetings")
+        cells = found.select("doc_id", "centre", F.explode(F.arrays_zip("keys", "places")).alias("_c"))
+        part, lone = F.floor(F.col("_c.places") / _PLACE), F.col("_c.places") % _PLACE
+        parts = common.stage(_meet(cells.select(F.col("_c.keys").alias("key"), part.alias("part"), "doc_id", "centre", lone.alias("lone"))), "parts")
+    centres = parts.where("part > 0 and hub = doc_id").select("key", F.lit(0).cast("long").alias("part"), "doc_id", "centre", "lone")
+    meetings = common.stage(parts.where("hub != doc_id").union(_meet(centres)).drop("part"), "meetings")
     leaders = every.where(F.col("digest").isNotNull())
     same = leaders.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     of = common.stage(leaders.join(same, "digest").select("doc_id", "rep", "n_shingles", F.when(F.col("doc_id") == F.col("rep"), F.col("sketch")).alias("sketch")), "representatives")
@@ -317,20 +391,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = common.cut(links.union(more))
         label = components.components(links)
 
-    # Documents that share a cell but not a component: every pair of different components is compared by
-    # sketches folded to LEAST_BITS within the join, so that only pairs that may be links come out of it.
     torn = astride().select("key").distinct()
     there = meetings.join(torn, "key", "left_semi")
-    members = there.select("key", F.col("hub").alias("id")).union(there.select("key", "doc_id")).distinct()
+    members = there.select("key", F.col("hub").alias("id"), F.col("hub_lone").alias("lone")).union(there.select("key", "doc_id", "lone"))
     who = of.select(F.col("doc_id").alias("id"), "rep", "n_shingles")
-    members = members.join(label, "id", "left").join(who, "id").select("key", "rep", F.coalesce("component", "id").alias("c"), "n_shingles").distinct()
-    folds = [_fold("sketch", k).alias(f"x{k}") for k in range(LEAST_LONGS)]
-    members = common.stage(members.join(sets.select(F.col("doc_id").alias("rep"), *folds), "rep"), "members")
-    one, two = (members.select("key", *(F.col(c).alias(f"{c}_{i}") for c in members.columns if c != "key")) for i in ("a", "b"))
-    alike = 4 * F.least("n_shingles_a", "n_shingles_b") >= 3 * F.greatest("n_shingles_a", "n_shingles_b")
-    apart = sum((F.bit_count(F.col(f"x{k}_a").bitwiseXOR(F.col(f"x{k}_b"))) for k in range(LEAST_LONGS)), F.lit(0))
-    crossing = one.join(two, "key").where((F.col("c_a") < F.col("c_b")) & alike & (7 * apart <= F.col("n_shingles_a") + F.col("n_shingles_b")))
-    crossing = crossing.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+    members = members.join(label, "id", "left").join(who, "id").select("key", "rep", F.coalesce("component", "id").alias("c"), F.col("n_shingles").alias("n"), (7 * F.col("lone") - F.col("n_shingles")).alias("excess"))
+    crossing = _crossing(common.stage(members.distinct(), "members"), sets)
     more = verified(crossing.join(tried, ["a", "b"], "left_anti"), docs, sets)
     if not more.isEmpty():
         label = components.components(links.union(more))
