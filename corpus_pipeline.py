@@ -70,4 +70,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return out
         out.write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if k:  # a stage reads what the one before it wrote and nothing earlier
+            common.drop(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs

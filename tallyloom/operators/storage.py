@@ -1,15 +1,24 @@
-"""Cutting lineage in iterative operators."""
+"""Cutting lineage in iterative operators, and the shared folder that this needs."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Go on from a copy in the cluster's checkpoint folder; a folder of our own only where none is set."""
-    sc = df.sparkSession.sparkContext
+def folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Only a local session that names none gets one of its own."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyloom-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and sc.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallyloom-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Go on from a copy in the cluster's checkpoint folder."""
+    folder(df.sparkSession)
     return df.checkpoint(eager=True)

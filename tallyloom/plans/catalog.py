@@ -452,3 +452,6 @@ def stream_session(spark, sf_dir):
 @query("""SELECT user_id, event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS ts FROM events) GROUP BY 1, 2, 3""")
 def stream_dedupe(spark, sf_dir):
     return batches.deduplicated(spark, f"{sf_dir}/events.parquet")
+
+
+from tallyloom.plans import log_queries  # noqa: E402, F401  (registers the queries over logs)

@@ -66,26 +66,28 @@ def sessions(listing: DataFrame) -> DataFrame:
     )
 
 
-def json_object(text: Column) -> Column:
-    """The VARIANT of a text that is one JSON object and nothing more; null for any other.
+def with_object(df: DataFrame, text: str, name: str) -> DataFrame:
+    """``df`` with the VARIANT of a text that is one JSON object and nothing more; null for any other.
 
     The built-in parser lets what follows a value pass. As the only element of a list and as a field before another one
     it doesn't: what would end the list early breaks the object, and the other way round.
     """
-    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    field = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit(',"y":1}')))
-    first = F.try_variant_get(listed, "$[0]", "variant")
-    alone = F.try_variant_get(listed, "$[1]", "variant").isNull() & F.try_variant_get(field, "$.y", "variant").isNotNull()
-    return F.when(F.ltrim(text).startswith("{") & F.schema_of_variant(first).startswith("OBJECT") & alone, first)
+    t = F.col(text)
+    df = df.withColumns({"_list": F.try_parse_json(F.concat(F.lit("["), t, F.lit("]"))), "_field": F.try_parse_json(F.concat(F.lit('{"x":'), t, F.lit(',"y":1}')))})
+    df = df.withColumn("_one", F.try_variant_get("_list", "$[0]", "variant"))
+    alone = F.try_variant_get("_list", "$[1]", "variant").isNull() & F.try_variant_get("_field", "$.y", "variant").isNotNull()
+    alone = F.ltrim(t).startswith("{") & F.schema_of_variant("_one").startswith("OBJECT") & alone
+    # The first condition always holds. It keeps filters above from being moved below, where they would parse again.
+    return df.withColumn(name, F.when((F.monotonically_increasing_id() >= 0) & alone, F.col("_one"))).drop("_list", "_field", "_one")
 
 
 def strip_heavy(text: Column) -> Column:
     """The text without the values of HEAVY that are long enough; only texts long enough to hold one are searched."""
-    out = text
+    out, there = text, F.lit(False)
     for key, least in HEAVY.items():
-        there = (F.length(text) >= least) & text.contains(f'"{key}"')
-        out = F.when(there, F.regexp_replace(out, f'("{key}":\\s*)"{_ENCODED}{{{least},}}"', '$1""')).otherwise(out)
-    return out
+        there = there | ((F.length(text) >= least) & text.contains(f'"{key}"'))
+        out = F.regexp_replace(out, f'("{key}":\\s*)"{_ENCODED}{{{least},}}"', '$1""')
+    return F.when(there, out).otherwise(text)
 
 
 def heavy(text: Column) -> Column:
@@ -123,6 +125,6 @@ def lines(spark: SparkSession, root: str) -> DataFrame:
     own = own.where(~(F.col("_open") & (F.col("_end") + F.col("_bom") > F.col("_size"))))
     text = F.regexp_replace(F.make_valid_utf8("_x"), "\r$", "")
     own = own.withColumn("_t", text).where(F.length("_t") > 0).withColumns({"text": strip_heavy(F.col("_t")), "blobs": heavy(F.col("_t"))})
-    own = own.withColumn("event", json_object(F.col("text"))).withColumn("torn", F.col("event").isNull())
+    own = with_object(own, "text", "event").withColumn("torn", F.col("event").isNull())
     keep = ("rel", "slug", "session_id", "kind", "agent_id", "run_id", "line", "byte_offset", "bytes", "bom", "text", "blobs", "torn", "event")
     return own.select(*keep)

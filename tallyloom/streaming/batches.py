@@ -6,18 +6,17 @@ again after a failure writes under its own number and so replaces what it wrote
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.columns import millis
+from tallyloom.operators import storage
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyloom-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    return f"{storage.folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def source(spark: SparkSession, path: str) -> DataFrame:

@@ -58,7 +58,7 @@ def test_only_a_lone_object_is_an_event(spark):
     good = ['{"a":1}', ' {"a":{"b":[1,2]}} ', "{}", '{"a":1,"a":2}', '{"y":3}', '{"a":"]}"}']
     bad = ["[1]", "1", "", '{"a":1', '{"a":1} x', '{"a":1},{"b":2}', '{"a":1}] [', '{"a":1},"z":{"b":2}', '{"a":1} , "y": 1 } junk', '{"a":1}}', '{"a":NaN}', '{"a":1}{"b":2}', None, '"{}"']
     own = spark.createDataFrame([(t, True) for t in good] + [(t, False) for t in bad], "t string, ok boolean")
-    assert [tuple(r) for r in own.select("t", "ok", logs.json_object(F.col("t")).isNotNull().alias("got")).where("ok != got").collect()] == []
+    assert [tuple(r) for r in logs.with_object(own, "t", "v").select("t", "ok", F.col("v").isNotNull().alias("got")).where("ok != got").collect()] == []
 
 
 def test_long_encoded_values_go_by_the_limit_of_their_key(spark):
