@@ -18,10 +18,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where the session names none."""
+    """The folder of spark.checkpoint.dir. Only a local session that names none gets one of its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyloom-ckpt-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and sc.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallyloom-ckpt-"))
     return sc.getCheckpointDir()
 
 
@@ -49,8 +52,13 @@ def scratch(df: DataFrame, name: str):
     try:
         yield _written(df, path)
     finally:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        drop(spark, path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def learnable(doc_id: Column) -> Column:

@@ -33,6 +33,7 @@ an empty table gives no rows; other columns are not looked at.
 
 from __future__ import annotations
 
+import contextlib
 import math
 
 import numpy as np
@@ -272,7 +273,7 @@ _MET = "key long, hub long, hub_lone long, doc_id long, lone long, centre long,
 
 
 def _meet(cells: DataFrame) -> DataFrame:
-    """The stars of rows (key, part, doc_id, centre, lone)."""
+    """The stars of rows (key, lone, part, doc_id, centre): what differs between a document's rows stands side by side, which shuffle files compress better."""
     return cells.repartition("key", "part").sortWithinPartitions("key", "part", "centre", "doc_id").mapInArrow(_stars, _MET)
 
 
@@ -324,16 +325,18 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(4 * small >= 3 * large).where(7 * _apart("s_a", "s_b") <= F.col("n_a") + F.col("n_b"))
     near = common.cut(near.select("a", "b").distinct())
     # A table on disk, so that Spark knows its size and sends the few ids to the texts and not the texts to them.
-    ids = common.stage(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    with common.scratch(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "id long, hashes binary"), "sets") as own:
+    with (
+        common.scratch(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids") as ids,
+        common.scratch(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "id long, hashes binary"), "sets") as own,
+    ):
         one, two = (own.select(F.col("id").alias(x), F.col("hashes").alias(f"h_{x}")) for x in ("a", "b"))
         return common.cut(near.join(two, "b").join(one, "a").where(_jaccard("h_a", "h_b")).select("a", "b").distinct())
 
 
-def _crossing(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _crossing(members: DataFrame, sets: DataFrame, keep) -> DataFrame:
     """Pairs (a, b) of different components that share a cell and may be links by excess, size and folded sketch.
 
-    ``members`` has key, rep, c (component), n (size) and excess of the documents of torn cells.
+    ``members`` has key, rep, c (component), n (size) and excess of the documents of torn cells; ``keep`` writes a table for a while.
     """
     # Cells of the same documents (those of one passage) count as one; the least excess of a document is what counts there.
     own = F.xxhash64("rep")
@@ -345,7 +348,7 @@ def _crossing(members: DataFrame, sets: DataFrame) -> DataFrame:
     folds = [_fold("sketch", k).alias(f"x{k}") for k in range(LEAST_LONGS)]
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(1.34))  # a little over 4/3: sizes of a pair are one band apart at most
     left = left.join(sets.select(F.col("doc_id").alias("rep"), *folds), "rep").withColumn("band", band)
-    left = common.stage(left, "opposites")
+    left = keep(left, "opposites")
     one, two = (left.select("key", "band", *(F.col(c).alias(f"{c}_{i}") for c in left.columns if c not in ("key", "band"))) for i in ("a", "b"))
     one = one.where("excess_a <= 0").withColumn("band", F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))))
     alike = 4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b")
@@ -358,16 +361,24 @@ def _crossing(members: DataFrame, sets: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with contextlib.ExitStack() as tables:
+        label, every = _labels(docs, lambda df, name: tables.enter_context(common.scratch(df, name)))
+    out = every.join(label.select(F.col("id").alias("leader"), "component"), "leader", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "leader").alias("component_id"))
+
+
+def _labels(docs: DataFrame, keep) -> tuple[DataFrame, DataFrame]:
+    """(id, component) of the linked documents, and the summary of all; ``keep`` writes a table that goes when both are there."""
     with common.scratch(profiles(docs), "profiles") as found:
-        every = common.stage(found.drop("keys", "centre"), "summaries")
+        every = common.stage(found.drop("keys", "places", "centre"), "summaries")
         cells = found.select("doc_id", "centre", F.explode(F.arrays_zip("keys", "places")).alias("_c"))
         part, lone = F.floor(F.col("_c.places") / _PLACE), F.col("_c.places") % _PLACE
-        parts = common.stage(_meet(cells.select(F.col("_c.keys").alias("key"), part.alias("part"), "doc_id", "centre", lone.alias("lone"))), "parts")
-    centres = parts.where("part > 0 and hub = doc_id").select("key", F.lit(0).cast("long").alias("part"), "doc_id", "centre", "lone")
-    meetings = common.stage(parts.where("hub != doc_id").union(_meet(centres)).drop("part"), "meetings")
+        parts = keep(_meet(cells.select(F.col("_c.keys").alias("key"), lone.alias("lone"), part.alias("part"), "doc_id", "centre")), "parts")
+    centres = parts.where("part > 0 and hub = doc_id").select("key", "lone", F.lit(0).cast("long").alias("part"), "doc_id", "centre")
+    meetings = parts.where("hub != doc_id").union(keep(_meet(centres), "centres")).drop("part")
     leaders = every.where(F.col("digest").isNotNull())
     same = leaders.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    of = common.stage(leaders.join(same, "digest").select("doc_id", "rep", "n_shingles", F.when(F.col("doc_id") == F.col("rep"), F.col("sketch")).alias("sketch")), "representatives")
+    of = keep(leaders.join(same, "digest").select("doc_id", "rep", "n_shingles", F.when(F.col("doc_id") == F.col("rep"), F.col("sketch")).alias("sketch")), "representatives")
     sets = of.where(F.col("sketch").isNotNull())
 
     own = every.where(F.col("digest").isNotNull() | (F.col("doc_id") != F.col("leader"))).select("doc_id", "leader")
@@ -393,16 +404,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     torn = astride().select("key").distinct()
     there = meetings.join(torn, "key", "left_semi")
-    members = there.select("key", F.col("hub").alias("id"), F.col("hub_lone").alias("lone")).union(there.select("key", "doc_id", "lone"))
+    hubs = there.groupBy("key", "hub").agg(F.min("hub_lone").alias("lone"))  # once a cell, not once a meeting
+    members = hubs.withColumnRenamed("hub", "id").union(there.select("key", "doc_id", "lone"))
     who = of.select(F.col("doc_id").alias("id"), "rep", "n_shingles")
     members = members.join(label, "id", "left").join(who, "id").select("key", "rep", F.coalesce("component", "id").alias("c"), F.col("n_shingles").alias("n"), (7 * F.col("lone") - F.col("n_shingles")).alias("excess"))
-    crossing = _crossing(common.stage(members.distinct(), "members"), sets)
+    crossing = _crossing(keep(members.distinct(), "members"), sets, keep)
     more = verified(crossing.join(tried, ["a", "b"], "left_anti"), docs, sets)
     if not more.isEmpty():
         label = components.components(links.union(more))
-
-    out = every.join(label.select(F.col("id").alias("leader"), "component"), "leader", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "leader").alias("component_id"))
+    return label, every
 
 
 def _as_reps(pairs: DataFrame, reps: DataFrame) -> DataFrame:
