@@ -129,7 +129,10 @@ def graph(text: str, base: list[tuple[int, int, int]]) -> Graph:
         a, b = tokens[i]
         while at < len(base) and base[at][2] <= a:
             at += 1
-        covers = [kind for start, kind, end in base[at : at + 8] if start < b and end > a]
+        covers, k_ = [], at
+        while k_ < len(base) and base[k_][0] < b:  # spans of several kinds may overlap, those of one kind don't
+            covers += [base[k_][1]] * (base[k_][2] > a)
+            k_ += 1
         spans.append((a, b))
         traits.append(_traits(words[i], words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else ""))
         labels.append(covers[0] + 1 if covers else 0)
@@ -197,21 +200,25 @@ def all_spans(texts: list[str], field: Field) -> list[tuple[list, list]]:
     graphs = [graph(texts[i], base[i]) for i in where]
     out = [(b, b) for b in base]
     for i, g, p in zip(where, graphs, field.marginals(graphs) if graphs else []):
-        added, run = [], None
+        added, run, chained = [], None, {k for _, k in g.chain}
         for k, ((a, b), y) in enumerate(zip(g.spans, p.argmax(1) if len(p) else [])):
             if y and p[k, y] >= SURE and not g.labels[k]:
-                run = (run[0], y, b) if run and run[1] == y and (k - 1, k) in g.chain[-len(g.chain) :] and not texts[i][run[2] : a].strip() else (a, y, b)
+                run = (run[0], y, b) if run and run[1] == y and k in chained and not texts[i][run[2] : a].strip() else (a, y, b)
                 added = added[:-1] + [run] if added and added[-1][0] == run[0] else [*added, run]
             else:
                 run = None
+        free, at, extra = 0, 0, []  # base spans and added ones both stand in order: one walk over both
         for a, y, b in added:
             while a < b and texts[i][a] in _OUTER:
                 a += 1
             while a < b and texts[i][b - 1] in _OUTER:
                 b -= 1
-            if a < b and all(end <= a or start >= b for start, _, end in base[i]):
-                out[i] = (base[i], [*out[i][1], (a, int(y) - 1, b)])
-        out[i] = (base[i], sorted(out[i][1]))
+            while at < len(base[i]) and base[i][at][0] < b:
+                free = max(free, base[i][at][2])
+                at += 1
+            if a < b and free <= a:
+                extra.append((a, int(y) - 1, b))
+        out[i] = (base[i], sorted(base[i] + extra))
     return out
 
 
