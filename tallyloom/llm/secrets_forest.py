@@ -1,13 +1,13 @@
 """Secret scans: wide candidate search, then a random forest that removes false positives.
 
 A candidate is a run of at least LEAST characters that keys are written in, with a digit or mixed
-case. The forest sees its length, character transitions, entropy, the share of it that dictionary
+case; a sign of assignment ends what stands before it, so that in NAME=VALUE the name is a neighbour. The forest sees its length, character transitions, entropy, the share of it that dictionary
 words cover, whether it reads like a path, and the words beside it. It is trained from labelled
 findings (candidate, words before, words after, secret or not); where the caller has none of his own,
 ``labelled_findings`` writes them down by rule from a seed.
 
 Defined results: null and empty texts have no candidates; repeated rows give repeated findings;
-candidates of any length are judged whole; other columns are not looked at.
+candidates of any length are judged whole; a score of exactly the threshold is a secret; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAST, TREES, DEPTH, LEAF, SEED = 16, 40, 9, 3, 11
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/=_.\-]{16,}")
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_.\-]{16,}={0,2}")
 _KEYWORDS = re.compile(r"key|token|secret|passw|pwd|api|auth|credential|bearer|private", re.I)
 _DECOYS = re.compile(r"example|sample|test|dummy|placeholder|commit|sha|hash|digest|uuid|version|id\b|path|file|url", re.I)
 #: Words for dictionary coverage besides those of the findings. Fixed values.
@@ -158,7 +158,7 @@ def candidates(text: str):
         a, b = m.span()
         while b > a and text[b - 1] in ".-":
             b -= 1
-        while a < b and text[a] in ".-=":
+        while a < b and text[a] in ".-":
             a += 1
         own = text[a:b]
         if b - a >= LEAST and (any(c.isdigit() for c in own) or (own != own.lower() and own != own.upper())):
