@@ -7,7 +7,7 @@ counts a held-back pruning part, so a finished rule is cut back to the prefix th
 there. The list is emitted as one ordered ``CASE`` expression.
 
 Defined results: a null text counts as empty (no words: ``base_failed``); repeated rows and ties
-are scored row by row; other columns of the input are not looked at.
+are scored row by row; other columns of the input are not looked at, whatever their names; without usable labels there are no rules.
 """
 
 from __future__ import annotations
@@ -38,30 +38,39 @@ def _without(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
+def _unused(df: DataFrame, name: str) -> str:
+    """A column name that the frame hasn't."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and the features.
 
     Columns of those names in ``df`` are replaced. Words repeated in 3-word windows are found by sorting
     the hashes of a text's windows and comparing neighbours, so the cost is n log n in its words.
     """
+    _t, _w, _s, _p, _l = (_unused(df, c) for c in ("text", "words", "windows", "places", "lines"))
     t = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("_t", t).withColumn("_w", F.array_remove(F.split(F.translate("_t", BLANKS, " " * len(BLANKS)), " "), ""))
-    df = df.withColumn("n_words", F.size("_w").cast("long"))
-    windows = F.transform("_w", lambda w, i: F.struct(F.xxhash64(w, F.get("_w", i + 1), F.get("_w", i + 2)).alias("h"), i.alias("i")))
-    df = df.withColumn("_s", F.when(F.col("n_words") > 3, F.sort_array(F.slice(windows, F.lit(1), F.greatest(F.size("_w") - 2, F.lit(0))))))
-    again = F.filter("_s", lambda x, i: (F.get("_s", i - 1)["h"] == x["h"]) | (F.get("_s", i + 1)["h"] == x["h"]))
-    df = df.withColumn("_p", F.sort_array(F.transform(again, lambda x: x["i"])))
-    covered = F.aggregate(F.transform("_p", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("_p", i + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x)
-    df = df.withColumn("_l", F.filter(F.split("_t", "\n"), lambda line: F.length(F.translate(line, " " + BLANKS, "")) > 0))
+    df = df.withColumn(_t, t).withColumn(_w, F.array_remove(F.split(F.translate(_t, BLANKS, " " * len(BLANKS)), " "), ""))
+    df = df.withColumn("n_words", F.size(_w).cast("long"))
+    windows = F.transform(_w, lambda w, i: F.struct(F.xxhash64(w, F.get(_w, i + 1), F.get(_w, i + 2)).alias("h"), i.alias("i")))
+    df = df.withColumn(_s, F.when(F.col("n_words") > 3, F.sort_array(F.slice(windows, F.lit(1), F.greatest(F.size(_w) - 2, F.lit(0))))))
+    again = F.filter(_s, lambda x, i: (F.get(_s, i - 1)["h"] == x["h"]) | (F.get(_s, i + 1)["h"] == x["h"]))
+    df = df.withColumn(_p, F.sort_array(F.transform(again, lambda x: x["i"])))
+    covered = F.aggregate(F.transform(_p, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(_p, i + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x)
+    df = df.withColumn(_l, F.filter(F.split(_t, "\n"), lambda line: F.length(F.translate(line, " " + BLANKS, "")) > 0))
     df = df.withColumns(
         {
-            "word_chars": F.length(F.translate("_t", " " + BLANKS, "")).cast("long"),
-            "n_symbols": _without(F.col("_t"), SYMBOLS).cast("long"),
-            "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
+            "word_chars": F.length(F.translate(_t, " " + BLANKS, "")).cast("long"),
+            "n_symbols": _without(F.col(_t), SYMBOLS).cast("long"),
+            "n_dup_lines": (F.size(_l) - F.size(F.array_distinct(_l))).cast("long"),
             "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
         }
     )
-    words, chars, lines = (F.greatest(c, F.lit(1)).cast("double") for c in (F.col("n_words"), F.col("word_chars"), F.size("_l")))
+    words, chars, lines = (F.greatest(c, F.lit(1)).cast("double") for c in (F.col("n_words"), F.col("word_chars"), F.size(_l)))
     df = df.withColumns(
         {
             "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
@@ -70,14 +79,14 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
             "f_symbols": F.col("n_symbols") / chars,
             "f_dup_lines": F.col("n_dup_lines") / lines,
             "f_repeats": F.col("n_repeat_words") / words,
-            "f_upper": _without(F.col("_t"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ") / chars,
-            "f_digits": _without(F.col("_t"), "0123456789") / chars,
-            "f_marks": _without(F.col("_t"), "!?") / chars,
-            "f_distinct": F.size(F.array_distinct("_w")) / words,
+            "f_upper": _without(F.col(_t), "ABCDEFGHIJKLMNOPQRSTUVWXYZ") / chars,
+            "f_digits": _without(F.col(_t), "0123456789") / chars,
+            "f_marks": _without(F.col(_t), "!?") / chars,
+            "f_distinct": F.size(F.array_distinct(_w)) / words,
             "f_words_a_line": words / lines,
         }
     )
-    return df.drop("_t", "_w", "_s", "_p", "_l")
+    return df.drop(_t, _w, _s, _p, _l)
 
 
 @dataclass(frozen=True)
