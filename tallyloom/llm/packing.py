@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm import chunks, common
 
-CAPACITY, END, BUCKETS = 1024, 2, 32
+CAPACITY, END, BUCKET_ROWS = 1024, 2, 1 << 15
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -59,7 +59,8 @@ def cut_documents(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY,
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
     """Bins for a histogram {length: pieces}: (times, lengths in a bin), by best-two-fit.
 
-    Lengths are from 1 to ``capacity``. The work depends on the number of different lengths only.
+    Lengths are from 1 to ``capacity``. There are fewer than capacity * (2 + ln capacity) kinds of bins whatever the counts: each
+    leaves fewer pieces of one length than it takes, after the first time fewer than capacity / length, and fewer each time.
     """
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
@@ -117,15 +118,19 @@ def _two(left: np.ndarray, room: int, smallest: int) -> list[int] | None:
 def pack(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` with sequence_id and offset. They are read three times, so pass a checkpointed frame.
 
-    Ranks within a length are taken by hash bucket: equal rows count once with their number of copies,
-    a bucket's first rank is a running sum over at most ``capacity * BUCKETS`` counts, so a length that
-    holds a third of all pieces is still dealt over many tasks.
+    Ranks within a length are taken by hash bucket, one for about ``BUCKET_ROWS`` pieces of the length: equal rows count
+    once with their number of copies, a bucket's first rank is a running sum over the bucket counts, so a length that
+    holds a third of all pieces is still dealt over many tasks, however many pieces there are.
     """
     spark, keys = pieces.sparkSession, pieces.columns
-    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS)).cast("int")
+    of = {r["length"]: r["count"] // BUCKET_ROWS + 1 for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
+    if not of:
+        return pieces.select(*keys, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    many = F.element_at(F.create_map(*(F.lit(x).cast("long") for pair in of.items() for x in pair)), F.col("length"))
+    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), many).cast("int")
     counted = pieces.groupBy(*keys).agg(F.count("*").alias("_copies")).withColumn("_bucket", bucket)
     sizes = counted.groupBy("length", "_bucket").agg(F.sum("_copies").alias("_n"))
-    got = [(r["length"], r["_bucket"], r["_n"]) for r in sizes.collect()]  # at most capacity * BUCKETS rows
+    got = [(r["length"], r["_bucket"], r["_n"]) for r in sizes.collect()]  # a row a bucket
     counts: dict[int, int] = {}
     firsts = []
     for length, b, n in sorted(got):
@@ -143,8 +148,9 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
     spans = spark.createDataFrame(ranges, "length long, _from long, _to long, _shift long, offset long")
     before = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("_first") + F.coalesce(F.sum("_copies").over(before), F.lit(0))
-    ranked = counted.join(F.broadcast(first), ["length", "_bucket"]).withColumn("_start", start)
+    ranked = counted.join(first, ["length", "_bucket"]).withColumn("_start", start)
     ranked = ranked.withColumn("_rank", F.explode(F.sequence(F.col("_start"), F.col("_start") + F.col("_copies") - 1)))
+    # The plan's size has a bound of its own (see ``plan``), whatever the input.
     placed = ranked.join(F.broadcast(spans), (ranked["length"] == spans["length"]) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
     return placed.select(*(ranked[k] for k in keys), (F.col("_rank") + F.col("_shift")).alias("sequence_id"), "offset")
 

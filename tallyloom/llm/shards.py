@@ -2,7 +2,7 @@
 
 Rows are numbered 0..n-1 by (bucket, key columns) without a global sort: equal rows are first
 counted together, buckets are hashes of the whole key, and a bucket's first number is a running
-sum over the (at most ``BUCKETS``) bucket counts. The permutation is a Feistel network over
+sum over the bucket counts, one for about ``BUCKET_ROWS`` rows (``BUCKETS`` at least). The permutation is a Feistel network over
 a x b >= n, a = ceil(sqrt n), walked until it is below n again. Row number i goes to shard
 p(i) mod s at slot p(i) div s, so shard sizes differ by one at most and either side can be computed
 from the other.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm import common
 
-BUCKETS, ROUNDS, SEED = 1024, 4, 20_240_607
+BUCKETS, BUCKET_ROWS, ROUNDS, SEED = 1024, 1 << 20, 4, 20_240_607
 _P = 2_147_483_647  # rounds work modulo this prime, so that no product leaves 63 bits
 
 
@@ -93,12 +93,13 @@ class Feistel:
         return F.aggregate(walk, x, lambda y, i: F.when((i == 1) | (y >= F.lit(self.n)), once(y)).otherwise(y))
 
 
-def number_rows(rows: DataFrame, keys: list[str], *, buckets: int = BUCKETS) -> tuple[DataFrame, int]:
+def number_rows(rows: DataFrame, keys: list[str], *, buckets: int | None = None) -> tuple[DataFrame, int]:
     """(keys and ``row_number`` 0..n-1, n). ``rows`` is read twice, so pass a checkpointed frame.
 
     The order is by hash bucket, then keys. Equal rows are counted together first, so a row that is
     repeated very often is one record until it gets its numbers.
     """
+    buckets = buckets or max(BUCKETS, rows.count() // BUCKET_ROWS)  # so that no task sorts more than a bucket
     bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
     counted = rows.groupBy(*keys).agg(F.count("*").alias("_copies")).withColumn("_bucket", bucket)
     sizes = [(r["_bucket"], r["_n"]) for r in counted.groupBy("_bucket").agg(F.sum("_copies").alias("_n")).collect()]
@@ -106,9 +107,9 @@ def number_rows(rows: DataFrame, keys: list[str], *, buckets: int = BUCKETS) ->
     for b, k in sorted(sizes):
         starts.append((b, n))
         n += k
-    first = rows.sparkSession.createDataFrame(starts, "_bucket int, _first long")  # at most ``buckets`` rows
+    first = rows.sparkSession.createDataFrame(starts, "_bucket int, _first long")  # a row a bucket: a millionth of the rows
     before = Window.partitionBy("_bucket").orderBy(*(F.col(k).asc_nulls_first() for k in keys)).rowsBetween(Window.unboundedPreceding, -1)
-    placed = counted.join(F.broadcast(first), "_bucket").withColumn("_start", F.col("_first") + F.coalesce(F.sum("_copies").over(before), F.lit(0)))
+    placed = counted.join(first, "_bucket").withColumn("_start", F.col("_first") + F.coalesce(F.sum("_copies").over(before), F.lit(0)))
     copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1))
     numbered = placed.select(*keys, "_start", copies.alias("_k")).select(*keys, (F.col("_start") + F.col("_k")).alias("row_number"))
     return numbered, n
