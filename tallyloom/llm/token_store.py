@@ -144,6 +144,18 @@ class Shard:
         self.file.seek(8 * HEADER + self.width * a)
         return np.frombuffer(self.file.read(self.width * (b - a)), f"<u{self.width}").astype("<u4")
 
+    def crcs(self, rows: np.ndarray) -> list[int]:
+        """crc32 of the ids of each row; rows that stand side by side are read at once."""
+        out: list[int] = []
+        for run in np.split(rows, np.flatnonzero(np.diff(rows) != 1) + 1):
+            if run.size:
+                ids, starts = self.ids(int(run[0]), run.size), self.starts[run[0] : run[0] + run.size + 1] - self.starts[run[0]]
+                out += [zlib.crc32(ids[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+        return out
+
+    def close(self) -> None:
+        self.file.close()
+
 
 def write(docs: DataFrame, folder: str, tokenizer: str, *, end: int = END) -> DataFrame:
     """Write the store under ``folder`` (a URI that all executors reach); the manifest, one row a file.
@@ -191,8 +203,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, end: int = END) -> Da
     tie = F.xxhash64("text")  # deals rows of one doc_id over many tasks
     ordered = own.repartitionByRange(F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
     manifest = common.cut(ordered.mapInArrow(write_shards, _MANIFEST))
-    before = Window.orderBy("task", "seq").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
-    return manifest.withColumn("first_id", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    # Files of a task in its own window, tasks (a row each) in the only one that spans all.
+    tasks = manifest.groupBy("task").agg(F.sum("n_ids").alias("_ids"))
+    tasks = tasks.select("task", F.coalesce(F.sum("_ids").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    before = Window.partitionBy("task").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    return manifest.join(tasks, "task").withColumn("first_id", F.col("_before") + F.coalesce(F.sum("n_ids").over(before), F.lit(0))).drop("_before")
 
 
 def read(manifest: DataFrame) -> DataFrame:
@@ -214,9 +229,10 @@ def read(manifest: DataFrame) -> DataFrame:
                 for at in range(0, shard.n_docs, 4096):
                     own = rows[at : at + 4096]
                     lengths = shard.starts[own + 1] - shard.starts[own]
-                    crcs = [zlib.crc32(shard.ids(int(r))) for r in own]
+                    crcs = shard.crcs(own)
                     keys = pa.array(docs[own], pa.int64(), mask=own < nulls)
                     yield pa.RecordBatch.from_arrays([keys, pa.array(shard.starts[own] + first_id, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())], names=names)
+                shard.close()
 
     files = max(1, manifest.count())  # an explicit number, so that small manifest rows aren't put into one task
     own = manifest.select("file", "first_id").repartition(files, "file")
@@ -228,8 +244,10 @@ def lookup(manifest: DataFrame, doc_id: int) -> np.ndarray | None:
     for r in manifest.where((F.col("low") <= doc_id) & (F.col("high") >= doc_id)).orderBy("task", "seq").select("file").toLocalIterator():
         shard = Shard(r["file"])
         row = int(shard.find(np.array([doc_id], np.int64))[0])
-        if row >= 0:
-            return shard.ids(row)
+        found = shard.ids(row) if row >= 0 else None
+        shard.close()
+        if found is not None:
+            return found
     return None
 
 
