@@ -22,7 +22,7 @@ def recount(spark: SparkSession, root: str, rates: DataFrame) -> DataFrame:
     own = raw.where(F.col("value").contains('"assistant"') & F.col("value").contains('"usage"') & F.rtrim("value").endswith("}"))
     own = own.select("path", "value", F.from_json("value", _EVENT, {"mode": "PERMISSIVE"}).alias("e"), F.get_json_object("value", "$.message.usage.iterations").alias("_it"), F.monotonically_increasing_id().alias("seq"))
     own = own.where("e.type = 'assistant' and e.message.usage is not null")
-    session = F.lower(F.regexp_extract("path", r"/([0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})(?:\.jsonl$|/)", 1))
+    session = F.lower(F.regexp_extract("path", r"^.*/([0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})(?:\.jsonl|/subagents/.*)$", 1))
     main = ~F.col("path").contains("/subagents/")
     own = own.withColumns({"session_id": session, "main": main, "msg": F.coalesce("e.message.id", "e.uuid"), "at": F.try_to_timestamp("e.timestamp")})
     own = own.withColumn("_k", F.row_number().over(Window.partitionBy("path", "msg").orderBy(F.col("seq").desc()))).where("_k = 1")
