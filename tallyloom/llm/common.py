@@ -61,6 +61,13 @@ def drop(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def release() -> None:
+    """Give memory that Arrow holds for later back to the system, at the end of a task: its worker may go on to something else."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+
+
 def learnable(doc_id: Column) -> Column:
     """Rows whose labels may be learned from: crc32 of the id's text, mod 3, is not 1. A null id is not learnable."""
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 != 1, F.lit(False))

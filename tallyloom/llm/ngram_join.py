@@ -50,7 +50,8 @@ SAMPLE, RARE, SLOTS, COUNTED = 8, 2, 1 << 26, 1 << 18
 #: Cells of a sketch for each element of the band's largest set; rows of one cell that go to one task (about), by the sample; sets a task remembers.
 SPREAD, PART, MEMO = 8, 1 << 15, 1 << 19
 _U = np.uint64
-_MEMO = 150_000
+#: Words whose hashes a worker keeps, hashes or keys that a task holds before it passes them on.
+_MEMO, _HELD = 150_000, 1 << 18
 _PLACE = 1 << 32  # a cell's place: part * _PLACE + lone
 
 
@@ -160,25 +161,33 @@ def _texts(batches):
     for batch in batches:
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
             yield doc, shingles(text.as_py())
-    _words.clear()  # the worker may go on to something else
 
 
 def _counts(batches):
-    """slot, n: how many documents of a batch have a shingle in the slot; sets that the task has seen (of the last MEMO) count once."""
+    """slot, n: how many documents of a run have a shingle in the slot; sets that the task has seen (of the last MEMO) count once."""
     import pyarrow as pa
     import xxhash
 
-    seen: set[bytes] = set()
-    for batch in batches:
-        own = []
-        for _, hashes in _texts([batch]):
-            if (digest := xxhash.xxh3_128_digest(hashes.tobytes())) not in seen:
-                if len(seen) >= MEMO:
-                    seen.clear()
-                seen.add(digest)
-                own.append(hashes & _U(SLOTS - 1))
+    def counted(own: list[np.ndarray]):
         slot, n = np.unique(np.concatenate([*own, np.zeros(0, _U)]).astype(np.int64), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n)], names=["slot", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n)], names=["slot", "n"])
+
+    seen: set[bytes] = set()
+    own: list[np.ndarray] = []
+    held = 0
+    for _, hashes in _texts(batches):
+        if (digest := xxhash.xxh3_128_digest(hashes.tobytes())) not in seen:
+            if len(seen) >= MEMO:
+                seen.clear()
+            seen.add(digest)
+            own.append(hashes & _U(SLOTS - 1))
+            held += hashes.size
+        if held >= _HELD:
+            yield counted(own)
+            own, held = [], 0
+    yield counted(own)
+    _words.clear()  # the worker may go on to something else
+    common.release()
 
 
 def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -238,11 +247,13 @@ def profiles(docs: DataFrame) -> DataFrame:
                     row = (doc, hashes.size, doc, digest, _sketch(hashes), -int(64 * rank.mean()), own, places(lone, common_, doc))
                     n_keys += own.size
             rows.append(row)
-            if n_keys >= 1 << 20 or len(rows) >= 10_000:
+            if n_keys >= _HELD or len(rows) >= 10_000:
                 yield flush(rows)
                 rows, n_keys = [], 0
         if rows:
             yield flush(rows)
+        _words.clear()
+        common.release()
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, leader long, digest binary, sketch array<long>, centre long, keys array<long>, places array<long>")
 
@@ -295,8 +306,11 @@ def _sets(batches):
     import pyarrow as pa
 
     for batch in batches:
-        got = list(_texts([batch]))
-        yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.int64()), pa.array([h.tobytes() for _, h in got], pa.binary())], names=["id", "hashes"])
+        for at in range(0, batch.num_rows, 500):
+            got = list(_texts([batch.slice(at, 500)]))
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.int64()), pa.array([h.tobytes() for _, h in got], pa.binary())], names=["id", "hashes"])
+    _words.clear()
+    common.release()
 
 
 def _apart(a: str, b: str):

@@ -51,6 +51,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY,
                 schema = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
                 schema = pa.schema(schema + [("ids", pa.binary())] * with_ids)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        common.release()
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return own.mapInArrow(pieces, _PIECES + ", ids binary" * with_ids)
