@@ -83,3 +83,52 @@ def invariants(lines: DataFrame, rows: DataFrame) -> DataFrame:
         passed = F.lit(None).cast("boolean") if name not in must else (F.coalesce(F.col(name), F.lit(0)) <= must[name])
         out = out.unionByName(one.select(F.lit(name).alias("name"), F.col(name).cast("long").alias("value"), passed.alias("passed")))
     return out
+
+
+def coverage(rows: DataFrame, rates: DataFrame) -> DataFrame:
+    """(model, n): billed rows of a model that has rates but none on the row's day; there should be none."""
+    from tallyloom.functions.columns import model_key
+
+    known = rates.select(F.split_part("key", F.lit("@"), F.lit(1)).alias("_k")).distinct()
+    own = rows.where("channel = 'billed' and unpriced").withColumn("_k", model_key(F.col("model")))
+    return own.join(known, "_k", "left_semi").groupBy("model").agg(F.count(F.lit(1)).alias("n"))
+
+
+def split_sums(kept: DataFrame, rows: DataFrame) -> DataFrame:
+    """(msg_id, rel) of responses split by iteration whose rows don't add up to the recorded web requests, or don't count 0, 1, 2, ..."""
+    web = F.coalesce(F.try_variant_get(F.parse_json("usage"), "$.server_tool_use.web_search_requests", "bigint"), F.lit(0))
+    parts = rows.where("iter_index is not null").groupBy("rel", "msg_id").agg(F.sum("web_search").alias("web"), F.count(F.lit(1)).alias("n"), F.max("iter_index").alias("top"), F.countDistinct("iter_index").alias("d"))
+    own = parts.join(kept.select("rel", "msg_id", web.alias("recorded")), ["rel", "msg_id"])
+    return own.where((F.col("web") != F.col("recorded")) | (F.col("n") != F.col("top") + 1) | (F.col("d") != F.col("n"))).select("msg_id", "rel")
+
+
+def both_ways(listing: DataFrame, lines: DataFrame, events: DataFrame, kept: DataFrame, rows: DataFrame, canonical: DataFrame, agents: DataFrame, recounted: DataFrame) -> DataFrame:
+    """(name, a, b, passed): counts that two ways to them must agree on, and counts that must be 0."""
+    one = lambda df, c: df.agg(c.cast("long").alias("v"))
+    n = F.count(F.lit(1))
+    billed = rows.where("channel = 'billed'")
+    compared = {
+        "files": (one(listing.where("kind in ('main', 'agent', 'journal') and size > 0"), n), one(lines.select("rel").distinct(), n)),
+        "agents": (one(listing.where("kind = 'agent'"), n), one(events.where("tier = 'agent'").select("session_id", "agent_id").distinct(), n)),
+        "agents_of_turns": (one(agents, n), one(agents.where("turn_idx is not null"), n)),
+        "journals": (one(listing.where("kind = 'journal'"), n), one(lines.where("kind = 'journal'").select("rel").distinct(), n)),
+        "requests": (one(billed, n), one(recounted, F.coalesce(F.sum("requests"), F.lit(0)))),
+        "tcu": (one(billed, F.coalesce(F.sum("tcu"), F.lit(0))), one(recounted, F.coalesce(F.sum("tcu"), F.lit(0)))),
+        "unpriced": (one(billed.where("unpriced"), n), one(recounted, F.coalesce(F.sum("unpriced"), F.lit(0)))),
+        "kept_lines": (one(kept, n), one(rows.select("rel", "msg_id").distinct(), n)),
+        "ties": (one(canonical.where("clause = 'iii'"), n), None),
+        "split_sums": (one(split_sums(kept, rows), n), None),
+    }
+    out = None
+    for name, (a, b) in compared.items():
+        pair = a.select(F.lit(name).alias("name"), F.col("v").alias("a"))
+        pair = pair.crossJoin(b.select(F.col("v").alias("b"))) if b is not None else pair.withColumn("b", F.lit(0).cast("long"))  # one row each
+        out = pair if out is None else out.unionByName(pair)
+    return out.withColumn("passed", F.col("a") == F.col("b"))
+
+
+def evidence(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """(msg_id, rel, line, output, again): the billed row with the most output (the first of equals) and its output read again from the text."""
+    best = rows.where("channel = 'billed'").agg(F.max_by(F.struct("msg_id", "rel", "line", "output"), F.struct("output", F.struct(-F.col("line")))).alias("b")).select("b.*")
+    text = lines.select("rel", "line", F.get_json_object("text", "$.message.usage.output_tokens").cast("long").alias("again"))
+    return best.join(text, ["rel", "line"]).select("msg_id", "output", "again")

@@ -31,6 +31,20 @@ def occupancy(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataF
     return at.select(*keys, "t0", F.lead("t0").over(w).alias("t1"), level.alias("level")).where("level > 0")
 
 
+def concurrency(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
+    """(keys, most, points): the most intervals open at a time, and how many have no length; keys with points alone are left out."""
+    points = df.where(F.col(end) == F.col(start)).groupBy(*keys).agg(F.count(F.lit(1)).alias("points"))
+    most = occupancy(df, keys, start, end).groupBy(*keys).agg(F.max("level").alias("most"))
+    return most.join(points, list(keys), "left").select(*keys, "most", F.coalesce("points", F.lit(0)).alias("points"))
+
+
+def wide_gaps(df: DataFrame, keys: Sequence[str], at: str, share: float = 0.2) -> DataFrame:
+    """(keys, t0, t1) of stretches without a mark that are at least ``share`` of what all marks of the key span."""
+    w = Window.partitionBy(*keys)
+    own = df.select(*keys, F.col(at).alias("t1"), (F.max(at).over(w) - F.min(at).over(w)).alias("_span")).withColumn("t0", F.lag("t1").over(w.orderBy("t1")))
+    return own.where((F.col("t1") - F.col("t0")) >= F.col("_span") * share).select(*keys, "t0", "t1")
+
+
 def union_length(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
     """(keys, active, span, n_islands): length of the union of intervals and of all they span. Inverted ones are left out."""
     ok = df.where(F.col(end) >= F.col(start)).select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"))

@@ -91,3 +91,22 @@ def changes(old: DataFrame, new: DataFrame, key: str, mark: str) -> DataFrame:
     both = old.select(key, F.col(mark).alias("_old")).join(new.select(key, F.col(mark).alias("_new")), key, "full")
     change = F.when(F.col("_old").isNull(), "new").when(F.col("_new").isNull(), "vanished").when(F.col("_old") != F.col("_new"), "changed")
     return both.select(key, change.alias("change")).where("change is not null")
+
+
+def groups_in_order(df: DataFrame, by: str, sequence: str) -> DataFrame:
+    """(by, n, place): groups by one field, unknown a group of its own, numbered as they first appear."""
+    own = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min(sequence).alias("_first"))
+    return own.withColumn("place", F.row_number().over(Window.orderBy("_first")).cast("long")).drop("_first")  # a row a group
+
+
+def separators(df: DataFrame, day: str) -> DataFrame:
+    """``df`` (a row a day) with ``opens``: the month that a day opens, from the latest on; null within a month."""
+    month = F.substring(day, 1, 7)
+    return df.withColumn("opens", F.when(~month.eqNullSafe(F.lag(month).over(Window.orderBy(F.col(day).desc_nulls_last()))), month))
+
+
+def latest_verdicts(df: DataFrame, name: str, sequence: str, passed: str) -> DataFrame:
+    """(verdict, n): of each name the last verdict counts: pass, fail, or unreported where it is null."""
+    last = df.groupBy(name).agg(F.max_by(F.struct(F.col(passed).alias("p")), sequence).alias("_l"))
+    verdict = F.when(F.col("_l.p").isNull(), "unreported").when(F.col("_l.p"), "pass").otherwise("fail")
+    return last.groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))

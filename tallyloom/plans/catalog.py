@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import columns as C
 from tallyloom.operators import intervals, rollup, search, sequences, tables
+from tallyloom.sources import logs
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -217,12 +218,14 @@ def partial_vs_direct(spark, sf_dir):
     return both.select("l_returnflag", F.col("a_tcu").alias("tcu_direct"), F.col("b_tcu").alias("tcu_partial"), "same")
 
 
-@query("""SELECT o_custkey, true AS in_left, true AS in_right, count(*) AS a_n, count(*) AS b_n, true AS same FROM orders GROUP BY 1""")
+@query("""WITH a AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1), b AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'O') GROUP BY 1)
+SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, a.n IS NOT NULL AS in_left, b.n IS NOT NULL AS in_right, a.n AS a_n, b.n AS b_n, a.n IS NOT NULL AND b.n IS NOT NULL AND a.n = b.n AS same FROM a FULL JOIN b ON a.o_custkey = b.o_custkey""")
 def ab_session_diff(spark, sf_dir):
-    """Orders by customer, counted from orders and again from their line items, compared key by key."""
+    """Open orders by customer as the orders say and as their line items say, compared key by key: they don't agree everywhere."""
     orders = _table(spark, sf_dir, "orders")
-    a = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
-    b = orders.select("o_custkey", "o_orderkey").distinct().withColumn("one", F.lit(1)).groupBy("o_custkey").agg(F.sum("one").cast("long").alias("n"))
+    a = orders.where("o_orderstatus <> 'F'").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    open_ = _table(spark, sf_dir, "lineitem").where("l_linestatus = 'O'").select(F.col("l_orderkey").alias("o_orderkey"))
+    b = orders.join(open_, "o_orderkey", "left_semi").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
     return tables.reconcile(a, b, ["o_custkey"], ["n"])
 
 
@@ -293,9 +296,9 @@ def pixel_bins(spark, sf_dir):
 # Joins and sets
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def anti_lost(spark, sf_dir):
-    return _table(spark, sf_dir, "customer").join(_table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    return _table(spark, sf_dir, "customer").join(_table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
@@ -418,24 +421,28 @@ def json_absent_null(spark, sf_dir):
     return own.select("event_id", F.try_variant_get(v, "$.k", "bigint").alias("k"), F.is_variant_null(at("$.k")).alias("k_null"), at("$.absent").isNull().alias("absent_absent"))
 
 
-_MODELS = ["claude-fable-5", "claude-haiku-4-5-20251001", "claude-3-5-haiku-20241022", "claude-3-opus-20240229", "opus-4-8[1m]", "claude-3-7-sonnet-20250219", "<synthetic>"]
-
-
-@query("""SELECT * FROM (VALUES ('claude-fable-5', 'fable-5'), ('claude-haiku-4-5-20251001', 'haiku-4-5'), ('claude-3-5-haiku-20241022', 'haiku-3-5'), ('claude-3-opus-20240229', 'opus-3'), ('opus-4-8[1m]', 'opus-4-8'), ('claude-3-7-sonnet-20250219', 'sonnet-3-7'), ('<synthetic>', '<synthetic>')) AS t(model, key)""")
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'fable-5' WHEN 1 THEN 'haiku-4-5' WHEN 2 THEN 'haiku-3-' || (user_id % 10) WHEN 3 THEN 'opus-3' ELSE 'opus-4-' || (user_id % 10) END AS key FROM events""")
 def model_key(spark, sf_dir):
-    return spark.createDataFrame([(m,) for m in _MODELS], "model string").select("model", C.model_key(F.col("model")).alias("key"))
+    """Names as logs have them, with dates, versions and suffixes of the events' own numbers, as rate keys."""
+    k, d, v = F.col("event_id") % 5, F.date_format("ts", "yyyyMMdd"), (F.col("user_id") % 10).cast("string")
+    raw = F.when(k == 0, "claude-fable-5").when(k == 1, F.concat(F.lit("claude-haiku-4-5-"), d)).when(k == 2, F.concat(F.lit("claude-3-"), v, F.lit("-haiku-"), d)).when(k == 3, F.concat(F.lit("claude-3-opus-"), d)).otherwise(F.concat(F.lit("opus-4-"), v, F.lit("[1m]")))
+    return _table(spark, sf_dir, "events").select("event_id", C.model_key(raw).alias("key"))
 
 
-@query("""SELECT page_id, CAST(length(html) AS BIGINT) AS n, CAST(octet_length(encode(html)) AS BIGINT) AS decoded FROM pages""")
+@query("""WITH e AS (SELECT page_id, length(base64(encode(html))) AS n, octet_length(encode(html)) AS d FROM pages)
+SELECT page_id, CAST(CASE WHEN n >= 500 THEN 11 ELSE n + 11 END AS BIGINT) AS rest, CASE WHEN n >= 500 THEN 'data' END AS key, CAST(CASE WHEN n >= 500 THEN n END AS INTEGER) AS length, CAST(CASE WHEN n >= 500 THEN d END AS BIGINT) AS bytes FROM e""")
 def heavy_strip(spark, sf_dir):
-    """Bytes behind an encoded payload, counted from its text alone."""
-    return _table(spark, sf_dir, "pages").select("page_id", F.length("html").cast("long").alias("n"), C.decoded_bytes(F.base64(F.encode("html", "UTF-8"))).alias("decoded"))
+    """Pages as encoded values of a line: what is taken out, its length and its bytes, and how long the line is without it."""
+    line = F.concat(F.lit('{"data":"'), F.regexp_replace(F.base64(F.encode("html", "UTF-8")), "[\\r\\n]", ""), F.lit('"}'))
+    own = _table(spark, sf_dir, "pages").select("page_id", line.alias("line"))
+    b = F.get(logs.heavy(F.col("line")), F.lit(0))
+    return own.select("page_id", F.length(logs.strip_heavy(F.col("line"))).cast("long").alias("rest"), b["key"].alias("key"), b["length"].alias("length"), b["bytes"].alias("bytes"))
 
 
 # Streams
 
 
-from tallyloom.streaming import batches  # noqa: E402  (registers below use what stands above)
+from tallyloom.streaming import batches, upsert  # noqa: E402  (registers below use what stands above)
 
 
 @query("""SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
@@ -454,4 +461,38 @@ def stream_dedupe(spark, sf_dir):
     return batches.deduplicated(spark, f"{sf_dir}/events.parquet")
 
 
+@query("""WITH m AS (SELECT max(ts) - INTERVAL 2 HOUR AS w FROM events), o AS (SELECT * FROM events WHERE event_id % 97 <> 5), b AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS h, event_type FROM o)
+SELECT strftime(h, '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS n FROM b WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM o) GROUP BY 1, 2""")
+def stream_closed_windows(spark, sf_dir):
+    """Four batches in order of time, then rows of the first days again: those are behind the watermark and change nothing."""
+    own = _table(spark, sf_dir, "events").withColumn("day", F.dayofmonth("ts"))
+    ontime = own.where("event_id % 97 <> 5")
+    parts = [ontime.where(F.col("day").between(a, b)).drop("day") for a, b in ((1, 8), (9, 16), (17, 24), (25, 31))]
+    late = own.where("event_id % 97 = 5 and day < 20").drop("day")
+    return batches.closed_windows(spark, batches.arrivals(spark, [*parts, late]))
+
+
+@query("""SELECT user_id, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events WHERE CASE WHEN user_id % 3 = 0 THEN event_id % 2 = 0 WHEN user_id % 7 = 0 THEN false ELSE true END GROUP BY 1""")
+def stream_upsert(spark, sf_dir):
+    """All users, then some users told anew, then some withdrawn: what a later batch says of a user replaces what was known."""
+    own = _table(spark, sf_dir, "events").select("event_id", "user_id", _cents(F.col("value")).alias("cents"))
+    folder = batches.arrivals(spark, [own, own.where("user_id % 3 = 0 and event_id % 2 = 0"), own.where("user_id % 3 <> 0 and user_id % 7 = 0").withColumn("cents", F.lit(None).cast("long"))])
+    table = f"{folder}-table"
+    fold = lambda df: df.where("cents is not null").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"))
+    upsert.replace_by_key(batches.arriving(spark, folder), "user_id", fold, table, f"{folder}-state").awaitTermination()
+    return upsert.current(spark, table, "user_id").select("user_id", "n", "cents")
+
+
+@query(f"""WITH {_ORDERS}, e AS (SELECT o_custkey, unnest([t0, t1]) AS t, unnest([1, -1]) AS d FROM o WHERE t1 > t0), s AS (SELECT o_custkey, t, sum(d) AS d FROM e GROUP BY 1, 2), l AS (SELECT o_custkey, sum(d) OVER (PARTITION BY o_custkey ORDER BY t) AS level FROM s)
+SELECT o_custkey, CAST(max(level) AS BIGINT) AS most, coalesce(any_value(p), 0) AS points FROM l LEFT JOIN (SELECT o_custkey AS k, count(*) AS p FROM o WHERE t1 = t0 GROUP BY 1) ON k = o_custkey GROUP BY 1""")
+def concurrency(spark, sf_dir):
+    return intervals.concurrency(_orders(spark, sf_dir), ["o_custkey"], "t0", "t1")
+
+
+@query("""WITH g AS (SELECT user_id, lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts) AS t0, epoch_us(ts) // 1000 AS t1 FROM events), w AS (SELECT user_id, max(epoch_us(ts) // 1000) - min(epoch_us(ts) // 1000) AS w FROM events GROUP BY 1)
+SELECT g.user_id, t0, t1 FROM g JOIN w ON w.user_id = g.user_id WHERE t0 IS NOT NULL AND 20 * (t1 - t0) >= w""")
+def wide_gaps(spark, sf_dir):
+    return intervals.wide_gaps(_events(spark, sf_dir), ["user_id"], "ms", 0.05)
+
+
 from tallyloom.plans import log_queries  # noqa: E402, F401  (registers the queries over logs)

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.operators import audit, inventory, ledger, search, storage, transcripts
+from tallyloom.operators import audit, inventory, ledger, records, scopes, search, sessions, storage, tables, transcripts
 from tallyloom.plans.catalog import query
 from tallyloom.sources import logbook, logs
 
@@ -63,12 +63,15 @@ UNION ALL SELECT c, 'main', t * 4 + 1, CASE role WHEN 'user' THEN 'user' WHEN 's
 UNION ALL SELECT c, 'main', t * 4 + 2, 'whole', t, text FROM k WHERE role = 'assistant'
 UNION ALL SELECT c, 'main', t * 4 + 3, 'result', t, '' FROM k WHERE role = 'assistant' AND n % 4 <> 0
 UNION ALL SELECT c, 'main', top * 4 + 4, 'torn', NULL, '' FROM talks WHERE c % 7 = 0
+UNION ALL SELECT c, 'main', top * 4 + 5, 'leaf', NULL, 'ask' FROM talks
+UNION ALL SELECT c, 'main', top * 4 + unnest([6, 7, 8]), 'link', NULL, '' FROM talks WHERE c % 4 = 0
+UNION ALL SELECT c, 'main', top * 4 + 9, 'peer', NULL, 'done' FROM talks WHERE c % 6 = 1
 UNION ALL SELECT c, 'fork', -1, 'user', NULL, 'go on' FROM talks WHERE c % 5 = 0
 UNION ALL SELECT c, 'fork', t * 4 + 2, 'whole', t, text FROM k WHERE role = 'assistant' AND c % 5 = 0
 UNION ALL SELECT c, 'agent', 1, 'user', t, 'look' FROM talks WHERE c % 3 = 1 AND t IS NOT NULL
 UNION ALL SELECT c, 'agent', 2, 'whole', t, 'found' FROM talks WHERE c % 3 = 1 AND t IS NOT NULL),
 l AS (SELECT l0.*, row_number() OVER (PARTITION BY l0.c, file ORDER BY ord) AS line, CASE WHEN file = 'fork' THEN fork ELSE me END AS session_id, CASE WHEN file = 'fork' THEN 'q' ELSE slug END AS slug,
-CASE WHEN what IN ('title', 'torn') THEN NULL ELSE {logbook.START} + l0.c % 20 * 86400000 + 1000 * CASE WHEN file = 'agent' THEN l0.t * 4 + 2 + ord WHEN file = 'fork' AND what = 'user' THEN 900000 ELSE ord END END AS ms FROM l0 JOIN talks ON talks.c = l0.c),
+CASE WHEN what IN ('title', 'torn', 'leaf', 'link') THEN NULL ELSE {logbook.START} + l0.c % 20 * 86400000 + 1000 * CASE WHEN file = 'agent' THEN l0.t * 4 + 2 + ord WHEN file = 'fork' AND what = 'user' THEN 900000 ELSE ord END END AS ms FROM l0 JOIN talks ON talks.c = l0.c),
 a AS (SELECT k.c, k.t, n, me, fork, slug, {_case('n', logbook.MODELS)} AS model, {_case('n', _KEYS)} AS mk, 100 + (k.c * 7 + k.t * 13) % 500 AS input, 50 + (k.c * 3 + k.t * 5) % 300 AS output, (k.c * 11 + k.t) % 1000 * 10 AS cache_read,
 CASE WHEN n % 6 = 5 THEN 0 ELSE k.t % 3 * 20 END AS cache5m, CASE WHEN n % 6 = 5 THEN 0 ELSE k.c % 4 * 10 END AS cache1h, CASE WHEN n % 6 = 5 THEN k.t % 3 * 20 + k.c % 4 * 10 ELSE 0 END AS cache_flat, CASE WHEN n % 9 = 0 THEN 1 ELSE 0 END AS web,
 n % 6 <> 5 AS finalized, n % 11 = 10 AS synthetic, DATE '2026-08-20' + CAST(k.c % 20 AS INTEGER) AS d FROM k JOIN talks ON talks.c = k.c WHERE role = 'assistant'),
@@ -116,7 +119,7 @@ def log_offsets(spark, sf_dir):
 
 
 @query(over("""SELECT session_id, tier, kind, count(*) AS n FROM (
-SELECT session_id, CASE file WHEN 'agent' THEN 'agent' ELSE 'main' END AS tier, unnest(CASE what WHEN 'user' THEN ['prompt'] WHEN 'note' THEN ['system:note'] WHEN 'part' THEN ['text'] WHEN 'whole' THEN CASE file WHEN 'agent' THEN ['text'] ELSE ['text', 'tool_use'] END WHEN 'result' THEN ['tool_result'] ELSE CAST([] AS VARCHAR[]) END) AS kind FROM l) GROUP BY 1, 2, 3"""))
+SELECT session_id, CASE file WHEN 'agent' THEN 'agent' ELSE 'main' END AS tier, unnest(CASE what WHEN 'user' THEN ['prompt'] WHEN 'peer' THEN ['prompt'] WHEN 'note' THEN ['system:note'] WHEN 'part' THEN ['text'] WHEN 'whole' THEN CASE file WHEN 'agent' THEN ['text'] ELSE ['text', 'tool_use'] END WHEN 'result' THEN ['tool_result'] ELSE CAST([] AS VARCHAR[]) END) AS kind FROM l) GROUP BY 1, 2, 3"""))
 def log_kind_census(spark, sf_dir):
     return rows(spark, sf_dir).groupBy("session_id", "tier", "kind").agg(F.count(F.lit(1)).alias("n"))
 
@@ -159,7 +162,8 @@ def log_agents(spark, sf_dir):
     return got.select("session_id", "agent_id", "agent_type", "label", "edge", "n_events", "turn_idx")
 
 
-@query(over("SELECT me AS session_id, 'custom-title' AS type, CAST(1 AS BIGINT) AS n, 'talk ' || c AS value FROM talks"))
+@query(over("""SELECT me AS session_id, 'custom-title' AS type, CAST(1 AS BIGINT) AS n, 'talk ' || c AS value FROM talks UNION ALL SELECT me, 'last-prompt', 1, 'ask ' || c FROM talks
+UNION ALL SELECT me, 'pr-link', 3, 'https://example.org/pr/' || (c + 1) FROM talks WHERE c % 4 = 0"""))
 def log_snapshots(spark, sf_dir):
     own = transcripts.snapshots(events(spark, sf_dir))
     return own.select(F.regexp_extract("rel", f"({logs.SESSION})", 1).alias("session_id"), "type", "n", "value")
@@ -249,3 +253,200 @@ def audit_two_computations(spark, sf_dir):
 UNION ALL SELECT 'premium_unknown', 0, true UNION ALL SELECT 'unpriced', count(*), NULL FROM b WHERE unpriced UNION ALL SELECT 'largest_row', CAST(max(tcu) AS BIGINT), true FROM b UNION ALL SELECT 'cache_identity', 0, true"""))
 def audit_invariants(spark, sf_dir):
     return audit.invariants(lines(spark, sf_dir), billed(spark, sf_dir))
+
+
+# Addresses and scopes
+
+
+@query(over("SELECT session_id, line FROM (SELECT *, CASE file WHEN 'agent' THEN 'agent' ELSE 'main' END AS kind FROM l) WHERE line >= 3 AND line < 7"))
+def record_window(spark, sf_dir):
+    return records.window(lines(spark, sf_dir), 3, most=4).select("session_id", "line")
+
+
+@query(over("SELECT session_id, CAST((line - 1) // 4 * 4 + 1 AS BIGINT) AS first, count(*) AS n, min(line) || '.2.11' AS locator, min(line) AS line, '2.11' AS block, '$.message.content[2].content[11]' AS path FROM l GROUP BY 1, 2"))
+def record_locators(spark, sf_dir):
+    """Lines by aligned blocks, each block's first line as a locator of a nested part, and the locator parsed again."""
+    own = lines(spark, sf_dir).groupBy("session_id", records.aligned(F.col("line"), 4).alias("first")).agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("_l"))
+    own = own.withColumn("locator", records.locator(F.col("_l"), F.lit("2.11"))).withColumn("p", records.parsed(F.col("locator")))
+    return own.select("session_id", "first", "n", "locator", "p.line", "p.block", records.json_path(F.col("p.block")).alias("path"))
+
+
+@query(over("""SELECT session_id, line, CASE WHEN what = 'whole' AND file <> 'agent' THEN b END AS bi, CASE WHEN what = 'whole' AND file <> 'agent' AND b = '1' THEN '0' END AS "before", CASE WHEN what = 'whole' AND file <> 'agent' AND b = '0' THEN '1' END AS "after"
+FROM (SELECT *, unnest(['0', '1']) AS b FROM l WHERE what = 'whole' AND file <> 'agent')"""))
+def record_siblings(spark, sf_dir):
+    own = records.siblings(rows(spark, sf_dir)).where("tier = 'main' and kind in ('text', 'tool_use')")
+    both = own.groupBy("rel", "line").agg(F.count(F.lit(1)).alias("_n")).where("_n = 2")
+    return own.join(both, ["rel", "line"]).select("session_id", "line", "bi", "before", "after")
+
+
+@query(over("""SELECT session_id, line, 'r' AS bi, 'base64' AS key, CAST(floor((600 + (c + t) % 7) * 3 / 4.0) AS BIGINT) AS bytes, 'image/png' AS media FROM l WHERE what = 'result' AND (c + t) % 8 = 2"""))
+def record_payloads(spark, sf_dir):
+    own = records.payload_blocks(lines(spark, sf_dir))
+    return own.select(F.regexp_extract("rel", f"({logs.SESSION})", 1).alias("session_id"), "line", "bi", "key", "bytes", inventory.media_type(F.col("head")).alias("media"))
+
+
+@query(over("SELECT 'payload' AS what, count(*) AS n, CAST(sum(floor((600 + (c + t) % 7) * 3 / 4.0)) AS BIGINT) AS bytes FROM l WHERE what = 'result' AND (c + t) % 8 = 2 HAVING count(*) > 0"))
+def find_skipped(spark, sf_dir):
+    """What a search over the store doesn't see."""
+    return inventory.stripped_census(lines(spark, sf_dir)).select("what", "n", F.col("bytes").cast("long").alias("bytes"))
+
+
+@query(over("""SELECT session_id, line, CASE WHEN what IN ('part', 'whole') AND contains(lower(left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 220)), 'onhe') THEN '0' WHEN what = 'user' AND contains(lower(left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 220)), 'onhe') THEN '0'
+WHEN what = 'note' AND contains(lower(left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 220)), 'onhe') THEN 'r' END AS bi FROM l WHERE contains(lower(text), 'onhe')"""))
+def find_blocks(spark, sf_dir):
+    """Hits with the block that holds them, where a block's head does."""
+    hits = search.substring(lines(spark, sf_dir), "text", "Onhe")
+    return records.block_of_hit(hits, rows(spark, sf_dir), "Onhe").select(F.regexp_extract("rel", f"({logs.SESSION})", 1).alias("session_id"), "line", "bi")
+
+
+@query(over("SELECT session_id, kind, count(*) AS n FROM (SELECT *, CASE file WHEN 'agent' THEN 'agent' ELSE 'main' END AS kind FROM l WHERE slug = 'p1') GROUP BY 1, 2"))
+def scope_project(spark, sf_dir):
+    return scopes.within(lines(spark, sf_dir), "project:p1").groupBy("session_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(over("SELECT strftime(d, '%Y-%m-%d') AS day, count(*) AS requests FROM b WHERE d BETWEEN DATE '2026-08-25' AND DATE '2026-09-02' GROUP BY 1"))
+def scope_days(spark, sf_dir):
+    own, wrong = scopes.in_days(inventory.day_bands(billed(spark, sf_dir)).select("day", "requests"), "day", "2026-08-25", "2026-09-02")
+    assert not wrong
+    return own
+
+
+# Sessions
+
+
+@query(over("""SELECT session_id, min(ms) AS first_at, max(ms) AS last_at, arg_min(ms, line) FILTER (ms IS NOT NULL) AS opened_at, CASE WHEN bool_or(file = 'fork' AND what = 'whole') THEN 1 ELSE 0 END AS others FROM l WHERE file <> 'agent' AND what <> 'torn' GROUP BY 1"""))
+def session_spans(spark, sf_dir):
+    return sessions.spans(events(spark, sf_dir)).select("session_id", "first_at", "last_at", "opened_at", F.size("other_ids").alias("others"))
+
+
+@query(over("SELECT strftime(make_timestamp(ms * 1000), '%Y-%m-%d') AS day, session_id, min(ms) AS first_at, max(ms) AS last_at, count(*) AS n FROM l WHERE file <> 'agent' AND ms IS NOT NULL GROUP BY 1, 2"))
+def session_day_extents(spark, sf_dir):
+    return sessions.day_extents(events(spark, sf_dir))
+
+
+@query(over("SELECT me AS session_id, 'pr-link' AS type, 'https://example.org/pr/' || (c + unnest([1, 0])) AS url, CAST(unnest([2, 1]) AS BIGINT) AS n, CAST(unnest([1, 2]) AS BIGINT) AS place FROM talks WHERE c % 4 = 0"))
+def session_links(spark, sf_dir):
+    return sessions.links(events(spark, sf_dir))
+
+
+@query(over("SELECT me AS session_id, 'k' || (c % 4) AS sender, CAST(1 AS BIGINT) AS n FROM talks WHERE c % 6 = 1"))
+def session_senders(spark, sf_dir):
+    return sessions.senders(events(spark, sf_dir))
+
+
+@query(over("SELECT me AS session_id, 'u' || talks.c || '-' || (coalesce(talks.t, 0) * 4 + 2) AS leaf, l.line FROM talks LEFT JOIN l ON l.c = talks.c AND l.t = talks.t AND file = 'main' AND what = 'whole'"))
+def session_leaves(spark, sf_dir):
+    return sessions.leaves(events(spark, sf_dir))
+
+
+@query(over("""SELECT 'files:' || kind AS what, count(*) AS n FROM (SELECT 'main' AS kind FROM talks UNION ALL SELECT 'main' FROM talks WHERE c % 5 = 0 UNION ALL SELECT unnest(['agent', 'meta']) FROM talks WHERE c % 3 = 1 AND t IS NOT NULL) GROUP BY 1
+UNION ALL SELECT 'duplicate ids', 0 UNION ALL SELECT 'torn lines', count(*) FROM talks WHERE c % 7 = 0 UNION ALL SELECT 'files of no class', 0"""))
+def store_inventory(spark, sf_dir):
+    return sessions.inventory(logs.files(spark, logbook.store(spark, sf_dir)), lines(spark, sf_dir))
+
+
+@query(over("""SELECT CASE what WHEN 'title' THEN 'custom-title' WHEN 'leaf' THEN 'last-prompt' WHEN 'link' THEN 'pr-link' WHEN 'note' THEN 'system' WHEN 'part' THEN 'assistant' WHEN 'whole' THEN 'assistant' ELSE 'user' END AS type,
+CASE WHEN what IN ('title', 'leaf', 'link') THEN 'state' ELSE 'rows' END AS fate, count(*) AS n FROM l WHERE what <> 'torn' GROUP BY 1, 2"""))
+def store_event_fates(spark, sf_dir):
+    return sessions.event_fates(events(spark, sf_dir), rows(spark, sf_dir))
+
+
+@query(over("SELECT count(*) AS files, CAST(0 AS BIGINT) AS tails FROM (SELECT c FROM talks UNION ALL SELECT c FROM talks WHERE c % 5 = 0 UNION ALL SELECT c FROM talks WHERE c % 3 = 1 AND t IS NOT NULL)"))
+def store_unread_tails(spark, sf_dir):
+    own = sessions.unread_tails(logs.files(spark, logbook.store(spark, sf_dir)), lines(spark, sf_dir))
+    return own.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("tail") > 0).alias("tails"))
+
+
+@query(over("""SELECT me AS session_id, CAST(1000 AS BIGINT) AS busy, max(ms) - min(ms) AS span, CASE WHEN max(ms) > min(ms) THEN round(1000 / (max(ms) - min(ms)), 6) END AS ratio FROM talks JOIN l ON l.session_id = me AND file = 'main' WHERE talks.c % 3 = 1 AND talks.t IS NOT NULL GROUP BY 1"""))
+def session_overlap(spark, sf_dir):
+    own = events(spark, sf_dir)
+    agents = own.where("tier = 'agent'").groupBy("session_id", "agent_id").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+    return sessions.overlap(agents, sessions.spans(own))
+
+
+@query(over("SELECT 'p' || (c % 3) AS slug, count(*) AS n, CAST(rank() OVER (ORDER BY min(c)) AS BIGINT) AS place FROM k GROUP BY 1"))
+def groups_in_order(spark, sf_dir):
+    own = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("slug", F.concat(F.lit("p"), F.col("conv_id") % 3))
+    return tables.groups_in_order(own, "slug", "conv_id")
+
+
+@query("""WITH d AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders) SELECT day, CASE WHEN left(day, 7) IS DISTINCT FROM lag(left(day, 7)) OVER (ORDER BY day DESC) THEN left(day, 7) END AS opens FROM d""")
+def month_separators(spark, sf_dir):
+    own = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).distinct()
+    return tables.separators(own, "day")
+
+
+# Money once more
+
+
+@query(over("""SELECT session_id, CAST(coalesce(sum(input * i), 0) AS BIGINT) AS usd_input, CAST(coalesce(sum(output * o), 0) AS BIGINT) AS usd_output, CAST(coalesce(sum((cache5m + cache_flat) * (i * 5 // 4) + cache1h * i * 2), 0) AS BIGINT) AS usd_write, CAST(coalesce(sum(cache_read * (i // 10)), 0) AS BIGINT) AS usd_read,
+CAST(coalesce(sum(web * 20000000) FILTER (NOT unpriced), 0) AS BIGINT) AS usd_web, CAST(coalesce(sum(cache_flat * (i * 2 - i * 5 // 4)), 0) AS BIGINT) AS ttl_delta, count(*) FILTER (cache_flat > 0) AS ttl_assumed, CAST(coalesce(sum(output) FILTER (NOT finalized), 0) AS BIGINT) AS never_finalized_output, count(*) AS thinking_not_recorded
+FROM (SELECT b.*, i, o FROM b LEFT JOIN rates ON k = regexp_replace(regexp_replace(regexp_replace(model, '^claude-', ''), '\\[1m\\]$', ''), '-[0-9]{8}$', '') AND (f IS NULL OR d >= f) AND (rates.t IS NULL OR d <= rates.t)) GROUP BY 1"""))
+def ledger_parts(spark, sf_dir):
+    own = ledger.cost(billed(spark, sf_dir), "session_id").where("requests > 0")
+    return own.select("session_id", *ledger.PARTS, "ttl_delta", "ttl_assumed", "never_finalized_output", "thinking_not_recorded")
+
+
+@query(over("SELECT model, count(*) AS requests, CAST(sum(output) AS BIGINT) AS output, CAST(sum(tcu) AS BIGINT) AS tcu FROM b GROUP BY 1"))
+def ledger_raw_models(spark, sf_dir):
+    return ledger.by_model(billed(spark, sf_dir)).select("model", "requests", "output", "tcu")
+
+
+@query(over("SELECT model, count(*) AS requests, CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output FROM b WHERE unpriced GROUP BY 1"))
+def ledger_unpriced(spark, sf_dir):
+    return ledger.unpriced_by_model(billed(spark, sf_dir)).select("model", "requests", "input", "output")
+
+
+@query(over("SELECT fork AS session_id, me AS canonical, count(*) AS requests, CAST(sum(input) AS BIGINT) AS input FROM a WHERE c % 5 = 0 AND NOT synthetic GROUP BY 1, 2"))
+def ledger_inherited(spark, sf_dir):
+    return ledger.inherited_by_session(billed(spark, sf_dir)).select("session_id", "canonical", "requests", "input")
+
+
+@query(over("""SELECT unnest([me, fork]) AS session_id, unnest([fork, me]) AS partner, shared, unnest([bills, 0]) AS billed_here, unnest([0, bills]) AS billed_there, CAST(0 AS BIGINT) AS billed_elsewhere
+FROM (SELECT me, fork, count(*) AS shared, CAST(count(*) FILTER (NOT synthetic) AS BIGINT) AS bills FROM a WHERE c % 5 = 0 GROUP BY 1, 2)"""))
+def ledger_fork_partners(spark, sf_dir):
+    own = lines(spark, sf_dir)
+    kept = ledger.responses(own)
+    return ledger.fork_partners(kept, ledger.canonical_sessions(kept, ledger.first_times(own)))
+
+
+@query(over("""SELECT name, CAST(a AS BIGINT) AS a, CAST(a AS BIGINT) AS b, true AS passed FROM (SELECT 'files' AS name, (SELECT count(*) FROM (SELECT DISTINCT c, file FROM l)) AS a UNION ALL SELECT unnest(['agents', 'agents_of_turns']), (SELECT count(*) FROM talks WHERE c % 3 = 1 AND t IS NOT NULL)
+UNION ALL SELECT unnest(['journals', 'ties', 'split_sums']), 0 UNION ALL SELECT 'requests', (SELECT count(*) FROM b) UNION ALL SELECT 'tcu', (SELECT sum(tcu) FROM b) UNION ALL SELECT 'unpriced', (SELECT count(*) FROM b WHERE unpriced)
+UNION ALL SELECT 'kept_lines', (SELECT count(*) FROM l WHERE what = 'whole'))"""))
+def audit_both_ways(spark, sf_dir):
+    root, own, rates = logbook.store(spark, sf_dir), lines(spark, sf_dir), ledger.rates(spark)
+    kept = ledger.responses(own)
+    agents = transcripts.agents(events(spark, sf_dir), rows(spark, sf_dir), transcripts.sidecars(spark, root))
+    return audit.both_ways(logs.files(spark, root), own, events(spark, sf_dir), kept, billed(spark, sf_dir), ledger.canonical_sessions(kept, ledger.first_times(own)), agents, audit.recount(spark, root, rates))
+
+
+@query(over("SELECT 'unreported' AS verdict, CAST(2 AS BIGINT) AS n UNION ALL SELECT CASE WHEN torn THEN 'fail' ELSE 'pass' END, CAST(sum(n) AS BIGINT) FROM (SELECT false AS torn, 4 AS n UNION ALL SELECT count(*) FILTER (what = 'torn') > 0, 1 FROM l) GROUP BY 1"))
+def audit_verdicts(spark, sf_dir):
+    """A first report in which everything failed, replaced by the real one."""
+    real = audit.invariants(lines(spark, sf_dir), billed(spark, sf_dir)).select("name", "passed", F.lit(2).alias("seq"))
+    return tables.latest_verdicts(real.select("name", F.lit(False).alias("passed"), F.lit(1).alias("seq")).unionByName(real), "name", "seq", "passed")
+
+
+@query(over("SELECT max(output) AS output, max(output) AS again FROM b"))
+def audit_evidence(spark, sf_dir):
+    return audit.evidence(billed(spark, sf_dir), lines(spark, sf_dir)).select("output", "again")
+
+
+@query(over("SELECT CAST(count(*) AS BIGINT) AS n FROM b WHERE unpriced AND model <> 'claude-3-opus-20240229'"))
+def audit_coverage(spark, sf_dir):
+    return audit.coverage(billed(spark, sf_dir), ledger.rates(spark)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
+# The growing store as a stream
+
+
+@query(over("SELECT session_id, CASE file WHEN 'agent' THEN 'agent' ELSE 'main' END AS kind, count(*) AS n, min(line) - 1 AS first FROM l GROUP BY 1, 2"))
+def stream_tail(spark, sf_dir):
+    """The store read by the tailing source: every complete line once, the first of each file at offset 0."""
+    from tallyloom.sources.tail import LogTail
+    from tallyloom.streaming import batches
+
+    spark.dataSource.register(LogTail)
+    got = batches.run(spark.readStream.format("log_tail").load(logbook.store(spark, sf_dir)), "append", once=False)
+    own = got.select("byte_offset", F.regexp_extract("rel", f"({logs.SESSION})", 1).alias("session_id"), F.when(F.col("rel").contains("/subagents/"), "agent").otherwise("main").alias("kind"))
+    return own.groupBy("session_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("byte_offset").alias("first"))

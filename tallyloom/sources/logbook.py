@@ -2,7 +2,8 @@
 
 One session a conversation: its turns are events, an answer is two lines of one response (a part, then the whole with
 its usage) and, for most, a line with the result of the tool it called. Every third conversation has an agent beside
-it, every fifth a fork that copies the answers under another id and goes on, every seventh a broken line. All numbers follow from
+it, every fourth links (one of them twice), every fifth a fork that copies the answers under another id and goes on, every seventh a
+broken line; some results carry a picture, some sessions hear from a peer. All numbers follow from
 conv_id and turn by the arithmetic below, so that SQL over the table can say what a query over the store must give.
 """
 
@@ -68,8 +69,9 @@ def lines(conversations: DataFrame) -> DataFrame:
     called = F.concat(F.lit('[{"type":"text","text":'), _text(F.col("text")), F.lit("},"), call, F.lit("]"))
     done = F.format_string('[{"type":"tool_result","tool_use_id":"t%d-%d","is_error":%s,"content":"ok"}]', c, t, (n % 8 == 1).cast("string"))
 
-    def user(order: Column, session: Column, content: Column, more: str = "") -> Column:
-        return F.format_string('{"type":"user","uuid":"u%d-%d","timestamp":"%s","sessionId":"%s"%s,"message":{"role":"user","content":%s}}', c, order, at(order), session, F.lit(more), content)
+    def user(order: Column, session: Column, content: Column, more: Column | str = "") -> Column:
+        more = F.lit(more) if isinstance(more, str) else more
+        return F.format_string('{"type":"user","uuid":"u%d-%d","timestamp":"%s","sessionId":"%s"%s,"message":{"role":"user","content":%s}}', c, order, at(order), session, more, content)
 
     human = ',"origin":{"kind":"human"}'
     say = own.where("role = 'user'").select(main.alias("rel"), (t * 4 + 1).alias("ord"), user(t * 4 + 1, me, _text(F.col("text")), human).alias("line"))
@@ -77,11 +79,16 @@ def lines(conversations: DataFrame) -> DataFrame:
     replies = own.where("role = 'assistant'")
     first = replies.select(main.alias("rel"), (t * 4 + 1).alias("ord"), answer(t * 4 + 1, me, part, said).alias("line"))
     second = replies.select(main.alias("rel"), (t * 4 + 2).alias("ord"), answer(t * 4 + 2, me, whole, called).alias("line"))
-    results = replies.where(n % 4 != 0).select(main.alias("rel"), (t * 4 + 3).alias("ord"), user(t * 4 + 3, me, done).alias("line"))
+    picture = F.concat(F.lit(',"toolUseResult":{"file":{"base64":"'), F.rpad(F.lit("iVBORw0KGgo"), (600 + n % 7).cast("int"), F.lit("A")), F.lit('"}}'))
+    results = replies.where(n % 4 != 0).select(main.alias("rel"), (t * 4 + 3).alias("ord"), user(t * 4 + 3, me, done, F.when(n % 8 == 2, picture).otherwise(F.lit(""))).alias("line"))
     talks = own.groupBy("c").agg(F.min(F.when(F.col("role") == "assistant", F.col("t"))).alias("t"), F.max("t").alias("top"))
     last = F.col("top") * 4
     titles = talks.select(main.alias("rel"), F.lit(0).cast("long").alias("ord"), F.format_string('{"type":"custom-title","customTitle":"talk %d","sessionId":"%s"}', c, me).alias("line"))
     torn = talks.where("c % 7 = 0").select(main.alias("rel"), (last + 4).alias("ord"), F.lit('{"type":"user","cut').alias("line"))
+    leaf = F.format_string('{"type":"last-prompt","lastPrompt":"ask %d","leafUuid":"u%d-%d","sessionId":"%s"}', c, c, F.coalesce(t, F.lit(0)) * 4 + 2, me)
+    leaves = talks.select(main.alias("rel"), (last + 5).alias("ord"), leaf.alias("line"))
+    link = lambda k, number: talks.where("c % 4 = 0").select(main.alias("rel"), (last + k).alias("ord"), F.format_string('{"type":"pr-link","prNumber":%d,"prUrl":"https://example.org/pr/%d","prRepository":"r","sessionId":"%s"}', c + number, c + number, me).alias("line"))
+    peers = talks.where("c % 6 = 1").select(main.alias("rel"), (last + 9).alias("ord"), user(last + 9, me, F.lit('"done"'), F.format_string(',"origin":{"kind":"peer","senderTaskId":"k%d"}', c % 4)).alias("line"))
     fork = session_id(c, "f")
     copy = F.concat(F.lit("q/"), fork, F.lit(".jsonl"))
     copied = replies.where("c % 5 = 0").select(copy.alias("rel"), (t * 4 + 2).alias("ord"), answer(t * 4 + 2, me, whole, called).alias("line"))
@@ -93,7 +100,7 @@ def lines(conversations: DataFrame) -> DataFrame:
     agents = aside.select(F.concat(agent, F.lit(".jsonl")).alias("rel"), F.lit(1).cast("long").alias("ord"), asked.alias("line")).union(aside.select(F.concat(agent, F.lit(".jsonl")), F.lit(2).cast("long"), helper))
     beside = aside.select(F.concat(agent, F.lit(".meta.json")).alias("rel"), F.lit(1).cast("long").alias("ord"), F.format_string('{"agentType":"general","toolUseId":"t%d-%d","spawnDepth":1}', c, t).alias("line"))
     out = titles
-    for x in (say, note, first, second, results, torn, copied, goes_on, agents, beside):
+    for x in (say, note, first, second, results, torn, leaves, link(6, 1), link(7, 0), link(8, 1), peers, copied, goes_on, agents, beside):
         out = out.unionByName(x)
     return out
 
