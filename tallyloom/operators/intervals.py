@@ -21,14 +21,32 @@ def in_effect(rows: DataFrame, rates: DataFrame, key: str, day: Column) -> DataF
     return own.join(r, (own[key] == r["key"]) & (hit | F.col("_lone")) & (F.col("_day").isNotNull() | F.col("_lone")), "left").drop("_day", "_lone", "key")
 
 
+def _axis(df: DataFrame, at: str) -> Column:
+    """A bucket of the time axis for each row: a few for every shuffle partition, so that a key with a third of all rows is
+    sorted by many tasks. What crosses an edge between buckets is put right from a row a bucket."""
+    low, high = df.agg(F.min(at), F.max(at)).first()
+    parts = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = 1 if low is None else max(1, -(-(int(high) - int(low) + 1) // parts))
+    return F.call_function("div", F.col(at).cast("long") - F.lit(int(low or 0)).cast("long"), F.lit(width).cast("long"))
+
+
 def occupancy(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
     """Segments (keys, t0, t1, level) of how many intervals are open; ends come before starts at one time."""
     ok = df.where(F.col(end) > F.col(start))
     steps = ok.select(*keys, F.explode(F.array(F.struct(F.col(start).alias("t"), F.lit(1).alias("d")), F.struct(F.col(end).alias("t"), F.lit(-1).alias("d")))).alias("e"))
     at = steps.groupBy(*keys, F.col("e.t").alias("t0")).agg(F.sum("e.d").alias("_d"))
-    w = Window.partitionBy(*keys).orderBy("t0")
-    level = F.sum("_d").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")
-    return at.select(*keys, "t0", F.lead("t0").over(w).alias("t1"), level.alias("level")).where("level > 0")
+    at = at.withColumn("_b", _axis(steps.select(F.col("e.t").alias("t0")), "t0"))
+    over = Window.partitionBy(*keys).orderBy("_b")
+    edges = at.groupBy(*keys, "_b").agg(F.sum("_d").alias("_sum"), F.min("t0").alias("_first"))
+    edges = edges.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_b").alias("_k"), F.coalesce(F.sum("_sum").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_open"), F.lead("_first").over(over).alias("_next"))
+    w = Window.partitionBy(*keys, "_b").orderBy("t0")
+    level = F.sum("_d").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    own = at.select(*keys, "_b", "t0", F.lead("t0").over(w).alias("_t1"), level.alias("_level"))
+    same = own["_b"] == edges["_k"]
+    for k in keys:
+        same = same & own[k].eqNullSafe(edges[f"_k_{k}"])
+    own = own.join(edges, same)
+    return own.select(*keys, "t0", F.coalesce("_t1", "_next").alias("t1"), (F.col("_level") + F.col("_open")).cast("long").alias("level")).where("level > 0")
 
 
 def concurrency(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
@@ -58,9 +76,12 @@ def union_length(df: DataFrame, keys: Sequence[str], start: str, end: str) -> Da
 
 def empty_stretches(df: DataFrame, keys: Sequence[str], at: str, least: int) -> DataFrame:
     """(keys, t0, t1) of stretches of ``least`` or more without a mark, between marks."""
-    w = Window.partitionBy(*keys).orderBy(at)
-    out = df.select(*keys, F.lag(at).over(w).alias("t0"), F.col(at).alias("t1"))
-    return out.where(F.col("t1") - F.col("t0") >= least)
+    own = df.where(F.col(at).isNotNull()).select(*keys, F.col(at).alias("t1"))
+    own = own.withColumn("_b", _axis(own, "t1"))
+    inside = own.select(*keys, F.lag("t1").over(Window.partitionBy(*keys, "_b").orderBy("t1")).alias("t0"), "t1")
+    edges = own.groupBy(*keys, "_b").agg(F.min("t1").alias("t1"), F.max("t1").alias("_last"))
+    edges = edges.select(*keys, F.lag("_last").over(Window.partitionBy(*keys).orderBy("_b")).alias("t0"), "t1")
+    return inside.unionByName(edges).where(F.col("t1") - F.col("t0") >= least)
 
 
 def bins(df: DataFrame, keys: Sequence[str], at: str, origin: int, width: int) -> DataFrame:
