@@ -16,13 +16,20 @@ from tallyloom.llm import common, ngram_join, packing, pii_crf, quality_gbt, rul
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores 0.5 or more."""
+    """Documents that the classifier scores 0.5 or more.
+
+    Null and empty texts are scored like any other, equal rows alike; without usable labels every score is 0.5 and all stay.
+    """
     model = quality_gbt.fit(docs, common.read_table(spark, sf_dir, "labels"))
     return docs.where(quality_gbt.score(model)("text") >= 0.5).select(*docs.columns)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base test and that no learned rule rejects."""
+    """Documents that pass the base test and that no learned rule rejects.
+
+    Null and empty texts have no words and fail the base test; without usable labels there are no rules beside it. Columns of
+    any name keep their values.
+    """
     learned = rule_list.fit(docs, common.read_table(spark, sf_dir, "labels"))
     own = [F.col(c).alias(f"_own_{c}") for c in docs.columns if c != "text"]
     judged = rule_list.judge(docs.select("text", *own), learned).where("kept")
@@ -30,12 +37,18 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near copies."""
+    """One row, that of the smallest id (null last), of each group of near copies.
+
+    Of repeated rows one stays; rows without words (null, empty, blank) are near nothing and all stay.
+    """
     return ngram_join.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their personal data replaced by its kind; n_chars is counted anew."""
+    """All documents with their personal data replaced by its kind; n_chars is counted anew.
+
+    Null texts stay null with 0 characters; every row stays, repeated ones too.
+    """
     field = pii_crf.fit(docs)
     out = docs.withColumn("text", pii_crf.redact(field)("text"))
     if "n_chars" in docs.columns:
@@ -44,7 +57,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes in sequences of at most 1024 tokens."""
+    """Where each piece of each document goes in sequences of at most 1024 tokens.
+
+    Null and empty texts are one piece with the end id alone; repeated rows are packed as often as they occur.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
