@@ -214,6 +214,24 @@ def edited(rng, words, edits):
     return out
 
 
+def long_documents(rng, start):
+    """Templates with more or less of their own, copies of some, one very common passage, texts of thousands of words."""
+    rows = []
+    add = lambda words: rows.append((start + len(rows), " ".join(words)))
+    for k, (size, share) in enumerate([(600, 0.7), (900, 0.85), (2500, 0.6), (300, 0.78), (120, 0.9)]):
+        template = [f"t{k}x{i}" for i in range(int(size * share))]
+        for m in range(22):
+            own = template + [f"o{k}x{m}x{i}" for i in range(size - len(template))]
+            add(own)
+            if m % 5 == 0:
+                add(edited(rng, own, size // 50))
+        add(template)
+    common_ = [f"c{i}" for i in range(80)]
+    for m in range(60):
+        add([f"p{m}x{i}" for i in range(40 + 5 * m)] + common_)
+    return rows
+
+
 def test_near_duplicates_against_brute_force(spark, odd, nothing):
     rng = random.Random(12)
     rows, passage = [], [f"shared{i}" for i in range(60)]
@@ -228,7 +246,7 @@ def test_near_duplicates_against_brute_force(spark, odd, nothing):
     for k in range(12):
         rows.append((2000 - k, " ".join(chain)))
         chain = edited(rng, chain, 4)
-    rows += [(r["doc_id"] + 5000, r["text"]) for r in odd.collect()]
+    rows += [(r["doc_id"] + 5000, r["text"]) for r in odd.collect()] + long_documents(rng, 10_000)
     want, sets = brute_components(rows)
     own = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     got = ngram_join.near_duplicates(own).collect()
@@ -242,27 +260,6 @@ def test_near_duplicates_against_brute_force(spark, odd, nothing):
     assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in ngram_join.near_duplicates(nulls).collect()) == [("4", "4"), ("None", "None")]
 
 
-def test_long_documents_that_share_a_passage(spark):
-    """Templates with more or less of their own, copies of some, one very common passage, texts of thousands of words."""
-    rng = random.Random(21)
-    rows = []
-    add = lambda words: rows.append((len(rows), " ".join(words)))
-    for k, (size, share) in enumerate([(600, 0.7), (900, 0.85), (2500, 0.6), (300, 0.78), (120, 0.9)]):
-        template = [f"t{k}x{i}" for i in range(int(size * share))]
-        for m in range(22):
-            own = template + [f"o{k}x{m}x{i}" for i in range(size - len(template))]
-            add(own)
-            if m % 5 == 0:
-                add(edited(rng, own, size // 50))
-        add(template)
-    common_ = [f"c{i}" for i in range(80)]
-    for m in range(60):
-        add([f"p{m}x{i}" for i in range(40 + 5 * m)] + common_)
-    want, _ = brute_components(rows)
-    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
-    assert {r["doc_id"]: r["component_id"] for r in got} == want
-
-
 def test_documents_that_cannot_be_links_are_never_paired(spark, monkeypatch):
     """Of a template with a fifth of its own each, no pair comes out of the torn cells; with a tenth all are linked by the star."""
     made = []
