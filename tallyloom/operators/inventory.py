@@ -80,6 +80,24 @@ def run_calls(own: DataFrame) -> DataFrame:
     return found.select("session_id", "line", F.explode("runs").alias("run_id")).groupBy("session_id", "run_id").agg(F.min("line").alias("first_line"), F.array_sort(F.collect_set("line")).alias("lines"))
 
 
+def front_matter(text: Column) -> Column:
+    """Front matter as a map: ``key: value`` lines, those under a key without a value as ``key.name``; quotes around values go. Null where a text has none.
+
+    This is the part of YAML that notes use: no lists, no values over several lines.
+    """
+    front = F.nullif(F.regexp_extract(text, r"^(?:\uFEFF)?---\r?\n([\s\S]*?)\r?\n---", 1), F.lit(""))
+    part = lambda x, k: F.regexp_extract(x, r"^(\s*)([A-Za-z_][\w-]*):\s*(.*?)\s*$", k)
+    lines = F.filter(F.split(front, "\r?\n"), lambda x: x.rlike(r"^\s*[A-Za-z_][\w-]*:"))
+    entries = F.transform(lines, lambda x: F.struct(F.length(part(x, 1)).alias("indent"), part(x, 2).alias("key"), F.regexp_replace(part(x, 3), "^([\"'])(.*)\\1$", "$2").alias("value")))
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    whole = F.aggregate(
+        entries, F.struct(F.lit("").alias("under"), none.alias("got")),
+        lambda s, e: F.struct(F.when(e["indent"] == 0, e["key"]).otherwise(s["under"]).alias("under"), F.when(e["value"] == "", s["got"]).otherwise(F.concat(s["got"], F.array(F.struct(F.when(e["indent"] > 0, F.concat_ws(".", s["under"], e["key"])).otherwise(e["key"]).alias("key"), e["value"].alias("value"))))).alias("got")),
+        lambda s: s["got"],
+    )
+    return F.when(front.isNotNull(), F.map_from_entries(F.filter(whole, lambda e, i: ~F.exists(F.slice(whole, F.lit(1), i), lambda b: b["key"] == e["key"]))))
+
+
 def memory(spark: SparkSession, root: str, sessions: DataFrame) -> DataFrame:
     """Memory notes with the session that wrote them: resolved, in another project, dangling, or not recorded."""
     raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select("value", F.col("_metadata.file_path").alias("path"))

@@ -86,3 +86,24 @@ def payload_blocks(lines: DataFrame) -> DataFrame:
     found = own.select("rel", "line", F.posexplode("blobs").alias("pos", "x")).where("x.key <> 'signature'").select("rel", "line", F.col("x.key").alias("key"), "pos", F.col("x.bytes").alias("bytes"), F.col("x.head").alias("head"))
     found = found.withColumns({"k": F.row_number().over(w.orderBy("pos")), "n": F.count(F.lit(1)).over(w)})
     return places.join(found, ["rel", "line", "key", "k", "n"]).select("rel", "line", "bi", "key", "bytes", "head")
+
+
+#: Media types that a picture may be said to be. Fixed values.
+MEDIA = ("image/png", "image/jpeg", "image/webp", "image/gif")
+
+
+def pictures(raw: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(rel, line, bi, media_type, content): the payloads of blocks, decoded from the lines as recorded.
+
+    The recorded type counts if it is one of MEDIA, else what the payload begins like; content is null where it is no base64.
+    """
+    from tallyloom.operators.inventory import media_type
+
+    own = blocks.select("rel", "line", "bi").join(raw.select("rel", "line", "text"), ["rel", "line"])
+    path = json_path(F.col("bi"))
+    get = lambda p: F.call_function("get_json_object", F.col("text"), p)
+    body = F.coalesce(get(F.concat(path, F.lit(".source.data"))), get(F.concat(path, F.lit(".file.base64"))))
+    said = get(F.concat(path, F.lit(".source.media_type")))
+    own = own.withColumns({"_body": body, "_said": said})
+    kind = F.when(F.col("_said").isin(*MEDIA), F.col("_said")).otherwise(media_type(F.col("_body")))
+    return own.select("rel", "line", "bi", kind.alias("media_type"), F.try_to_binary("_body", F.lit("base64")).alias("content"))

@@ -279,13 +279,25 @@ def record_siblings(spark, sf_dir):
     return own.join(both, ["rel", "line"]).select("session_id", "line", "bi", "before", "after")
 
 
-@query(over("""SELECT session_id, line, 'r' AS bi, 'base64' AS key, CAST(floor((600 + (c + t) % 7) * 3 / 4.0) AS BIGINT) AS bytes, 'image/png' AS media FROM l WHERE what = 'result' AND (c + t) % 8 = 2"""))
+@query(over("""SELECT session_id, line, 'r' AS bi, 'base64' AS key, CAST(450 + (c + t) % 7 * 3 AS BIGINT) AS bytes, 'image/png' AS media FROM l WHERE what = 'result' AND (c + t) % 8 = 2"""))
 def record_payloads(spark, sf_dir):
     own = records.payload_blocks(lines(spark, sf_dir))
     return own.select(F.regexp_extract("rel", f"({logs.SESSION})", 1).alias("session_id"), "line", "bi", "key", "bytes", inventory.media_type(F.col("head")).alias("media"))
 
 
-@query(over("SELECT 'payload' AS what, count(*) AS n, CAST(sum(floor((600 + (c + t) % 7) * 3 / 4.0)) AS BIGINT) AS bytes FROM l WHERE what = 'result' AND (c + t) % 8 = 2 HAVING count(*) > 0"))
+@query(over("SELECT session_id, line, 'r' AS bi, 'image/png' AS media_type, CAST(450 + (c + t) % 7 * 3 AS BIGINT) AS bytes, '89504E470D0A1A0A' AS head FROM l WHERE what = 'result' AND (c + t) % 8 = 2"))
+def record_pictures(spark, sf_dir):
+    """Pictures decoded from the lines as recorded, by the blocks that held them."""
+    own = records.pictures(logs.raw_lines(spark, logbook.store(spark, sf_dir)), records.payload_blocks(lines(spark, sf_dir)))
+    return own.select(F.regexp_extract("rel", f"({logs.SESSION})", 1).alias("session_id"), "line", "bi", "media_type", F.octet_length("content").cast("long").alias("bytes"), F.hex(F.substring("content", 1, 8)).alias("head"))
+
+
+@query(over("SELECT true AS readable, CAST(count(*) AS BIGINT) AS files, CAST(count(*) FILTER (kind = 'main') AS BIGINT) AS sessions, false AS capped FROM (SELECT 'main' AS kind FROM talks UNION ALL SELECT 'main' FROM talks WHERE c % 5 = 0 UNION ALL SELECT unnest(['agent', 'meta']) FROM talks WHERE c % 3 = 1 AND t IS NOT NULL)"))
+def store_preview(spark, sf_dir):
+    return logs.preview(spark, logbook.store(spark, sf_dir)).select("readable", "files", "sessions", "capped")
+
+
+@query(over("SELECT 'payload' AS what, count(*) AS n, CAST(sum(450 + (c + t) % 7 * 3) AS BIGINT) AS bytes FROM l WHERE what = 'result' AND (c + t) % 8 = 2 HAVING count(*) > 0"))
 def find_skipped(spark, sf_dir):
     """What a search over the store doesn't see."""
     return inventory.stripped_census(lines(spark, sf_dir)).select("what", "n", F.col("bytes").cast("long").alias("bytes"))

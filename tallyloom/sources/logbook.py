@@ -79,7 +79,7 @@ def lines(conversations: DataFrame) -> DataFrame:
     replies = own.where("role = 'assistant'")
     first = replies.select(main.alias("rel"), (t * 4 + 1).alias("ord"), answer(t * 4 + 1, me, part, said).alias("line"))
     second = replies.select(main.alias("rel"), (t * 4 + 2).alias("ord"), answer(t * 4 + 2, me, whole, called).alias("line"))
-    picture = F.concat(F.lit(',"toolUseResult":{"file":{"base64":"'), F.rpad(F.lit("iVBORw0KGgo"), (600 + n % 7).cast("int"), F.lit("A")), F.lit('"}}'))
+    picture = F.concat(F.lit(',"toolUseResult":{"file":{"base64":"'), F.rpad(F.lit("iVBORw0KGgo"), (600 + n % 7 * 4).cast("int"), F.lit("A")), F.lit('"}}'))
     results = replies.where(n % 4 != 0).select(main.alias("rel"), (t * 4 + 3).alias("ord"), user(t * 4 + 3, me, done, F.when(n % 8 == 2, picture).otherwise(F.lit(""))).alias("line"))
     talks = own.groupBy("c").agg(F.min(F.when(F.col("role") == "assistant", F.col("t"))).alias("t"), F.max("t").alias("top"))
     last = F.col("top") * 4

@@ -102,8 +102,11 @@ def heavy(text: Column) -> Column:
     return F.filter(F.zip_with(keys, bodies, one), lambda b: b["length"] >= least[b["key"]])
 
 
-def lines(spark: SparkSession, root: str) -> DataFrame:
-    """rel, line (from 1), byte_offset, bytes, text (stripped), blobs, event (VARIANT), torn, bom, and where the file stands.
+_PLACE = ("rel", "slug", "session_id", "kind", "agent_id", "run_id", "line", "byte_offset", "bytes", "bom")
+
+
+def raw_lines(spark: SparkSession, root: str) -> DataFrame:
+    """rel, line (from 1), byte_offset, bytes, bom, text as recorded, and where the file stands.
 
     Files are read by byte range, so that one file is dealt over many tasks; places within a file come from the counts of the
     ranges before. A CR before the LF and a first BOM go; an unterminated tail isn't there yet.
@@ -124,7 +127,31 @@ def lines(spark: SparkSession, root: str) -> DataFrame:
     own = own.withColumns({"byte_offset": F.when(F.col("line") == 1, F.lit(0)).otherwise(F.col("_end") + F.col("_bom") - size - 1).cast("long"), "bytes": (size + head).cast("long"), "bom": head > 0})
     own = own.where(~(F.col("_open") & (F.col("_end") + F.col("_bom") > F.col("_size"))))
     text = F.regexp_replace(F.make_valid_utf8("_x"), "\r$", "")
-    own = own.withColumn("_t", text).where(F.length("_t") > 0).withColumns({"text": strip_heavy(F.col("_t")), "blobs": heavy(F.col("_t"))})
+    return own.withColumn("text", text).where(F.length("text") > 0).select(*_PLACE, "text")
+
+
+def lines(spark: SparkSession, root: str) -> DataFrame:
+    """The raw lines with text stripped of long encoded values, those as blobs, event (VARIANT) and torn (the line isn't one JSON object)."""
+    own = raw_lines(spark, root).withColumnRenamed("text", "_t").withColumns({"text": strip_heavy(F.col("_t")), "blobs": heavy(F.col("_t"))})
     own = with_object(own, "text", "event").withColumn("torn", F.col("event").isNull())
-    keep = ("rel", "slug", "session_id", "kind", "agent_id", "run_id", "line", "byte_offset", "bytes", "bom", "text", "blobs", "torn", "event")
-    return own.select(*keep)
+    return own.select(*_PLACE, "text", "blobs", "torn", "event")
+
+
+def byte_range(spark: SparkSession, root: str, rel: str, start: int, length: int) -> DataFrame:
+    """(rel, size, content): bytes of one file from ``start`` on."""
+    raw = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{rel}")
+    return raw.select(F.lit(rel).alias("rel"), F.col("length").alias("size"), F.substring("content", start + 1, length).alias("content"))
+
+
+def preview(spark: SparkSession, root: str, *, most: int = 100_000) -> DataFrame:
+    """(readable, files, sessions, bytes, capped) of a folder that may become a store; counts are null, never 0, where it can't be listed."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        own = files(spark, root)
+    except AnalysisException:
+        nothing = {"files": "long", "sessions": "long", "bytes": "long"}
+        return spark.range(1).select(F.lit(False).alias("readable"), *(F.lit(None).cast(k).alias(c) for c, k in nothing.items()), F.lit(False).alias("capped"))
+    some = own.limit(most + 1)  # the listing's own order; more than that is only said to be more
+    out = some.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.when(F.col("kind") == "main", F.col("session_id"))).alias("sessions"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+    return out.select(F.lit(True).alias("readable"), F.least("n", F.lit(most)).cast("long").alias("files"), "sessions", "bytes", (F.col("n") > most).alias("capped"))

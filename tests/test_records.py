@@ -116,3 +116,17 @@ def test_money_of_models_without_a_price_is_unknown_and_not_zero(spark, tmp_path
 def test_groups_keep_the_order_of_first_appearance(spark):
     own = spark.createDataFrame([("b", 1), (None, 2), ("a", 3), ("b", 4)], "g string, i int")
     assert [(r["g"], r["n"]) for r in tables.groups_in_order(own, "g", "i").orderBy("place").collect()] == [("b", 2), (None, 1), ("a", 1)]
+
+
+def test_front_matter_previews_and_ranges(spark, tmp_path):
+    from tallyloom.operators.inventory import front_matter
+
+    texts = ["---\nname: a b\nmetadata:\n  originSessionId: 'x-1'\n  kind: \"q\"\nlast: 1\nname: again\n---\nbody: no", "no front", "---\nempty:\n---\n", None]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").orderBy("i").select(front_matter(F.col("x"))).collect()]
+    assert got == [{"name": "a b", "metadata.originSessionId": "x-1", "metadata.kind": "q", "last": "1"}, None, {}, None]
+    stored(spark, tmp_path, [user(A, "u", "09:00:00", "x")])
+    assert tuple(logs.preview(spark, str(tmp_path)).first())[:3] == (True, 1, 1)
+    assert logs.preview(spark, str(tmp_path), most=0).first()["capped"]
+    assert tuple(logs.preview(spark, str(tmp_path / "none")).first()) == (False, None, None, None, False)
+    own = logs.byte_range(spark, str(tmp_path), f"p/{A}.jsonl", 1, 6).first()
+    assert bytes(own["content"]) == (tmp_path / "p" / f"{A}.jsonl").read_bytes()[1:7]
