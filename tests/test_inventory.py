@@ -8,7 +8,7 @@ from tallyloom.sources import logs
 
 from store import A, AGENT, B, CHILD, RUN, TCU_A, TCU_B, build, user
 
-PNG = "iVBORw0KGgo" + "A" * 200
+PNG = "iVBORw0KGgo" + "A" * 600
 
 
 @pytest.fixture(scope="module")
