@@ -37,6 +37,20 @@ def test_chunks_give_what_the_library_gives_for_whole_texts(library):
     assert [np.frombuffer(x, "<u4").tolist() for x in chunks.tokenizers_encoder(JSON)(own)] == [library(t) for t in own]
 
 
+def test_memo_of_chunks_gives_the_same_at_any_filling(library, monkeypatch):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdeéñ日1.,'\n") for _ in range(rng.randint(1, 6)))
+    blocks = [[" ".join(word() for _ in range(rng.randint(0, 60))) + rng.choice(["", "", " ", "  x"]) for _ in range(30)] for _ in range(12)]
+    for most, stale in ((100, 300), (10_000, 10**9), (0, 10**9)):
+        monkeypatch.setattr(chunks, "CHUNKS", most)
+        monkeypatch.setattr(chunks, "STALE", stale)
+        chunks._CACHE.clear()
+        encode = chunks.tokenizers_encoder(JSON)
+        for own in [*blocks, blocks[0][:1], [], [""]]:
+            assert [np.frombuffer(x, "<u4").tolist() for x in encode(own)] == [library(t) for t in own]
+    chunks._CACHE.clear()
+
+
 def test_strings_of_added_tokens_become_their_ids(library):
     end = "<|endoftext|>"
     assert library(end) == [50256]
