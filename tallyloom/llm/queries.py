@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import bpe, media, ngram_join, packing, pii_crf, quality_gbt, rule_list, secrets_forest, shards, token_store
+from tallyloom.llm import bpe, media, merge_queue, ngram_join, packing, pii_crf, quality_gbt, rule_list, secrets_forest, shards, token_store, turn_repair, whitening
 from tallyloom.llm.common import read_table
 
 
@@ -58,6 +58,18 @@ def op10_rule_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_list.judge(docs.select("doc_id", "text"), rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair_damaged(read_table(spark, sf_dir, "conversations"))
+
+
+def op12_tsqr_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_merge_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_queue.round_trip(read_table(spark, sf_dir, "documents"), _json_vocabulary())
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
