@@ -55,7 +55,7 @@ def sessions(listing: DataFrame) -> DataFrame:
     """One row per session id: owner (least project with a main file, else least with any), files, bytes, fragments, fingerprint."""
     own = listing.where(F.col("session_id").isNotNull())
     slug_of_main = F.when(F.col("kind") == "main", F.col("slug"))
-    mark = F.sha1(F.array_join(F.array_sort(F.collect_list(F.concat_ws("\0", "rel", F.col("size").cast("string"), F.unix_millis("mtime").cast("string")))), "\n").cast("binary"))
+    mark = F.sha1(F.array_join(F.array_sort(F.collect_list(F.concat_ws("\0", "rel", F.col("size").cast("string"), F.unix_millis("mtime").cast("string")))), "").cast("binary"))
     return own.groupBy("session_id").agg(
         F.coalesce(F.min(slug_of_main), F.min("slug")).alias("slug"),
         F.count(F.lit(1)).alias("n_files"),
@@ -105,17 +105,72 @@ def heavy(text: Column) -> Column:
 _PLACE = ("rel", "slug", "session_id", "kind", "agent_id", "run_id", "line", "byte_offset", "bytes", "bom")
 
 
+#: Files up to this many bytes are read and numbered whole, in the task that reads them.
+WHOLE = 1 << 25
+
+
 def raw_lines(spark: SparkSession, root: str) -> DataFrame:
     """rel, line (from 1), byte_offset, bytes, bom, text as recorded, and where the file stands.
 
-    Files are read by byte range, so that one file is dealt over many tasks; places within a file come from the counts of the
-    ranges before. A CR before the LF and a first BOM go; an unterminated tail isn't there yet.
+    No text is shuffled for files of up to WHOLE bytes; larger ones are read by byte range, see ``_ranged``. A CR before the LF and a first BOM
+    go; an unterminated tail isn't there yet.
     """
+    own = _whole(spark, root).unionByName(_ranged(spark, root).select(*_PLACE, "_x"))
+    text = F.regexp_replace(F.make_valid_utf8(F.col("_x").cast("string")), "\r?\n?$", "")
+    return own.withColumn("text", text).where(F.length("text") > 0).select(*_PLACE, "text")
+
+
+def _whole(spark: SparkSession, root: str) -> DataFrame:
+    """The lines of files up to WHOLE bytes. One pass: the task that reads a file numbers its lines."""
+    small = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(root).where(F.col("length") <= WHOLE)
+    files = _located(small.select("path", "content"), root).select(*_PLACE[:6], "content")
+    return files.mapInArrow(_numbered, "rel string, slug string, session_id string, kind string, agent_id string, run_id string, line long, byte_offset long, bytes long, bom boolean, _x binary")
+
+
+def _numbered(batches):
+    """The lines of whole files with their numbers and offsets; all files of a batch at once, as one run of bytes."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        content = batch.column("content")
+        if not len(content):
+            continue
+        content = content.cast(pa.large_binary())
+        stops = np.frombuffer(content.buffers()[1], np.int64)[content.offset : content.offset + len(content) + 1]
+        data = np.frombuffer(content.buffers()[2], np.uint8) if stops[-1] else np.zeros(0, np.uint8)
+        cuts = np.unique(np.concatenate([stops, np.flatnonzero(data[stops[0] : stops[-1]] == 10) + stops[0] + 1]))
+        begin, end = cuts[:-1], cuts[1:]
+        if not begin.size:
+            continue
+        values = pa.Array.from_buffers(pa.large_binary(), begin.size, [None, pa.py_buffer(cuts), content.buffers()[2]])
+        file = np.searchsorted(stops, begin, "right") - 1
+        first = np.searchsorted(begin, stops[:-1])[file]
+        whole = data[end - 1] == 10
+        marked = begin[first] == begin
+        head = begin[marked]
+        bom = np.zeros(begin.size, bool)
+        bom[marked] = [data[a : a + 3].tobytes() == b"\xef\xbb\xbf" and b - a >= 3 for a, b in zip(head.tolist(), end[marked].tolist())]
+        own = [batch.column(k).take(pa.array(file)) for k in _PLACE[:6]]
+        numbers = [np.arange(begin.size) - first + 1, begin - stops[file], end - begin - 1]
+        table = pa.Table.from_arrays([*own, *map(pa.array, numbers), pa.array(bom), values], names=[*_PLACE, "_x"]).filter(pa.array(whole))
+        at = np.flatnonzero(table.column("bom").to_numpy())
+        if at.size:  # a BOM is no text
+            texts = table.column("_x").to_pylist()
+            for i in at.tolist():
+                texts[i] = texts[i][3:]
+            table = table.set_column(table.schema.get_field_index("_x"), "_x", pa.array(texts, pa.large_binary()))
+        table = table.set_column(table.schema.get_field_index("_x"), "_x", table.column("_x").cast(pa.binary()))
+        yield from table.to_batches(max_chunksize=4096)
+
+
+def _ranged(spark: SparkSession, root: str) -> DataFrame:
+    """The lines of files over WHOLE bytes, read by byte range, so that one file is dealt over many tasks; places within a file come from the counts of the ranges before."""
     meta = F.col("_metadata")
-    raw = spark.read.text(root, lineSep="\n", recursiveFileLookup=True, pathGlobFilter="*.jsonl")
+    raw = spark.read.text(root, lineSep="\n", recursiveFileLookup=True, pathGlobFilter="*.jsonl").where(meta["file_size"] > WHOLE)
     raw = raw.select(F.col("value").alias("_x"), meta["file_path"].alias("path"), meta["file_block_start"].alias("_block"), meta["file_size"].alias("_size"), F.monotonically_increasing_id().alias("_id"))
     size = F.octet_length("_x").cast("long")
-    blocks = raw.groupBy("path", "_block", "_size").agg(F.count(F.lit(1)).alias("_n"), F.sum(size + 1).alias("_bytes"), F.min("_id").alias("_first"))
+    blocks = raw.groupBy("path", "_block", "_size").agg(F.count(F.lit(1)).alias("_n"), F.sum(size + 1).alias("_bytes"))
     whole, before = Window.partitionBy("path"), Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     over = F.col("_size") - F.sum("_bytes").over(whole)  # -1: the last line has no LF; 3 more: a BOM, which the reader has skipped
     blocks = blocks.withColumns({"_bom": F.when(over >= 2, 3).otherwise(0), "_open": over.isin(-1, 2), "_lines": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_at": F.coalesce(F.sum("_bytes").over(before), F.lit(0))})
@@ -126,8 +181,7 @@ def raw_lines(spark: SparkSession, root: str) -> DataFrame:
     head = F.when(F.col("line") == 1, F.col("_bom")).otherwise(0)
     own = own.withColumns({"byte_offset": F.when(F.col("line") == 1, F.lit(0)).otherwise(F.col("_end") + F.col("_bom") - size - 1).cast("long"), "bytes": (size + head).cast("long"), "bom": head > 0})
     own = own.where(~(F.col("_open") & (F.col("_end") + F.col("_bom") > F.col("_size"))))
-    text = F.regexp_replace(F.make_valid_utf8("_x"), "\r$", "")
-    return own.withColumn("text", text).where(F.length("text") > 0).select(*_PLACE, "text")
+    return own.withColumn("_x", F.col("_x").cast("binary"))
 
 
 def lines(spark: SparkSession, root: str) -> DataFrame:

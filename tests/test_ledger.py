@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,3 +114,28 @@ def test_order_of_files_and_partitions_changes_nothing(spark, lines):
     a = ledger.cost(ledger.ledger(lines), "session_id").collect()
     b = ledger.cost(ledger.ledger(lines.orderBy(F.rand(3)).repartition(5)), "session_id").collect()
     assert sorted(a) == sorted(b)
+
+
+def test_lines_of_whole_files_and_of_ranges_are_the_same(spark, tmp_path, monkeypatch):
+    texts = [b"", b"\n", b"a", b"a\n", b"a\nb", b"\xef\xbb\xbf", b"\xef\xbb\xbfa\r\n\nb\r\nc", b"\xef\xbb\xbf\nx\n", b"\n\n\nlast\n", b"\xff\xfe bad \xc3\n\xc3\xa9\n", b"x" * 40 + b"\r\n" + b"y" * 9]
+    rng = random.Random(5)
+    texts += [b"".join(rng.choice([b"a", b"bc", b"\n", b"\r\n", b"\xc3\xa9", b" "]) for _ in range(rng.randint(0, 40))) for _ in range(40)]
+    for i, raw in enumerate(texts):
+        folder = tmp_path / f"p{i % 3}"
+        folder.mkdir(exist_ok=True)
+        (folder / f"00000000-0000-0000-0000-{i:012d}.jsonl").write_bytes(raw)
+    want = []
+    for i, raw in enumerate(texts):
+        at = 0
+        for k, line in enumerate(raw.split(b"\n")[:-1]):
+            bom = k == 0 and raw.startswith(b"\xef\xbb\xbf")
+            text = line[3 * bom :].removesuffix(b"\r").decode("utf-8", "replace")
+            if text:
+                want.append((f"p{i % 3}/00000000-0000-0000-0000-{i:012d}.jsonl", k + 1, at, len(line), bom, text))
+            at += len(line) + 1
+    for most in (1 << 25, 0, 20):
+        monkeypatch.setattr(logs, "WHOLE", most)
+        got = logs.raw_lines(spark, str(tmp_path)).select("rel", "line", "byte_offset", "bytes", "bom", "text").collect()
+        assert sorted(map(tuple, got)) == sorted(want), most
+    monkeypatch.setattr(logs, "WHOLE", 1 << 25)
+    assert "Exchange" not in logs._whole(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
