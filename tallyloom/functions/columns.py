@@ -30,10 +30,13 @@ def head(text: Column, size: int = HEAD) -> Column:
     return F.substring(F.trim(flat), 1, size)
 
 
-def context(text: Column, at: Column, size: int, width: int = PREVIEW) -> Column:
-    """A window of ``width`` characters centred on a hit of ``size`` characters at 1-based ``at``, with ellipses."""
-    start = F.greatest(F.lit(1), at - F.call_function("div", F.greatest(F.lit(0), F.lit(width - size)), F.lit(2)).cast("int"))
-    return F.concat(F.when(start > 1, F.lit("…")).otherwise(F.lit("")), F.substring(text, start, F.lit(width)), F.when(start + width <= F.length(text), F.lit("…")).otherwise(F.lit("")))
+def context(text: Column, at: Column, size: Column | int, width: int = PREVIEW) -> Column:
+    """What stands around a hit of ``size`` characters at 1-based ``at``: about ``width`` characters, white space collapsed, ellipses where text is left out."""
+    size = F.lit(size) if isinstance(size, int) else size
+    half = F.call_function("div", F.greatest(F.lit(0), F.lit(width) - size), F.lit(2)).cast("int")
+    start, stop = F.greatest(F.lit(1), at - half), at + size + half
+    mark = lambda cut: F.when(cut, F.lit("…")).otherwise(F.lit(""))
+    return F.concat(mark(start > 1), F.regexp_replace(F.substring(text, start, stop - start), SPACE + "+", " "), mark(stop <= F.length(text)))
 
 
 def model_key(raw: Column) -> Column:

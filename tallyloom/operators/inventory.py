@@ -128,16 +128,22 @@ def spill_census(listing: DataFrame, refs: DataFrame, root: str) -> DataFrame:
 
 
 def images(lines: DataFrame) -> DataFrame:
-    """(rel, line, ordinal, media_type, bytes, twin): payloads that begin like a known type.
+    """(rel, line, bi, media_type, bytes, twin): payloads by the address of their block.
 
-    On a line that has one in its content and one in its sidecar both are the same picture: the second is a twin.
+    On a line that has a picture in its content and one in its sidecar both are the same: the sidecar's is the twin, whatever its
+    bytes, and has the type of the first block's where its own isn't known.
     """
-    own = lines.select("rel", "line", F.posexplode("blobs").alias("ordinal", "b")).where("b.key in ('data', 'base64')")
-    own = own.select("rel", "line", "ordinal", "b.bytes", F.col("b.key").alias("key"), F.col("b.head").alias("head"), media_type(F.col("b.head")).alias("media_type")).where("media_type is not null")
     from pyspark.sql import Window
 
-    again = F.row_number().over(Window.partitionBy("rel", "line", "head", "bytes").orderBy("ordinal")) > 1
-    return own.withColumn("twin", again).drop("head", "key")
+    from tallyloom.operators.records import payload_blocks
+
+    own = payload_blocks(lines).select("rel", "line", "bi", "bytes", media_type(F.col("head")).alias("media_type"))
+    line = Window.partitionBy("rel", "line")
+    beside = (F.col("bi") == "r") | F.col("bi").startswith("r.")
+    part = lambda k: F.try_to_number(F.split_part("bi", F.lit("."), F.lit(k)), F.lit("9" * 9)).cast("int")
+    first = F.min_by("media_type", F.when(~beside, F.struct(part(1).alias("i"), part(2).alias("j")))).over(line)
+    own = own.withColumns({"twin": beside & (F.count_if(~beside).over(line) > 0), "_first": first})
+    return own.withColumn("media_type", F.coalesce("media_type", F.when(F.col("twin"), F.col("_first")))).drop("_first")
 
 
 def stripped_census(lines: DataFrame) -> DataFrame:

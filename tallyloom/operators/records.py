@@ -56,10 +56,40 @@ def siblings(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"before": F.lag("bi").over(w), "after": F.lead("bi").over(w)})
 
 
-def block_of_hit(hits: DataFrame, rows: DataFrame, needle: str) -> DataFrame:
-    """(rel, line, bi): the first block of each hit's line whose head holds the text; null where none does, the hit is the line's then."""
-    there = rows.where(F.lower("head").contains(needle.lower())).groupBy("rel", "line").agg(F.min_by("bi", "ord").alias("bi"))
-    return hits.select("rel", "line").join(there, ["rel", "line"], "left")
+def block_texts(own: DataFrame) -> DataFrame:
+    """(rel, line, ord, bi, text): the whole text of every block of ``transcripts.events``, with its address, in the order in which hits are told.
+
+    A block has its text, its thinking, its input as JSON, or its result; a result's own parts are i.j; the sidecar is r, its parts r.j, as
+    JSON unless it is a string. Content that is one string has no blocks. JSON has its keys in the order of VARIANT.
+    """
+    get = lambda v, path: F.try_variant_get(v, path, "variant")
+    is_ = lambda v, kind: F.coalesce(F.schema_of_variant(v).startswith(kind), F.lit(False))
+    string = lambda v: F.when(is_(v, "STRING"), v.cast("string"))
+    items = lambda v: F.when(is_(v, "ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
+    b, kind = F.col("b"), F.try_variant_get("b", "$.type", "string")
+    blocks = own.select("rel", "line", F.posexplode(items(F.col("content"))).alias("i", "b"))
+    parts = F.array(string(get(b, "$.text")), string(get(b, "$.thinking")), F.when(kind == "tool_use", F.to_json(get(b, "$.input"))), F.when(kind == "tool_result", string(get(b, "$.content"))))
+    place = lambda i, j, k: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), k.cast("int").alias("k"))
+    none = F.lit(-1)
+    plain = blocks.select("rel", "line", "i", F.posexplode(parts).alias("k", "text")).select("rel", "line", place(F.col("i"), none, F.col("k")).alias("ord"), F.col("i").cast("string").alias("bi"), "text")
+    nested = blocks.where(kind == "tool_result").select("rel", "line", "i", F.posexplode(items(get(b, "$.content"))).alias("j", "c"))
+    nested = nested.select("rel", "line", place(F.col("i"), F.col("j"), none).alias("ord"), F.concat_ws(".", "i", "j").alias("bi"), string(get(F.col("c"), "$.text")).alias("text"))
+    beside = own.select("rel", "line", get(F.col("event"), "$.toolUseResult").alias("s")).where(F.col("s").isNotNull() & ~F.is_variant_null("s"))
+    end = F.lit(1 << 30)
+    listed = beside.select("rel", "line", F.posexplode(items(F.col("s"))).alias("j", "c")).select("rel", "line", place(end, F.col("j"), none).alias("ord"), F.concat(F.lit("r."), F.col("j")).alias("bi"), F.to_json("c").alias("text"))
+    one = beside.where(~is_(F.col("s"), "ARRAY")).select("rel", "line", place(end, none, none).alias("ord"), F.lit("r").alias("bi"), F.coalesce(string(F.col("s")), F.to_json("s")).alias("text"))
+    return plain.unionByName(nested).unionByName(listed).unionByName(one).where("text is not null")
+
+
+def block_of_hit(hits: DataFrame, own: DataFrame, find, context: str = "ctx") -> DataFrame:
+    """``hits`` (a row a line) with ``bi``: the first block whose whole text holds the hit, and that block's ``ctx``; where none does the hit is the line's.
+
+    ``find`` is a search of ``operators.search`` over a column ``text``. Only lines with a hit are taken apart.
+    """
+    lines = own.join(hits.select("rel", "line").distinct(), ["rel", "line"], "left_semi")
+    found = find(block_texts(lines)).groupBy("rel", "line").agg(F.min_by(F.struct("bi", F.col("ctx").alias("_ctx")), "ord").alias("_b"))
+    out = hits.join(found, ["rel", "line"], "left")
+    return out.withColumns({"bi": F.col("_b.bi"), context: F.coalesce(F.col("_b._ctx"), F.col(context))}).drop("_b")
 
 
 def payload_blocks(lines: DataFrame) -> DataFrame:

@@ -17,34 +17,32 @@ class UnsafePattern(ValueError):
     """A pattern with an unbounded repeat inside another, which may take exponential time."""
 
 
+#: What a pattern is made of, as far as repeats go: escaped characters and classes are single atoms.
+_PARTS = re.compile(r"\\.|\[[^\]]*\]|\{[0-9]+,\}|.", re.DOTALL)
+
+
+def _unbounded(part: str) -> bool:
+    return part in ("*", "+") or part.startswith("{") and len(part) > 1
+
+
 def check_pattern(pattern: str) -> None:
-    """Refuse what can't be compiled and what repeats a group that itself repeats without bound."""
+    """Refuse what can't be compiled and what repeats, without bound, a group that itself repeats without bound inside."""
     try:
         re.compile(pattern)
     except re.error as e:
         raise UnsafePattern(f"not a pattern: {e}") from e
-    groups: list[bool] = []
-    escaped = in_class = False
-    closed: bool | None = None  # whether the group that has just ended repeats inside
-    for c in pattern:
-        repeats = c in "*+{" and not escaped and not in_class
-        if repeats and closed:
-            raise UnsafePattern("a repeated group repeats without bound inside")
-        closed = None
-        if escaped or c == "\\":
-            escaped = not escaped
-        elif in_class:
-            in_class = c != "]"
-        elif c == "[":
-            in_class = True
-        elif c == "(":
-            groups.append(False)
-        elif c == ")" and groups:
-            closed = groups.pop()
-            if groups and closed:
-                groups[-1] = True
-        elif repeats and groups:
-            groups[-1] = True
+    parts = _PARTS.findall(pattern)
+    inside = [False]
+    for part, then in zip(parts, [*parts[1:], ""]):
+        if part == "(":
+            inside.append(False)
+        elif part == ")" and len(inside) > 1:
+            repeats = inside.pop()
+            if repeats and _unbounded(then):
+                raise UnsafePattern("a repeated group repeats without bound inside")
+            inside[-1] |= repeats
+        else:
+            inside[-1] |= _unbounded(part)
 
 
 @F.pandas_udf(T.StringType())
@@ -53,21 +51,33 @@ def nfc(texts):
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
 
+def composed(text: Column) -> Column:
+    """A text in canonical composition; only texts that aren't ASCII are sent to Python."""
+    return F.coalesce(nfc(F.when(~text.rlike("^\\p{ASCII}*$"), text)), text)
+
+
 def substring(df: DataFrame, text: str, needle: str, *, ignore_case: bool = True, normalise: bool = False) -> DataFrame:
     """Rows that have the needle, with ``hit`` (1-based) and ``ctx``. The first hit of a text counts."""
-    own: Column = nfc(F.col(text)) if normalise else F.col(text)
     wanted = unicodedata.normalize("NFC", needle) if normalise else needle
-    out = df.withColumn("_t", own) if normalise else df.withColumn("_t", F.col(text))
+    out = df.withColumn("_t", composed(F.col(text)) if normalise else F.col(text))
     where = F.instr(F.lower("_t"), wanted.lower()) if ignore_case else F.instr("_t", wanted)
     out = out.withColumn("hit", where.cast("long")).where("hit > 0")
     return out.withColumn("ctx", context(F.col("_t"), F.col("hit").cast("int"), len(wanted))).drop("_t")
 
 
-def pattern(df: DataFrame, text: str, expression: str, *, normalise: bool = False) -> DataFrame:
-    """Rows that match anywhere in the text (composed first if asked), with ``hit`` (the first matched text) and ``truncated``: false, whole texts are tried."""
+def java_pattern(expression: str, ignore_case: bool = True) -> str:
+    """The pattern as the built-in functions take it; case is that of all letters."""
     check_pattern(expression)
-    own = df.withColumn("_t", nfc(F.col(text)) if normalise else F.col(text)).where(F.col("_t").rlike(expression))
-    return own.withColumn("hit", F.regexp_substr("_t", F.lit(expression))).withColumn("truncated", F.lit(False)).drop("_t")
+    return f"(?iu){expression}" if ignore_case else expression
+
+
+def pattern(df: DataFrame, text: str, expression: str, *, ignore_case: bool = True, normalise: bool = True) -> DataFrame:
+    """Rows that match anywhere in the text, with ``hit`` (the first matched text), ``ctx`` and ``truncated``: false, whole texts are tried."""
+    own = java_pattern(expression, ignore_case)
+    out = df.withColumn("_t", composed(F.col(text)) if normalise else F.col(text)).where(F.col("_t").rlike(own))
+    out = out.withColumn("hit", F.regexp_substr("_t", F.lit(own)))
+    at = F.regexp_instr("_t", F.lit(own))
+    return out.withColumns({"ctx": context(F.col("_t"), at, F.greatest(F.lit(1), F.length("hit"))), "truncated": F.lit(False)}).drop("_t")
 
 
 def resume(found: DataFrame, keys: list[str], last: list, most: int = 500) -> DataFrame:

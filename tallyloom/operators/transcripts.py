@@ -127,8 +127,40 @@ def sidecars(spark: SparkSession, root: str) -> DataFrame:
     return own.select("session_id", "agent_id", _get(v, "$.agentType").alias("agent_type"), _get(v, "$.description").alias("description"), _get(v, "$.toolUseId").alias("tool_id"), _get(v, "$.parentAgentId").alias("parent_id"), _get(v, "$.spawnDepth", "int").alias("depth"))
 
 
-def agents(own: DataFrame, all_rows: DataFrame, beside: DataFrame) -> DataFrame:
-    """One row per agent transcript: its span, label, parent, and its turn with the edge that gave it.
+def call_descriptions(own: DataFrame) -> DataFrame:
+    """(session_id, tool_id, description, model): what each call says of itself, over all transcripts of its session; of several the last one counts."""
+    b = F.col("b")
+    calls = own.select("session_id", "tier", "rel", "line", F.posexplode(F.when(_is(F.col("content"), "ARRAY"), F.try_variant_get("content", "$", "array<variant>"))).alias("i", "b")).where(_get(b, "$.type") == "tool_use")
+    text = lambda p: F.when(_is(F.try_variant_get(b, p, "variant"), "STRING"), _get(b, p))
+    said = calls.select("session_id", _get(b, "$.id").alias("tool_id"), F.struct(F.col("tier") != "main", "rel", "line", "i").alias("at"), text("$.input.description").alias("description"), text("$.input.model").alias("model"))
+    said = said.where(F.col("tool_id").isNotNull() & (F.col("description").isNotNull() | F.col("model").isNotNull()))
+    return said.groupBy("session_id", "tool_id").agg(F.max_by(F.struct("description", "model"), "at").alias("_d")).select("session_id", "tool_id", "_d.description", "_d.model")
+
+
+def labels(known: DataFrame, own: DataFrame, progress: DataFrame | None = None) -> DataFrame:
+    """(session_id, agent_id, label, label_source) of agents with agent_type, description (their sidecar's), tool_id and prompt.
+
+    The first of: the run record's label, the prompt's own tag, the description of the call (or of its result), the sidecar's, type and id.
+    """
+    calls = call_descriptions(own).select("session_id", "tool_id", F.col("description").alias("_call"))
+    e = F.col("event")
+    results = own.where("tier = 'main'").select("session_id", "line", _get(e, "$.toolUseResult.agentId").alias("agent_id"), _get(e, "$.toolUseResult.description").alias("_result"))
+    results = results.where("agent_id is not null and _result is not null").groupBy("session_id", "agent_id").agg(F.max_by("_result", "line").alias("_result"))
+    out = known.join(calls, ["session_id", "tool_id"], "left").join(results, ["session_id", "agent_id"], "left")
+    if progress is None:
+        out = out.withColumn("_listed", F.lit(None).cast("string"))
+    else:
+        out = out.join(progress.select("session_id", "agent_id", F.col("label").alias("_listed")).dropDuplicates(["session_id", "agent_id"]), ["session_id", "agent_id"], "left")
+    tag = F.trim(F.regexp_extract(F.substring("prompt", 1, 500), r"\[AGENT:\s*([^\]]+)\]", 1))
+    fallback = F.concat_ws(" ", F.coalesce("agent_type", F.lit("agent")), "agent_id")
+    ladder = (("workflowProgress", F.col("_listed")), ("prompt-tag", tag), ("input.description", F.coalesce("_call", "_result")), ("meta.description", F.col("description")))
+    there = [(name, F.nullif(text, F.lit(""))) for name, text in ladder]
+    source = F.coalesce(*(F.when(text.isNotNull(), F.lit(name)) for name, text in there), F.lit("fallback"))
+    return out.select("session_id", "agent_id", F.coalesce(*(text for _, text in there), fallback).alias("label"), source.alias("label_source"))
+
+
+def agents(own: DataFrame, all_rows: DataFrame, beside: DataFrame, progress: DataFrame | None = None) -> DataFrame:
+    """One row per agent transcript: its span, label with its source, parent, and its turn with the edge that gave it.
 
     The edge is the recorded call, else the parent's (through any number of parents), else the turn whose
     window holds the agent's first event; cycles are reported and have no turn.
@@ -144,10 +176,10 @@ def agents(own: DataFrame, all_rows: DataFrame, beside: DataFrame) -> DataFrame:
     starts = turns(own).where("turn_idx > 0").groupBy("session_id", F.col("start").alias("first_at")).agg(F.max("turn_idx").alias("idx"))
     timed = sequences.asof(placed.where("first_at is not null").select("session_id", "agent_id", "first_at"), starts, ["session_id"], "first_at", "idx", "time_turn").select("session_id", "agent_id", "time_turn")
     out = placed.join(timed, ["session_id", "agent_id"], "left")
-    label = F.coalesce(F.nullif(F.trim("description"), F.lit("")), F.nullif(F.regexp_extract(F.substring("prompt", 1, 500), r"\[AGENT: ([^\]]+)\]", 1), F.lit("")), F.col("prompt"), F.col("agent_id"))
+    out = out.join(labels(known.select("session_id", "agent_id", "agent_type", "description", "tool_id", "prompt"), own, progress), ["session_id", "agent_id"], "left")
     turn = F.when(F.col("cyclic"), F.lit(None)).otherwise(F.coalesce("call_turn", "root_turn", "time_turn", F.when(F.col("first_at").isNotNull(), F.lit(0).cast("long"))))
     edge = F.when(F.col("cyclic"), "cycle").when(F.col("call_turn").isNotNull(), "call").when(F.col("root_turn").isNotNull(), "parent").when(turn.isNotNull(), "time")
-    return out.select("session_id", "agent_id", "rel", "agent_type", label.alias("label"), "parent_id", "first_at", "last_at", "n_events", turn.alias("turn_idx"), edge.alias("edge"))
+    return out.select("session_id", "agent_id", "rel", "agent_type", "label", "label_source", "parent_id", "first_at", "last_at", "n_events", turn.alias("turn_idx"), edge.alias("edge"))
 
 
 def kind_census(all_rows: DataFrame) -> DataFrame:

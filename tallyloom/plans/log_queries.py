@@ -61,7 +61,7 @@ talks AS (SELECT c, {_id('s')} AS me, {_id('f')} AS fork, 'p' || (c % 3) AS slug
 l0 AS (SELECT c, 'main' AS file, 0 AS ord, 'title' AS what, NULL AS t, '' AS text FROM talks
 UNION ALL SELECT c, 'main', t * 4 + 1, CASE role WHEN 'user' THEN 'user' WHEN 'system' THEN 'note' ELSE 'part' END, t, text FROM k WHERE role IN ('user', 'system', 'assistant')
 UNION ALL SELECT c, 'main', t * 4 + 2, 'whole', t, text FROM k WHERE role = 'assistant'
-UNION ALL SELECT c, 'main', t * 4 + 3, 'result', t, '' FROM k WHERE role = 'assistant' AND n % 4 <> 0
+UNION ALL SELECT c, 'main', t * 4 + 3, 'result', t, CASE WHEN n % 8 = 6 THEN text ELSE '' END FROM k WHERE role = 'assistant' AND n % 4 <> 0
 UNION ALL SELECT c, 'main', top * 4 + 4, 'torn', NULL, '' FROM talks WHERE c % 7 = 0
 UNION ALL SELECT c, 'main', top * 4 + 5, 'leaf', NULL, 'ask' FROM talks
 UNION ALL SELECT c, 'main', top * 4 + unnest([6, 7, 8]), 'link', NULL, '' FROM talks WHERE c % 4 = 0
@@ -303,12 +303,12 @@ def find_skipped(spark, sf_dir):
     return inventory.stripped_census(lines(spark, sf_dir)).select("what", "n", F.col("bytes").cast("long").alias("bytes"))
 
 
-@query(over("""SELECT session_id, line, CASE WHEN what IN ('part', 'whole') AND contains(lower(left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 220)), 'onhe') THEN '0' WHEN what = 'user' AND contains(lower(left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 220)), 'onhe') THEN '0'
-WHEN what = 'note' AND contains(lower(left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 220)), 'onhe') THEN 'r' END AS bi FROM l WHERE contains(lower(text), 'onhe')"""))
+@query(over("""SELECT session_id, line, CASE WHEN what IN ('part', 'whole') THEN '0' WHEN what = 'result' THEN 'r' END AS bi FROM l WHERE contains(lower(text), 'onhe')"""))
 def find_blocks(spark, sf_dir):
-    """Hits with the block that holds them, where a block's head does."""
-    hits = search.substring(lines(spark, sf_dir), "text", "Onhe")
-    return records.block_of_hit(hits, rows(spark, sf_dir), "Onhe").select(F.regexp_extract("rel", f"({logs.SESSION})", 1).alias("session_id"), "line", "bi")
+    """Hits with the first block whose whole text holds them; texts that are one string have no blocks."""
+    find = lambda df: search.substring(df, "text", "Onhe")
+    hits = records.block_of_hit(find(lines(spark, sf_dir)), events(spark, sf_dir), find)
+    return hits.select(F.regexp_extract("rel", f"({logs.SESSION})", 1).alias("session_id"), "line", "bi")
 
 
 @query(over("SELECT session_id, kind, count(*) AS n FROM (SELECT *, CASE file WHEN 'agent' THEN 'agent' ELSE 'main' END AS kind FROM l WHERE slug = 'p1') GROUP BY 1, 2"))

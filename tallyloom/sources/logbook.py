@@ -3,7 +3,7 @@
 One session a conversation: its turns are events, an answer is two lines of one response (a part, then the whole with
 its usage) and, for most, a line with the result of the tool it called. Every third conversation has an agent beside
 it, every fourth links (one of them twice), every fifth a fork that copies the answers under another id and goes on, every seventh a
-broken line; some results carry a picture, some sessions hear from a peer. All numbers follow from
+broken line; some results carry a picture, some what was printed, some sessions hear from a peer. All numbers follow from
 conv_id and turn by the arithmetic below, so that SQL over the table can say what a query over the store must give.
 """
 
@@ -80,7 +80,8 @@ def lines(conversations: DataFrame) -> DataFrame:
     first = replies.select(main.alias("rel"), (t * 4 + 1).alias("ord"), answer(t * 4 + 1, me, part, said).alias("line"))
     second = replies.select(main.alias("rel"), (t * 4 + 2).alias("ord"), answer(t * 4 + 2, me, whole, called).alias("line"))
     picture = F.concat(F.lit(',"toolUseResult":{"file":{"base64":"'), F.rpad(F.lit("iVBORw0KGgo"), (600 + n % 7 * 4).cast("int"), F.lit("A")), F.lit('"}}'))
-    results = replies.where(n % 4 != 0).select(main.alias("rel"), (t * 4 + 3).alias("ord"), user(t * 4 + 3, me, done, F.when(n % 8 == 2, picture).otherwise(F.lit(""))).alias("line"))
+    printed = F.concat(F.lit(',"toolUseResult":{"stdout":'), _text(F.col("text")), F.lit(',"interrupted":false}'))
+    results = replies.where(n % 4 != 0).select(main.alias("rel"), (t * 4 + 3).alias("ord"), user(t * 4 + 3, me, done, F.when(n % 8 == 2, picture).when(n % 8 == 6, printed).otherwise(F.lit(""))).alias("line"))
     talks = own.groupBy("c").agg(F.min(F.when(F.col("role") == "assistant", F.col("t"))).alias("t"), F.max("t").alias("top"))
     last = F.col("top") * 4
     titles = talks.select(main.alias("rel"), F.lit(0).cast("long").alias("ord"), F.format_string('{"type":"custom-title","customTitle":"talk %d","sessionId":"%s"}', c, me).alias("line"))

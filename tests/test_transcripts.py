@@ -1,12 +1,13 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import audit, intervals, ledger, search, sequences, tables, transcripts
+from tallyloom.operators import audit, intervals, ledger, records, search, sequences, tables, transcripts
 from tallyloom.sources import logs
 
-from store import A, AGENT, B, CHILD, RUN, TCU_A, TCU_B, assistant, build, usage
+from store import A, AGENT, B, CHILD, RUN, TCU_A, TCU_B, assistant, build, usage, user
 
 
 @pytest.fixture(scope="module")
@@ -90,10 +91,10 @@ def test_file_tools_name_paths_in_their_own_fields(spark, tmp_path):
 
 
 def test_unsafe_patterns_are_refused():
-    for bad in ("(a+)+", "(x*)*y", "((ab)*)+", "("):
+    for bad in ("(a+)+", "(x*)*y", "((ab)*)+", "(", "(a{2,})*", "((a|b+)c){3,}", "(?:a+)+"):
         with pytest.raises(search.UnsafePattern):
             search.check_pattern(bad)
-    for good in ("a+b*", "(ab)+", r"[(+]+x", r"\(a+\)+"):
+    for good in ("a+b*", "(ab)+", r"[(+]+x", r"\(a+\)+", r"([0-9]+\.){3}[0-9]+", "(ab{2})*", "(a+){2,3}", "(a+)?", r"([a+]\+)+"):
         search.check_pattern(good)
 
 
@@ -104,6 +105,42 @@ def test_patterns_are_tried_on_whole_texts(spark):
     assert sorted(map(tuple, got)) == [(1, "12.3.4", False), (2, "12.3.4", False)]
 
 
+def test_patterns_ignore_case_and_composition_unless_told(spark):
+    own = spark.createDataFrame([(1, "Une CRE\u0301ME brul\u00e9e"), (2, "cr\u00e9me"), (3, "creme")], "id int, text string")
+    found = lambda **how: sorted(r["id"] for r in search.pattern(own, "text", "cr\u00e9me?", **how).collect())
+    assert (found(), found(ignore_case=False), found(normalise=False)) == ([1, 2], [2], [2])
+
+
+def test_context_is_a_window_with_its_white_space_collapsed(spark):
+    text = "a" * 50 + " \n\t needle  of\n" + "b" * 50
+    own = spark.createDataFrame([(text,), ("needle",), ("x needle",)], "text string")
+    got = [r["ctx"] for r in search.pattern(own, "text", "needle").collect()]
+
+    def plain(t, width=80):
+        a = t.index("needle")
+        half = (width - 6) // 2
+        lo, hi = max(0, a - half), min(len(t), a + 6 + half)
+        return "…" * (lo > 0) + re.sub(r"\s+", " ", t[lo:hi]) + "…" * (hi < len(t))
+
+    assert got == [plain(text), "needle", "x needle"]
+
+
+def test_hits_are_addressed_by_whole_block_texts(spark, tmp_path):
+    long = "x " * 300
+    content = [{"type": "text", "text": f"{long}alpha"}, {"type": "thinking", "thinking": "beta", "signature": "s"}, {"type": "tool_use", "id": "t", "name": "Bash", "input": {"command": f"{long}gamma"}}]
+    result = [{"type": "tool_result", "tool_use_id": "t", "content": [{"type": "text", "text": "no"}, {"type": "text", "text": f"{long}delta"}]}, {"type": "tool_result", "tool_use_id": "v", "content": "epsilon"}]
+    events = [assistant(A, "u", "09:00:00", "m", usage(1, 1), content=content), user(A, "v", "09:00:01", result, toolUseResult=[{"a": 1}, {"b": f"{long}zeta"}]), user(A, "w", "09:00:02", "kappa", toolUseResult="theta", cwd="/iota")]
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / f"{A}.jsonl").write_text("".join(json.dumps(e) + "\n" for e in events))
+    lines = logs.lines(spark, str(tmp_path))
+    own = transcripts.events(lines)
+    want = {"ALPHA": (1, "0"), "beta": (1, "1"), "gamma": (1, "2"), "delta": (2, "0.1"), "epsilon": (2, "1"), "zeta": (2, "r.1"), "kappa": (3, None), "theta": (3, "r"), "iota": (3, None)}
+    for word, place in want.items():
+        for find in (lambda df, w=word: search.substring(df, "text", w), lambda df, w=word: search.pattern(df, "text", w)):
+            (hit,) = records.block_of_hit(find(lines), own, find).collect()
+            assert (hit["line"], hit["bi"]) == place and word.lower() in hit["ctx"].lower()
+
+
 def test_deep_lineage_has_a_root_and_long_intervals_all_days(spark):
     deep = spark.range(300).selectExpr("id + 1 as id", "id as up").union(spark.sql("select * from values (1001L, 1002L), (1002L, 1001L), (1003L, 1001L)"))
     got = {r["id"]: (r["root"], r["depth"], r["cyclic"]) for r in sequences.lineage(deep, "id", "up").collect()}
