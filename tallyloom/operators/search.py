@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import json
 import re
 import unicodedata
 
@@ -83,3 +85,45 @@ def pattern(df: DataFrame, text: str, expression: str, *, ignore_case: bool = Tr
 def resume(found: DataFrame, keys: list[str], last: list, most: int = 500) -> DataFrame:
     """The next hits after a cursor, in scan order."""
     return after(found, keys, last, most)
+
+
+class StaleCursor(ValueError):
+    """A cursor whose session or file is no longer there: what was found before it says nothing about what comes after."""
+
+
+def _scan_order(listing: DataFrame) -> DataFrame:
+    """(session_id, _m): the latest change of each session's files, in milliseconds."""
+    return listing.where(F.col("session_id").isNotNull()).groupBy("session_id").agg(F.max("mtime").alias("_m"))
+
+
+def read_cursor(text: str) -> dict:
+    try:
+        own = json.loads(base64.urlsafe_b64decode(text + "=" * (-len(text) % 4)))
+        return {"session": str(own["session"]), "file": str(own["file"]), "line": int(own["line"]), "mtime": int(own["mtime"])}
+    except (ValueError, KeyError, TypeError) as e:
+        raise StaleCursor("not a cursor") from e
+
+
+def scan(hits: DataFrame, listing: DataFrame, cursor: str | None = None, most: int = 500) -> DataFrame:
+    """The next ``most`` hits (session_id, rel, line, kind) in the order of a scan, each with the ``cursor`` to go on from.
+
+    Sessions come latest change first (of ties the least id), in them the main file and then the others by name. ``listing`` has
+    session_id, rel, kind and mtime (milliseconds) of now. After a cursor, sessions that stand before its own have been searched, but for
+    those that changed since it was given: they are searched again. A cursor whose file is gone is refused.
+    """
+    own = hits.join(_scan_order(listing), "session_id").withColumn("_rest", F.col("kind") != "main")
+    if cursor is not None:
+        at = read_cursor(cursor)
+        place = listing.where((F.col("session_id") == at["session"]) & (F.col("rel") == at["file"])).select("session_id", (F.col("kind") != "main").alias("rest"))
+        place = place.join(_scan_order(listing), "session_id").first()
+        if place is None:
+            raise StaleCursor("the cursor's session or file is no longer there")
+        mine, session = place["_m"], F.col("session_id")
+        before = (F.col("_m") > mine) | ((F.col("_m") == mine) & (session < at["session"]))
+        later_file = (F.struct("_rest", "rel") > F.struct(F.lit(place["rest"]), F.lit(at["file"])))
+        inside = later_file | ((F.col("rel") == at["file"]) & (F.col("line") > at["line"]))
+        own = own.where(F.when(session == at["session"], inside).when(before, F.col("_m") > at["mtime"]).otherwise(True))
+    own = own.orderBy(F.desc("_m"), "session_id", "_rest", "rel", "line").limit(most)
+    state = F.to_json(F.struct(F.col("session_id").alias("session"), F.col("rel").alias("file"), "line", F.col("_m").alias("mtime")))
+    text = F.regexp_replace(F.translate(F.base64(F.encode(state, "UTF-8")), "+/", "-_"), "[=\r\n]", "")
+    return own.withColumn("cursor", text).drop("_m", "_rest")
