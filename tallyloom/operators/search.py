@@ -99,7 +99,7 @@ def _scan_order(listing: DataFrame) -> DataFrame:
 def read_cursor(text: str) -> dict:
     try:
         own = json.loads(base64.urlsafe_b64decode(text + "=" * (-len(text) % 4)))
-        return {"session": str(own["session"]), "file": str(own["file"]), "line": int(own["line"]), "mtime": int(own["mtime"])}
+        return {"session": str(own["session"]), "file": str(own["file"]), **{k: int(own[k]) for k in ("line", "mtime", "newest")}}
     except (ValueError, KeyError, TypeError) as e:
         raise StaleCursor("not a cursor") from e
 
@@ -108,22 +108,24 @@ def scan(hits: DataFrame, listing: DataFrame, cursor: str | None = None, most: i
     """The next ``most`` hits (session_id, rel, line, kind) in the order of a scan, each with the ``cursor`` to go on from.
 
     Sessions come latest change first (of ties the least id), in them the main file and then the others by name. ``listing`` has
-    session_id, rel, kind and mtime (milliseconds) of now. After a cursor, sessions that stand before its own have been searched, but for
-    those that changed since it was given: they are searched again. A cursor whose file is gone is refused.
+    session_id, rel, kind and mtime (milliseconds) of now. A cursor has its place, its session's change and the newest change of all files then:
+    sessions that stood before it have been searched, and are again only if they changed since. So hits may come twice and none is left out.
+    A cursor whose file is gone is refused.
     """
-    own = hits.join(_scan_order(listing), "session_id").withColumn("_rest", F.col("kind") != "main")
+    order = _scan_order(listing)
+    newest = order.agg(F.max("_m").alias("_newest"))
+    own = hits.join(order, "session_id").crossJoin(F.broadcast(newest)).withColumn("_rest", F.col("kind") != "main")  # one row
     if cursor is not None:
         at = read_cursor(cursor)
-        place = listing.where((F.col("session_id") == at["session"]) & (F.col("rel") == at["file"])).select("session_id", (F.col("kind") != "main").alias("rest"))
-        place = place.join(_scan_order(listing), "session_id").first()
-        if place is None:
+        file = listing.where((F.col("session_id") == at["session"]) & (F.col("rel") == at["file"])).select((F.col("kind") != "main").alias("rest")).first()
+        if file is None:
             raise StaleCursor("the cursor's session or file is no longer there")
-        mine, session = place["_m"], F.col("session_id")
-        before = (F.col("_m") > mine) | ((F.col("_m") == mine) & (session < at["session"]))
-        later_file = (F.struct("_rest", "rel") > F.struct(F.lit(place["rest"]), F.lit(at["file"])))
+        session, m = F.col("session_id"), F.col("_m")
+        before = (m > at["mtime"]) | ((m == at["mtime"]) & (session < at["session"]))
+        later_file = F.struct("_rest", "rel") > F.struct(F.lit(file["rest"]), F.lit(at["file"]))
         inside = later_file | ((F.col("rel") == at["file"]) & (F.col("line") > at["line"]))
-        own = own.where(F.when(session == at["session"], inside).when(before, F.col("_m") > at["mtime"]).otherwise(True))
+        own = own.where(F.when(session == at["session"], inside).when(before, m > at["newest"]).otherwise(True))
     own = own.orderBy(F.desc("_m"), "session_id", "_rest", "rel", "line").limit(most)
-    state = F.to_json(F.struct(F.col("session_id").alias("session"), F.col("rel").alias("file"), "line", F.col("_m").alias("mtime")))
+    state = F.to_json(F.struct(F.col("session_id").alias("session"), F.col("rel").alias("file"), "line", F.col("_m").alias("mtime"), F.col("_newest").alias("newest")))
     text = F.regexp_replace(F.translate(F.base64(F.encode(state, "UTF-8")), "+/", "-_"), "[=\r\n]", "")
-    return own.withColumn("cursor", text).drop("_m", "_rest")
+    return own.withColumn("cursor", text).drop("_m", "_rest", "_newest")

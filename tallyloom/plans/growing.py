@@ -106,7 +106,7 @@ def stream_problem_log(spark, sf_dir):
     return incremental.last_problems(spark, f"{folder}/log")
 
 
-@query(over("""SELECT session_id, slug, line, page FROM (SELECT *, 1 AS page FROM p1 UNION ALL SELECT * FROM (SELECT g.*, 2 AS page FROM g, cur WHERE CASE WHEN g.session_id = cur.session_id THEN (g.rest, g.line) > (cur.rest, cur.line) WHEN g.m2 > cur.m2 OR g.m2 = cur.m2 AND g.session_id < cur.session_id THEN g.m2 > cur.m1 ELSE true END ORDER BY g.m2 DESC, g.session_id, g.rest, g.line LIMIT 30))""",
+@query(over("""SELECT session_id, slug, line, page FROM (SELECT *, 1 AS page FROM p1 UNION ALL SELECT * FROM (SELECT g.*, 2 AS page FROM g, cur WHERE CASE WHEN g.session_id = cur.session_id THEN (g.rest, g.line) > (cur.rest, cur.line) WHEN g.m2 > cur.m1 OR g.m2 = cur.m1 AND g.session_id < cur.session_id THEN g.m2 > (SELECT max(c * 37 % 101 * 1000) FROM talks) ELSE true END ORDER BY g.m2 DESC, g.session_id, g.rest, g.line LIMIT 30))""",
 """, g AS (SELECT session_id, slug, line, file = 'agent' AS rest, c * 37 % 101 * 1000 AS m1, c * 37 % 101 * 1000 + CASE WHEN c % 3 = 0 THEN 1000000 ELSE 0 END AS m2 FROM l WHERE contains(lower(text), 'onhe')),
 p1 AS (SELECT * FROM g ORDER BY m1 DESC, session_id, rest, line LIMIT 15), cur AS (SELECT * FROM p1 ORDER BY m1, session_id DESC, rest DESC, line DESC LIMIT 1)"""))
 def find_resume_changed(spark, sf_dir):
