@@ -285,7 +285,7 @@ def _edited(picture: np.ndarray, kind: str, i: int) -> np.ndarray:
 
 def _picture(vector, size: int, seed: int | None) -> np.ndarray:
     v = np.nan_to_num(np.array([x or 0.0 for x in vector or [0.0]], float))
-    rng = np.random.default_rng([abs(int(x * 1e6)) for x in v[:8]] + [seed or 0])
+    rng = np.random.default_rng([abs(int(x * 1e6)) for x in v] + [seed or 0])
     out = np.full((size, size), 40.0)
     for _ in range(26):
         y, x = rng.integers(0, size, 2)

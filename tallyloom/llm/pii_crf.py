@@ -6,7 +6,8 @@ tokens share a potential, and so do distant tokens of a document that are equal
 last seven digits, or the same address): a number that is written out once as a phone number and later without
 its prefix gets one label. Tokens under a base span are observed; the labels of the others come from
 loopy belief propagation over all documents of an Arrow batch at once. Runs of tokens that are one
-kind with probability SURE or more, and touch no base span, are added to the spans.
+kind with probability SURE or more (TIED for tokens with a tie), and touch no base span, are added to the spans. A number that is
+written with spaces is several tokens: each is tied to the last one of the same number elsewhere.
 
 Weights are fitted by pseudo-likelihood on the base labels of a bounded sample of documents (about
 FIT_DOCS, chosen by hash), FIT_TOKENS of their tokens at most by a hash of document and place.
@@ -26,8 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents of the fitting sample (about), their tokens at most, least probability of an added token, rounds of message passing.
-FIT_DOCS, FIT_TOKENS, SURE, ROUNDS, DAMP = 6_000, 40_000, 0.9, 12, 0.5
+#: Documents of the fitting sample (about), their tokens at most, least probability of an added token and of one that is tied to another, rounds of message passing.
+FIT_DOCS, FIT_TOKENS, SURE, TIED, ROUNDS, DAMP = 6_000, 40_000, 0.9, 0.6, 12, 0.5
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -106,6 +107,22 @@ def _alike(token: str) -> str | None:
     return digits[-7:] if len(digits) >= 7 else None
 
 
+def _number_runs(words: list[str], chosen: list[int]) -> dict[int, tuple[str, bool]]:
+    """Tokens of numbers that are written with spaces: what ties each to the same number elsewhere, and whether it is the last one."""
+    out: dict[int, tuple[str, bool]] = {}
+    run: list[int] = []
+    for i in [*chosen, -1]:
+        part = i >= 0 and any(c.isdigit() for c in words[i]) and not any(c.isalpha() for c in words[i])
+        if run and (not part or i != run[-1] + 1):
+            digits = _digits("".join(words[j] for j in run))
+            if len(run) > 1 and len(digits) >= 7:
+                out.update((j, (digits[-7:], j == run[-1])) for j in run)
+            run = []
+        if part:
+            run.append(i)
+    return out
+
+
 @dataclass
 class Graph:
     """The tokens of one document that are labelled: spans, traits, base labels (0: none), edges."""
@@ -123,6 +140,7 @@ def graph(text: str, base: list[tuple[int, int, int]]) -> Graph:
     chosen = sorted({j for i in hints for j in range(max(0, i - 2), min(len(tokens), i + 3))})
     words = [text[a:b] for a, b in tokens] if chosen else []
     spans, traits, labels, chain, skip = [], [], [], [], []
+    runs = _number_runs(words, chosen)
     last: dict[str, int] = {}
     at = 0
     for k, i in enumerate(chosen):
@@ -138,10 +156,12 @@ def graph(text: str, base: list[tuple[int, int, int]]) -> Graph:
         labels.append(covers[0] + 1 if covers else 0)
         if k and chosen[k - 1] == i - 1:
             chain.append((k - 1, k))
-        if key := _alike(words[i]):
-            if key in last:
+        whole, ends = runs.get(i, (None, True))
+        for key, stands in {_alike(words[i]): True, whole: ends}.items():
+            if key in last and last[key] != k:
                 skip.append((last[key], k))
-            last[key] = k
+            if key and stands:  # of a number in several tokens the last one stands for all
+                last[key] = k
     return Graph(spans, traits, labels, chain, skip)
 
 
@@ -201,8 +221,9 @@ def all_spans(texts: list[str], field: Field) -> list[tuple[list, list]]:
     out = [(b, b) for b in base]
     for i, g, p in zip(where, graphs, field.marginals(graphs) if graphs else []):
         added, run, chained = [], None, {k for _, k in g.chain}
+        tied = {k for edge in g.skip for k in edge}
         for k, ((a, b), y) in enumerate(zip(g.spans, p.argmax(1) if len(p) else [])):
-            if y and p[k, y] >= SURE and not g.labels[k]:
+            if y and p[k, y] >= (TIED if k in tied else SURE) and not g.labels[k]:
                 run = (run[0], y, b) if run and run[1] == y and k in chained and not texts[i][run[2] : a].strip() else (a, y, b)
                 added = added[:-1] + [run] if added and added[-1][0] == run[0] else [*added, run]
             else:
@@ -253,15 +274,18 @@ def fit(docs: DataFrame) -> Field:
     return train([(r["traits"], r["y"], r["before"], r["after"], r["alike"]) for r in got])
 
 
-def train(rows: list, *, steps: int = 150, decay: float = 1e-3) -> Field:
+def train(rows: list, *, steps: int = 400, decay: float = 2e-4) -> Field:
     """Pseudo-likelihood: each token's label given its traits and the labels around it, by gradient steps.
 
     The base patterns find every copy that is written in full, so a token that only its distant twin gives
-    away never has a label. Each example therefore counts once more with its traits hidden and its own
-    label as its twin's: this is where the weights of distant ties come from.
+    away never has a label. The examples therefore count once more with their traits hidden and their own
+    label as their twin's: this is where the weights of distant ties come from. Among these each label counts alike, however
+    rare it is.
     """
     k = len(KINDS) + 1
-    rows = rows + [(["bias"], r[1], -1, -1, r[1]) for r in rows]
+    there = sorted({r[1] for r in rows})
+    weight = np.concatenate([np.ones(len(rows)), np.full(len(there), len(rows) / max(1, len(there)))])[:, None]
+    rows = rows + [(["bias"], label, -1, -1, label) for label in there]
     names = tuple(sorted({t for r in rows for t in r[0]}))
     index = {n: i for i, n in enumerate(names)}
     m = len(names)
@@ -278,7 +302,7 @@ def train(rows: list, *, steps: int = 150, decay: float = 1e-3) -> Field:
         z = x @ w
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        g = x.T @ (p - target) / len(rows) + decay * w
+        g = x.T @ (weight * (p - target)) / weight.sum() + decay * w
         speed = 0.9 * speed - 2.0 * g
         w = w + speed
     before, after, alike = (w[m + j * k : m + (j + 1) * k] for j in range(3))

@@ -12,6 +12,8 @@ from tallyloom.llm import common, components, media, ngram_join, pii_crf, qualit
 
 W = r"[^\x20\x09-\x0D]+"
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+#: A table with enough personal data to learn its kinds from.
+LARGER = os.environ.get("TEST_LARGER_DIR", "/root/testdata/sf0.1")
 
 
 # Sharding
@@ -389,6 +391,43 @@ def test_added_spans_on_the_tables_are_copies_of_base_ones(spark):
     assert sum(r["n_added"] for r in got) <= 0.1 * sum(n)
 
 
+def distant_forms(rng):
+    """(kind, how a number stands first, how it stands later, where no base pattern finds it)."""
+    area, mid, last = (str(rng.randrange(200, 999)), str(rng.randrange(100, 999)), f"{rng.randrange(10**4):04d}")
+    yield "phone", f"+1 {area} {mid} {last}", f"({area}) {mid}-{last}"
+    yield "phone", f"+1-{area}-{mid}-{last}", f"{area}-{mid}-{last}"
+    yield "phone", f"+44 {area} {mid}{last}", f"0{area} {mid}{last}"
+    yield "phone", f"+1 ({area}) {mid}-{last}", f"{area}.{mid}.{last}"
+    card = next(c for d in range(10) if pii_crf.luhn(c := f"4{area}{mid}{last}{area[:1]}{mid}{d}"))
+    card = card if len(card) == 16 else next(c for d in range(10) if pii_crf.luhn(c := f"{card[:15]}{d}"))
+    parts = [card[i : i + 4] for i in range(0, 16, 4)]
+    yield "card", " ".join(parts), ".".join(parts)
+    yield "card", card, "/".join(parts)
+
+
+def test_planted_distant_copies_are_found_in_every_form_and_nothing_else(spark):
+    """A field learned from the given documents: at least nine in ten of each form, none at all in documents without personal data."""
+    if not os.path.isdir(LARGER):
+        pytest.skip("no tables here")
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet")
+    field = pii_crf.fit(docs)
+    clean = [r["text"] for r in docs.where("length(text) between 600 and 3000").orderBy("doc_id").limit(400).collect() if not pii_crf.base_spans(r["text"])]
+    assert all(all_ == [] for _, all_ in pii_crf.all_spans(clean, field))
+    rng, found, extra = random.Random(7), {}, 0
+    for i in range(60):
+        for form, (kind, first, later) in enumerate(distant_forms(rng)):
+            words = clean[(7 * i + form) % len(clean)].split(" ")
+            text = " ".join([*words[:20], first, *words[20:80], later, *words[80:]])
+            base, spans = pii_crf.all_spans([text], field)[0]
+            a = text.index(f" {later}", len(" ".join(words[:20])) + len(first)) + 1
+            over = [s for s in spans if s not in base and s[0] < a + len(later) and s[2] > a]
+            covered = sum(min(e, a + len(later)) - max(b, a) for b, _, e in over)
+            found.setdefault(form, []).append(bool(over) and all(pii_crf.KINDS[k] == kind for _, k, _ in over) and covered >= 0.6 * len(later))
+            extra += len([s for s in spans if s not in base and s not in over])
+    assert all(sum(hits) >= 0.9 * len(hits) for hits in found.values()), {k: sum(v) for k, v in found.items()}
+    assert extra == 0
+
+
 #: Findings written by hand, of other origin than those that the forest is trained on: (text, its secret or None).
 BY_HAND = [
     ('aws_secret_access_key = "wJalrXUtnFEMIK7MDENGbPxRfiCYzq3TdVs8Lm2Q"', "wJalrXUtnFEMIK7MDENGbPxRfiCYzq3TdVs8Lm2Q"),
