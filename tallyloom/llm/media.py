@@ -191,7 +191,6 @@ def _missed(found: DataFrame, cells: Column, label: DataFrame) -> DataFrame:
     place = F.col("at")
     own = found.select("media_id", place, *(f"p{i}" for i in range(TABLES)), F.explode("pairs").alias("cell"))
     own = own.join(label.select(F.col("id").alias("media_id"), "component"), "media_id", "left").withColumn("c", F.coalesce("component", "media_id")).drop("component")
-    own = common.stage(own, "pairs")
     sizes = own.groupBy("cell").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
     salts = sizes.select("cell", F.ceil(F.col("n") / 64).cast("int").alias("salts"))
     torn = own.join(salts, "cell")
@@ -220,12 +219,12 @@ def copies(media: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     place = F.round("y").cast("long") * 2**40 + F.round("x").cast("long") * 2**16 + F.round(F.col("scale") * 100).cast("long") * 64 + F.col("turn")
     found = found.withColumn("at", place)
     cells = F.explode(F.array(*(F.col(f"p{i}") + i * 2**32 for i in range(TABLES))))
-    entries = common.stage(found.select("media_id", "at", cells.alias("cell")), "entries")
-    hubs = entries.groupBy("cell").agg(F.min("media_id").alias("hub"), F.min_by("at", "media_id").alias("hub_at"), F.max("media_id").alias("other"))
-    met = entries.join(hubs.where("other > hub").drop("other"), "cell").where(F.col("media_id") != F.col("hub"))
-    together = F.count(F.lit(1)).over(Window.partitionBy("hub", "media_id"))  # of two pictures: TABLES * corners at most
-    met = met.withColumn("_n", together).where(F.col("_n") >= AGREE)
-    links = common.cut(_agreed(met.select(F.col("hub").alias("a"), F.col("media_id").alias("b"), F.col("hub_at").alias("at_a"), F.col("at").alias("at_b")), AGREE).union(equal))
+    with common.scratch(found.select("media_id", "at", cells.alias("cell")), "entries") as entries:
+        hubs = entries.groupBy("cell").agg(F.min("media_id").alias("hub"), F.min_by("at", "media_id").alias("hub_at"), F.max("media_id").alias("other"))
+        met = entries.join(hubs.where("other > hub").drop("other"), "cell").where(F.col("media_id") != F.col("hub"))
+        together = F.count(F.lit(1)).over(Window.partitionBy("hub", "media_id"))  # of two pictures: TABLES * corners at most
+        met = met.withColumn("_n", together).where(F.col("_n") >= AGREE)
+        links = common.cut(_agreed(met.select(F.col("hub").alias("a"), F.col("media_id").alias("b"), F.col("hub_at").alias("at_a"), F.col("at").alias("at_b")), AGREE).union(equal))
     label = components.components(links)
     more = common.cut(_missed(found, cells, label))
     if not more.isEmpty():
