@@ -90,10 +90,16 @@ def bins(df: DataFrame, keys: Sequence[str], at: str, origin: int, width: int) -
 
 
 def fitting_bins(df: DataFrame, at: str, origin: int, width: int, most: int) -> tuple[DataFrame, int]:
-    """Bins of the least doubled width for which there are at most ``most``; one distinct count a doubling."""
-    while bins(df, [], at, origin, width).count() > most:
-        width *= 2
-    return bins(df, [], at, origin, width), width
+    """Bins of the least doubled width for which there are at most ``most`` (1 at least).
+
+    One pass: the bins of the finest width are lifted to every doubling at once, and a count a doubling comes to the driver. Marks on both
+    sides of the origin never share a bin.
+    """
+    fine = bins(df, [], at, origin, width)
+    levels = fine.where("bin is not null").select(F.explode(F.sequence(F.lit(0), F.lit(62))).alias("k"), "bin")
+    lifted = levels.select("k", F.expr("shiftright(bin, k)").alias("bin")).distinct().groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    wide = max(0, min((r["k"] for r in lifted.where(F.col("n") <= max(1, most)).collect()), default=62 if not df.isEmpty() else 0))
+    return fine.groupBy(F.expr(f"shiftright(bin, {wide})").alias("bin")).agg(F.sum("n").cast("long").alias("n")), width << wide
 
 
 def days_touched(df: DataFrame, start: str, end: str) -> DataFrame:

@@ -293,6 +293,14 @@ def pixel_bins(spark, sf_dir):
     return intervals.bins(_events(spark, sf_dir), ["event_type"], "ms", 1_704_067_200_000, 21_600_000)
 
 
+@query("""WITH f AS (SELECT CAST(floor((epoch_us(ts) // 1000 - 1704067200000) / 1000) AS BIGINT) AS b FROM events), k AS (SELECT min(k) AS k FROM (SELECT k, count(DISTINCT b >> k) AS n FROM (SELECT DISTINCT b FROM f), (SELECT unnest(range(63)) AS k) GROUP BY 1) WHERE n <= 40)
+SELECT b >> k AS bin, count(*) AS n, CAST(1000 AS BIGINT) << k AS width FROM f, k GROUP BY 1, 3""")
+def fitting_bins(spark, sf_dir):
+    """Columns of the least doubled second of which there are at most 40."""
+    own, width = intervals.fitting_bins(_events(spark, sf_dir), "ms", 1_704_067_200_000, 1_000, 40)
+    return own.withColumn("width", F.lit(width).cast("long"))
+
+
 # Joins and sets
 
 

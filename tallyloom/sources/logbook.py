@@ -41,8 +41,8 @@ def _text(x: Column) -> Column:
     return F.regexp_extract(F.to_json(F.struct(x.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
 
 
-def lines(conversations: DataFrame) -> DataFrame:
-    """(rel, ord, line) of every file of the store: main transcripts, forks, agents and what stands beside them."""
+def lines(conversations: DataFrame, picture_chars: int = 600) -> DataFrame:
+    """(rel, ord, line) of every file of the store: main transcripts, forks, agents and what stands beside them. ``picture_chars``: the least length of a picture."""
     c, t = F.col("conv_id").cast("long"), F.col("turn").cast("long")
     own = conversations.select(c.alias("c"), t.alias("t"), "role", F.coalesce("text", F.lit("")).alias("text"))
     c, t, n = F.col("c"), F.col("t"), F.col("c") + F.col("t")
@@ -79,7 +79,7 @@ def lines(conversations: DataFrame) -> DataFrame:
     replies = own.where("role = 'assistant'")
     first = replies.select(main.alias("rel"), (t * 4 + 1).alias("ord"), answer(t * 4 + 1, me, part, said).alias("line"))
     second = replies.select(main.alias("rel"), (t * 4 + 2).alias("ord"), answer(t * 4 + 2, me, whole, called).alias("line"))
-    picture = F.concat(F.lit(',"toolUseResult":{"file":{"base64":"'), F.rpad(F.lit("iVBORw0KGgo"), (600 + n % 7 * 4).cast("int"), F.lit("A")), F.lit('"}}'))
+    picture = F.concat(F.lit(',"toolUseResult":{"file":{"base64":"'), F.rpad(F.lit("iVBORw0KGgo"), (picture_chars + n % 7 * 4).cast("int"), F.lit("A")), F.lit('"}}'))
     printed = F.concat(F.lit(',"toolUseResult":{"stdout":'), _text(F.col("text")), F.lit(',"interrupted":false}'))
     results = replies.where(n % 4 != 0).select(main.alias("rel"), (t * 4 + 3).alias("ord"), user(t * 4 + 3, me, done, F.when(n % 8 == 2, picture).when(n % 8 == 6, printed).otherwise(F.lit(""))).alias("line"))
     talks = own.groupBy("c").agg(F.min(F.when(F.col("role") == "assistant", F.col("t"))).alias("t"), F.max("t").alias("top"))

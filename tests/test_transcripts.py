@@ -158,3 +158,15 @@ def test_unknown_sorts_last_both_ways_and_poisons_sums(spark):
     assert own.agg(poison_sum(F.col("n")).alias("s")).first()["s"] is None
     assert own.where("false").agg(poison_sum(F.col("n")).alias("s")).first()["s"] == 0
     assert [r[0] for r in spark.sql("select explode(array(0, 99999, 100000, 2000000000, -300000)) as x").select(dollars(F.col("x").cast("long"))).collect()] == ["0.0000", "0.0000", "0.0001", "1.0000", "-0.0002"]
+
+
+def test_bins_fit_at_the_least_doubled_width(spark):
+    marks = [-7, -1, 0, 3, 5, 6, 40, 41, 900, None]
+    own = spark.createDataFrame([(m,) for m in marks], "t long")
+    for most in (2, 3, 4, 6, 100):
+        width = 3
+        while len({m // width for m in marks if m is not None}) > most:
+            width *= 2
+        got, chosen = intervals.fitting_bins(own.where("t is not null"), "t", 0, 3, most)
+        assert chosen == width and {r["bin"]: r["n"] for r in got.collect()} == {b: sum(m is not None and m // width == b for m in marks) for b in {m // width for m in marks if m is not None}}
+    assert intervals.fitting_bins(own.where("false"), "t", 0, 3, 5)[1] == 3
