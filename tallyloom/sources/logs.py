@@ -116,8 +116,9 @@ def raw_lines(spark: SparkSession, root: str) -> DataFrame:
     go; an unterminated tail isn't there yet.
     """
     own = _whole(spark, root).unionByName(_ranged(spark, root).select(*_PLACE, "_x"))
-    text = F.regexp_replace(F.make_valid_utf8(F.col("_x").cast("string")), "\r?\n?$", "")
-    return own.withColumn("text", text).where(F.length("text") > 0).select(*_PLACE, "text")
+    t = F.make_valid_utf8(F.col("_x").cast("string"))
+    ending = F.when(t.endswith("\r\n"), 2).when(t.endswith("\n") | t.endswith("\r"), 1).otherwise(0)  # patterns would look at every character
+    return own.withColumn("text", F.substring(t, F.lit(1), F.length(t) - ending)).where(F.length("text") > 0).select(*_PLACE, "text")
 
 
 def _whole(spark: SparkSession, root: str) -> DataFrame:
