@@ -18,9 +18,9 @@ _EVENT = f"struct<type: string, uuid: string, timestamp: string, sessionId: stri
 
 def recount(spark: SparkSession, root: str, rates: DataFrame) -> DataFrame:
     """(session_id, requests, tcu, unpriced) of every session of a store, from its text."""
-    raw = spark.read.text(root, recursiveFileLookup=True, pathGlobFilter="*.jsonl", lineSep="\n").select("value", F.col("_metadata.file_path").alias("path"))
+    raw = spark.read.text(root, recursiveFileLookup=True, pathGlobFilter="*.jsonl", lineSep="\n").select("value", F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("seq"))
     own = raw.where(F.col("value").contains('"assistant"') & F.col("value").contains('"usage"') & F.rtrim("value").endswith("}"))
-    own = own.select("path", "value", F.from_json("value", _EVENT, {"mode": "PERMISSIVE"}).alias("e"), F.get_json_object("value", "$.message.usage.iterations").alias("_it"), F.monotonically_increasing_id().alias("seq"))
+    own = own.select("path", "value", F.from_json("value", _EVENT, {"mode": "PERMISSIVE"}).alias("e"), "seq")
     own = own.where("e.type = 'assistant' and e.message.usage is not null")
     session = F.lower(F.regexp_extract("path", r"^.*/([0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})(?:\.jsonl|/subagents/.*)$", 1))
     main = ~F.col("path").contains("/subagents/")
@@ -29,7 +29,7 @@ def recount(spark: SparkSession, root: str, rates: DataFrame) -> DataFrame:
     whole = F.col("value").rlike(r'"iterations"\s*:\s*null')
     own = own.where(~whole)
     # The earliest main file is the one that is billed.
-    begun = raw.select("path", F.try_to_timestamp(F.get_json_object("value", "$.timestamp")).alias("t"), F.monotonically_increasing_id().alias("seq")).where("t is not null").groupBy("path").agg(F.min_by("t", "seq").alias("begun"))
+    begun = raw.select("path", F.try_to_timestamp(F.get_json_object("value", "$.timestamp")).alias("t"), "seq").where("t is not null").groupBy("path").agg(F.min_by("t", "seq").alias("begun"))
     own = own.join(begun, "path", "left")
     own_name = F.when(F.coalesce("e.sessionId", "session_id") == F.col("session_id"), 1).otherwise(0)
     claims = F.sum(own_name).over(Window.partitionBy("main", "msg"))

@@ -71,6 +71,31 @@ def run_agents(records: DataFrame, journal: DataFrame, own: DataFrame) -> DataFr
     return out.withColumns({c: flag(c) for c in ("in_manifest", "in_journal", "on_disk")}).drop("_finished")
 
 
+def run_files(listing: DataFrame, known: DataFrame, cost_by_agent: DataFrame | None = None) -> DataFrame:
+    """One row per agent transcript that stands in a run's folder, with what the session knows of its agent.
+
+    ``known``: (session_id, agent_id, rel, and any of run_id, model, label ...). A file meets its agent by path; only a file that no path meets
+    is looked up by agent id, where of several entries the one with the greatest path counts. ``matched`` is rel, id or null: a file that
+    the session doesn't know yet is a row of its own, and its cost is unknown, not zero. ``cost_by_agent``: (session_id, agent_id, requests, tcu).
+    """
+    files = listing.where("kind = 'agent' and run_id is not null").select("slug", "session_id", "agent_id", F.col("run_id").alias("_run"), "rel")
+    files = files.withColumn("file", F.element_at(F.split("rel", "/"), -1))
+    rest = [c for c in known.columns if c not in ("session_id", "agent_id", "rel")]
+    facts = F.struct(F.lit(True).alias("_there"), *rest)
+    by_rel = known.where("rel is not null").groupBy("session_id", "rel").agg(F.max_by(facts, "agent_id").alias("_r"))
+    by_id = known.where("agent_id is not null").groupBy("session_id", F.col("agent_id").alias("_id")).agg(F.max_by(facts, F.coalesce("rel", F.lit(""))).alias("_i"))
+    first = files.join(by_rel, ["session_id", "rel"], "left").withColumn("_id", F.when(F.col("_r").isNull(), F.col("agent_id")))
+    both = first.join(by_id, ["session_id", "_id"], "left").withColumn("_hit", F.coalesce("_r", "_i"))
+    out = both.withColumn("matched", F.when(F.col("_r").isNotNull(), "rel").when(F.col("_i").isNotNull(), "id"))
+    run = F.coalesce("_hit.run_id", "_run") if "run_id" in rest else F.col("_run")
+    out = out.select("session_id", "agent_id", "rel", "file", "matched", run.alias("run_id"), *(F.col(f"_hit.{c}").alias(c) for c in rest if c != "run_id"))
+    if cost_by_agent is None:
+        return out
+    zero = F.when(F.col("matched").isNotNull(), F.lit(0).cast("long"))
+    out = out.join(cost_by_agent.select("session_id", "agent_id", F.col("requests").alias("_n"), F.col("tcu").alias("_tcu")), ["session_id", "agent_id"], "left")
+    return out.withColumns({"requests": F.coalesce("_n", zero), "tcu": F.coalesce("_tcu", zero)}).drop("_n", "_tcu")
+
+
 def run_calls(own: DataFrame) -> DataFrame:
     """(session_id, run_id, first_line, lines): the calls that name a run; the first owns it, the others resume it."""
     e = F.col("event")

@@ -503,4 +503,4 @@ def wide_gaps(spark, sf_dir):
     return intervals.wide_gaps(_events(spark, sf_dir), ["user_id"], "ms", 0.05)
 
 
-from tallyloom.plans import growing, log_queries  # noqa: E402, F401  (register the queries over logs)
+from tallyloom.plans import growing, log_queries, run_queries  # noqa: E402, F401  (register the queries over logs)
