@@ -96,6 +96,22 @@ def run_files(listing: DataFrame, known: DataFrame, cost_by_agent: DataFrame | N
     return out.withColumns({"requests": F.coalesce("_n", zero), "tcu": F.coalesce("_tcu", zero)}).drop("_n", "_tcu")
 
 
+def run_badges(records: DataFrame, journal: DataFrame) -> DataFrame:
+    """(session_id, badges) of sessions with runs: what their records and journals say, in this order; sessions without any are left out.
+
+    retried: a journal began more agents than its run's record lists. running: a run without a record has an agent begun and not
+    ended. cached: a record lists an agent whose result was taken from before. An unreadable record counts as none.
+    """
+    keys = ["session_id", "run_id"]
+    listed = F.size(F.filter("progress", lambda p: _get(p, "$.type") == "workflow_agent")).cast("long")
+    own = records.where("not unreadable").groupBy(*keys).agg(F.max(F.when(F.col("progress").isNotNull(), listed)).alias("_listed"), F.lit(True).alias("_record"))
+    noted = journal.groupBy(*keys).agg(F.sum("started").alias("_begun"), F.bool_or((F.col("started") > 0) & (F.col("results") == 0)).alias("_open"))
+    runs = own.join(noted, keys, "full").join(progress(records).where("cached").select(*keys, F.lit(True).alias("_cached")).distinct(), keys, "left")
+    says = {"retried": F.col("_begun") > F.col("_listed"), "running": F.col("_record").isNull() & F.col("_open"), "cached": F.col("_cached")}
+    out = runs.groupBy("session_id").agg(*(F.bool_or(F.coalesce(c, F.lit(False))).alias(b) for b, c in says.items()))
+    return out.select("session_id", F.array_compact(F.array(*(F.when(F.col(b), F.lit(b)) for b in says))).alias("badges")).where(F.size("badges") > 0)
+
+
 def run_calls(own: DataFrame) -> DataFrame:
     """(session_id, run_id, first_line, lines): the calls that name a run; the first owns it, the others resume it."""
     e = F.col("event")
@@ -177,8 +193,8 @@ def stripped_census(lines: DataFrame) -> DataFrame:
     return own.groupBy(F.when(F.col("b.key") == "signature", "signature").otherwise("payload").alias("what")).agg(F.count(F.lit(1)).alias("n"), F.sum("b.bytes").alias("bytes"))
 
 
-def session_cards(listing_sessions: DataFrame, events: DataFrame, rows: DataFrame, priced: DataFrame) -> DataFrame:
-    """One row per session: title, span, counts, cost, and badges for what is recorded about it."""
+def session_cards(listing_sessions: DataFrame, events: DataFrame, rows: DataFrame, priced: DataFrame, of_runs: DataFrame | None = None) -> DataFrame:
+    """One row per session: title, span, counts, cost, and badges for what is recorded about it, with those of ``run_badges`` where they are given."""
     titles = events.where("type in ('custom-title', 'ai-title')").groupBy("session_id").agg(
         F.max_by(_get(F.col("event"), "$.customTitle"), F.when(F.col("type") == "custom-title", F.col("line"))).alias("custom_title"),
         F.max_by(_get(F.col("event"), "$.aiTitle"), F.when(F.col("type") == "ai-title", F.col("line"))).alias("ai_title"),
@@ -194,7 +210,11 @@ def session_cards(listing_sessions: DataFrame, events: DataFrame, rows: DataFram
     own = listing_sessions.join(seen, "session_id", "left").join(parts, "session_id", "left").join(titles, "session_id", "left").join(money, "session_id", "left")
     badges = {"fragment": (F.col("n_mains") == 0) | (F.col("n_projects") > 1), "forked": F.coalesce("_forked", F.lit(False)) | (F.coalesce("inherited", F.lit(0)) > 0), "no-reply": (F.col("turns") > 0) & (F.coalesce("requests", F.lit(0)) == 0)}
     label = F.coalesce("custom_title", "ai_title", "session_id")
-    return own.withColumn("title", label).withColumn("badges", F.array_compact(F.array(*(F.when(c, F.lit(b)) for b, c in badges.items())))).drop("_forked")
+    own = own.withColumn("title", label).withColumn("badges", F.array_compact(F.array(*(F.when(c, F.lit(b)) for b, c in badges.items())))).drop("_forked")
+    if of_runs is None:
+        return own
+    own = own.join(of_runs.select("session_id", F.col("badges").alias("_runs")), "session_id", "left")
+    return own.withColumn("badges", F.concat("badges", F.coalesce("_runs", F.array().cast("array<string>")))).drop("_runs")
 
 
 def project_table(cards: DataFrame) -> DataFrame:

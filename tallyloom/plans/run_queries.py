@@ -128,6 +128,12 @@ def run_call_lines(spark, sf_dir):
     return inventory.run_calls(_events(spark, sf_dir)).select("session_id", "run_id", "first_line", F.size("lines").alias("n"))
 
 
+@query(over("SELECT me AS session_id, concat_ws(',', CASE WHEN c % 8 = 1 AND c % 3 <> 2 THEN 'retried' END, CASE WHEN c % 8 = 5 THEN 'running' END, CASE WHEN c % 8 = 1 THEN 'cached' END) AS badges FROM talks WHERE c % 4 = 1"))
+def run_badges(spark, sf_dir):
+    own = inventory.run_badges(inventory.manifests(spark, _store(spark, sf_dir)), transcripts.journal_census(_table(spark, sf_dir, "lines")))
+    return own.select("session_id", F.array_join("badges", ",").alias("badges"))
+
+
 # The audit's scopes
 
 

@@ -56,6 +56,9 @@ def test_inventory(spark, root):
     cards = inventory.session_cards(sessions, events, rows, priced).cache()
     got = {r["session_id"]: r for r in cards.collect()}
     assert got[A]["title"] == "one" and got[A]["turns"] == 2 and got[A]["agents"] == 2 and got[A]["tcu"] == TCU_A
+    marks = cards.sparkSession.createDataFrame([(B, ["retried", "cached"]), ("other", ["running"])], "session_id string, badges array<string>")
+    more = {r["session_id"]: r["badges"] for r in inventory.session_cards(sessions, events, rows, priced, marks).collect()}
+    assert more[B] == ["forked", "retried", "cached"] and more[A] == [] and len(more) == len(got)
     assert got[B]["badges"] == ["forked"] and got[A]["badges"] == []
     assert inventory.project_table(cards).first()["tcu"] == TCU_A + TCU_B
     assert inventory.day_bands(priced).agg(F.sum("tcu").alias("t")).first()["t"] == TCU_A + TCU_B
