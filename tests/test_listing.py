@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.sources import listing, logs
+from tallyloom.sources import listing, logs, tail
 
 from store import A, build
 
@@ -50,6 +50,32 @@ def test_many_small_files_share_tasks(spark, many):
     assert logs.texts(spark, many, ".txt").agg(F.count(F.lit(1)), F.sum(F.length("value"))).first()[:2] == (601, sum(range(600)) + 1)
 
 
+def test_a_backlog_of_small_files_is_a_few_tasks(many):
+    reader = tail._Reader(many)
+    shares = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    assert len(shares) <= 2
+    got = {}
+    for share in shares:
+        for rel, at, _ in reader.read(share):
+            got.setdefault(rel, []).append(at)
+    assert sum("/p" in f"/{rel}" and "subagents" not in rel for rel in got) >= 600
+    assert all(got[f"p{k % 7}/{k:08d}-0000-4000-8000-000000000000.jsonl"] == [16 * i for i in range(k % 3 + 1)] for k in range(600))
+
+
+def test_an_unchanged_file_is_not_opened_again(tmp_path):
+    (tmp_path / "a.jsonl").write_bytes(b"one\ntw")
+    (tmp_path / "b.jsonl").write_bytes(b"x\n")
+    reader, opened = tail._Reader(str(tmp_path)), []
+    complete = reader._complete
+    reader._complete = lambda fs, path, size: (opened.append(os.path.basename(path)), complete(fs, path, size))[1]
+    first = reader.latestOffset()
+    assert sorted(opened) == ["a.jsonl", "b.jsonl"] and reader.latestOffset() == first and len(opened) == 2
+    with (tmp_path / "a.jsonl").open("ab") as f:
+        f.write(b"o\n")
+    os.remove(tmp_path / "b.jsonl")
+    assert reader.latestOffset() == {"files": '{"a.jsonl": 8}'} and opened[2:] == ["a.jsonl"]
+
+
 def test_plain_lines_are_the_same_from_whole_texts_and_from_spans(spark, tmp_path, monkeypatch):
     root = build(tmp_path)
     (root / "p" / "x [1].jsonl").write_bytes(b"\xef\xbb\xbfone\n\ntwo\r\nlast")
