@@ -84,3 +84,10 @@ def test_plain_lines_are_the_same_from_whole_texts_and_from_spans(spark, tmp_pat
     assert [v for rel, v in whole if rel == "p/x [1].jsonl"] == ["last", "one", "two\r"] and sum(A in rel for rel, _ in whole) > 10
     monkeypatch.setattr(listing, "WHOLE", 0)
     assert own() == whole
+
+
+def test_a_preview_counts_all_files(spark, tmp_path, monkeypatch):
+    path = F.concat(F.lit("p/"), F.lpad(F.col("id").cast("string"), 8, "0"), F.lit("-0000-4000-8000-000000000000.jsonl"))
+    monkeypatch.setattr(logs, "files", lambda spark, root: spark.range(100_001).select(F.lit("main").alias("kind"), path.alias("session_id"), F.lit(2).alias("size")))
+    assert tuple(logs.preview(spark, str(tmp_path)).first()) == (True, 100_001, 100_001, 200_002, False)
+    assert tuple(logs.preview(spark, str(tmp_path), most=10).first())[1::3] == (10, True)
