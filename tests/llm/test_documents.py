@@ -526,6 +526,46 @@ def test_recall_holds_by_edit_as_pictures_grow_in_number(spark):
     assert sum(r["group_id"] != r["media_id"] for r in got if r["edit"] is None) <= 2
 
 
+def test_copies_are_alike_however_cells_are_dealt(spark):
+    vectors = spark.range(600).selectExpr("id as vec_id", "transform(sequence(0, 7), i -> float(sin(id * 7.3 + i))) as embedding").repartition(8)
+    made = media.render(vectors).cache()
+    by = [{r["media_id"]: r["group_id"] for r in media.copies(made, **how).collect()} for how in ({}, {"wide": 1}, {"frequent": 1}, {"wide": 3, "frequent": 1})]
+    assert len(by[0]) == 600 and all(b == by[0] for b in by[1:])
+
+
+def test_cells_of_two_corners_are_found_packed_as_by_rows(spark):
+    made = media.render(spark.range(120).selectExpr("id as vec_id", "array(float(id)) as embedding"))
+    found = media.pictures(made).where(F.size("corners") > 0).withColumn("c", F.expr("media_id - media_id % 2")).cache()
+    rows = [(r["media_id"], r["c"], *c) for r in found.collect() for c in zip(*(lambda at, p: (at, p, media._step_cells(at, p)))(*(np.array(x, np.int64) for x in ([k["at"] for k in r["corners"]], [[k[f"p{i}"] for i in range(4)] for k in r["corners"]]))))]
+    by, want = {}, set()
+    for i, c, at, parts, cells in rows:
+        for t in range(4):
+            for cell in {int(x) for x in cells[:, t]} - {0}:
+                by.setdefault((t, cell), []).append((i, int(at), c, parts))
+    for held in by.values():
+        want |= {(a[0], b[0], a[1], b[1]) for a in held for b in held if a[0] < b[0] and a[2] != b[2] and int(np.bitwise_count(a[3] ^ b[3]).sum()) <= media.DIFFER}
+    often = {int(r[3][t]) + t * 2**32 for r in rows[::3] for t in range(4)}
+    for wide, frequent in ((256, set()), (256, often), (1, set()), (2, often)):
+        met = media._meetings(media._dealt(found, 64, frequent), wide).cache()
+        got = met.where("b is not null").select("a", "b", "at_a", "at_b").union(media._joined(met.where("b is null"))).distinct().collect()
+        assert {tuple(r) for r in got} == want and len(want) > 20
+
+
+def test_pictures_move_few_bytes_each(spark):
+    sc = spark.sparkContext
+    made = media.render(spark.range(400).selectExpr("id as vec_id", "array(float(id)) as embedding")).cache()
+    made.count()
+
+    def written():
+        store, jvm = sc._jsc.sc().statusStore(), sc._jvm
+        stages = store.stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteBytes() for k in range(stages.size())}
+
+    before = written()
+    media.copies(made).collect()
+    assert sum(v for k, v in written().items() if k not in before) < 400 * 12_000
+
+
 def test_pictures_of_empty_repeated_and_unknown_vectors(spark):
     assert media.copies(media.render(spark.range(0).selectExpr("id as vec_id", "array(float(1)) as embedding"))).count() == 0
     own = spark.createDataFrame([(0, [0.5, 1.5]), (0, [0.5, 1.5]), (1, None), (2, []), (None, [0.1])], "vec_id long, embedding array<float>")
